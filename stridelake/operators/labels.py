@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.stream import require_columns
 
-# A vocabulary of labels, not of rows: its table is numbered in one task.
+# A vocabulary up to this size is numbered in one task and broadcast.
 MAX_LABELS = 100_000
 
 
 def _codes(vocabulary: DataFrame, order: Sequence[str | Column], out: str, start: int) -> DataFrame:
-    """Number a vocabulary; one with more than MAX_LABELS entries fails the query."""
+    """Number a vocabulary for a broadcast; one above MAX_LABELS entries fails the query."""
     place = F.row_number().over(Window.partitionBy().orderBy(*order)).cast("bigint")
-    return vocabulary.withColumn("_place", place).withColumn(
-        out,
-        F.when(F.col("_place") > MAX_LABELS, F.raise_error(F.lit(f"more than {MAX_LABELS} labels")).cast("bigint"))
-        .otherwise(F.col("_place") - 1 + start),
-    ).drop("_place")
-
-
-def encode_sorted(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Codes 0, 1, ... in the lexicographic order of the label text."""
+    too_many = F.raise_error(F.lit(f"more than {MAX_LABELS} labels; use large=True")).cast("bigint")
+    coded = vocabulary.withColumn("_place", place).withColumn(
+        out, F.when(F.col("_place") > MAX_LABELS, too_many).otherwise(F.col("_place") - 1 + start)
+    )
+    return F.broadcast(coded.drop("_place"))
+
+
+def _codes_large(vocabulary: DataFrame, column: str, out: str, prefix: int = 3) -> DataFrame:
+    """Number any vocabulary: ranks inside a text prefix plus the entries of smaller prefixes."""
+    placed = vocabulary.withColumn("_prefix", F.substring(column, 1, prefix))
+    sizes = placed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy().orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_prefix", F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("bigint")).alias("_base"))
+    local = F.row_number().over(Window.partitionBy("_prefix").orderBy(column))
+    return placed.withColumn("_local", local).join(base, "_prefix").select(
+        column, (F.col("_base") + F.col("_local") - 1).alias(out)
+    )
+
+
+def encode_sorted(df: DataFrame, column: str, out: str | None = None, large: bool = False) -> DataFrame:
+    """Codes 0, 1, ... in the lexicographic order of the label text.
+
+    ``large`` is for vocabularies above MAX_LABELS: nothing is broadcast by hint.
+    """
     out = out or f"{column}_id"
     require_columns(df, [column])
     vocabulary = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return df.join(_codes(vocabulary, [column], out, 0), column, "left")
+    codes = _codes_large(vocabulary, column, out) if large else _codes(vocabulary, [column], out, 0)
+    return df.join(codes, column, "left")
 
 
 def encode_vocab(
@@ -55,7 +71,7 @@ def encode_first_seen(df: DataFrame, column: str, order: Sequence[str], out: str
     out = out or f"{column}_id"
     require_columns(df, [column, *order])
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
-    return df.join(_codes(first, ["_first"], out, 1).drop("_first"), column, "left")
+    return df.join(F.broadcast(_codes(first, ["_first"], out, 1).drop("_first")), column, "left")
 
 
 def zero_base(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -91,8 +107,3 @@ def resolve_label(names: Sequence[str], text: str) -> int:
     if text not in names:
         raise ValueError(f"unknown label {text!r}, known: {list(names)}")
     return list(names).index(text)
-
-
-def apply_dictionary(df: DataFrame, column: str, codes: Mapping[str, int], out: str) -> DataFrame:
-    pairs = [F.lit(v) for item in codes.items() for v in item]
-    return df.withColumn(out, F.try_element_at(F.create_map(*pairs), F.col(column)))

@@ -29,22 +29,40 @@ def _mean(column: str, stream_time: str) -> Column:
     return F.avg(column).alias(column)
 
 
+def _block_rows(rows: DataFrame, p: Column, q: Column, tail: str, guard: str) -> DataFrame:
+    """Add ``block`` and drop the rows of blocks that the tail rule leaves out."""
+    n = F.col("n")
+    block = _div((F.col("seq") + 1) * q - 1, p)
+    ends = _div(block * p, q) + _div(p, q) + 1
+    in_fraction = (ends < n) if guard == "lt" else (ends <= n)
+    in_whole = F.lit(True) if tail == "keep" else (block + 1) * _div(p, q) < n
+    return rows.withColumn("block", block).filter(F.when(F.pmod(p, q) == 0, in_whole).otherwise(in_fraction))
+
+
 def _mean_blocks(
     rows: DataFrame, keys: Sequence[str], time: str, channels: Sequence[str], p: Column, q: Column,
     tail: str, guard: str,
 ) -> DataFrame:
-    i, n = F.col("seq"), F.col("n")
-    whole = F.pmod(p, q) == 0
-    block = _div((i + 1) * q - 1, p)
-    ends = _div(block * p, q) + _div(p, q) + 1
-    in_fraction = (ends < n) if guard == "lt" else (ends <= n)
-    in_whole = F.lit(True) if tail == "keep" else (block + 1) * _div(p, q) < n
-    kept = rows.withColumn("block", block).filter(F.when(whole, in_whole).otherwise(in_fraction))
-    return kept.groupBy(*keys, "block").agg(
+    return _block_rows(rows, p, q, tail, guard).groupBy(*keys, "block").agg(
         F.count(F.lit(1)).alias("n_rows"), *[_mean(c, time) for c in channels]
     )
 
 
+def block_ids(rows: DataFrame, p: int, q: int = 1) -> DataFrame:
+    """Rows with ``seq`` and ``n`` to ``block``, with ``n_blocks``, the blocks of the recording.
+
+    Of a fractional ratio, block ``k`` counts when ``(k * p) div q < n - p div q - 1``.
+    """
+    big_p, big_q = (F.lit(v).cast("bigint") for v in (p, q))
+    n = F.col("n")
+    if p % q == 0:
+        blocks = _div(n - 1, p // q) + 1
+    else:
+        room = n - p // q - 1  # starts lie below this
+        blocks = F.when(room > 0, _div(room * big_q - 1, p) + 1).otherwise(F.lit(0).cast("bigint"))
+    return _block_rows(rows, big_p, big_q, "keep", "lt").withColumn("n_blocks", blocks)
+
+
 def block_mean(
     df: DataFrame, stream: Stream, channels: Sequence[str], p: int, q: int = 1,
     tail: str = "keep", guard: str = "lt",

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -244,9 +246,6 @@ def head_window(df: DataFrame, stream: Stream, size: int) -> DataFrame:
 
 def map_windows(df: DataFrame, fn, schema: str, data: str = "data") -> DataFrame:
     """Apply ``fn(ndarray W x F) -> ndarray`` to every window; ``schema`` types the result."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(schema)
     def apply(windows: pd.Series) -> pd.Series:
         return windows.map(lambda w: np.asarray(fn(np.stack(w).astype("float64"))).tolist())
