@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-MODULES = ("columns", "resampling", "windowing", "alignment", "labelling", "sampling", "features")
+MODULES = ("columns", "resampling", "windowing", "alignment", "labelling", "sampling", "features", "evaluation")
 
 
 def load() -> None:

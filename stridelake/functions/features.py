@@ -162,15 +162,13 @@ def spectrum(df: DataFrame, channels: int, n: int = 10, data: str = "data", out:
 
 def profile(df: DataFrame, data: str = "data") -> DataFrame:
     """Shape and moments of a window set; the standard deviation is that of the population."""
-    per_window = df.select(
+    values = df.select(
         F.size(data).alias("steps"), F.size(F.col(data)[0]).alias("channels"),
-        F.explode(F.flatten(data)).alias("v"), F.monotonically_increasing_id().alias("_row"),
+        F.posexplode(F.flatten(data)).alias("place", "v"),
     )
-    # Counting windows by their own rows keeps this one pass.
-    cells = F.col("steps") * F.col("channels")
     value = F.col("v").cast("double")
-    return per_window.agg(
-        F.round(F.sum(F.lit(1.0) / cells)).cast("bigint").alias("n_windows"),
+    return values.agg(
+        F.count(F.when(F.col("place") == 0, True)).alias("n_windows"),
         F.max("steps").cast("bigint").alias("n_steps"),
         F.max("channels").cast("bigint").alias("n_channels"),
         F.count(F.lit(1)).alias("n_values"),
