@@ -28,7 +28,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-MODULES = ("columns", "resampling", "windowing", "alignment", "labelling", "sampling", "features", "evaluation")
+MODULES = (
+    "columns", "alignment", "resampling", "windowing", "labelling", "sampling", "features", "evaluation", "sources", "live",
+)
 
 
 def load() -> None:

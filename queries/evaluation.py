@@ -32,11 +32,11 @@ def m4(spark, d):
 @query(
     "m3_score_function",
     f"""with {WIN}, s as (select window_id, ch, avg(v) as score from win group by 1, 2)
-        select window_id, cast(arg_max(ch, score) as integer) as predicted, round(max(score), 5) as top from s group by 1""",
+        select window_id, cast(arg_max(ch, score) as integer) as predicted, round(max(score), 9) as top from s group by 1""",
 )
 def m3_function(spark, d):
-    scored = M.score(windows(spark, d).select("window_id", "data"), lambda x: x.astype("float64").mean(axis=1))
-    return E.decide(scored).select("window_id", "predicted", F.round(F.array_max("scores").cast("double"), 5).alias("top"))
+    scored = M.score(windows(spark, d).select("window_id", "data"), lambda x: x.mean(axis=1), dtype="float64")
+    return E.decide(scored).select("window_id", "predicted", F.round(F.array_max("scores"), 9).alias("top"))
 
 
 def weights():
