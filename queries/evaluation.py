@@ -6,6 +6,7 @@ from queries import query
 from queries.views import CHANNELS, DAY, EV, EVENTS, EVN, PRED, WIN, events, predictions, quality_scores, table, windows
 from stridelake.functions import features as X
 from stridelake.functions import nets
+from stridelake.functions.batch import score
 from stridelake.operators import metrics as E
 from stridelake.operators import quality as Q
 from stridelake.operators import sampling as S
@@ -35,7 +36,7 @@ def m4(spark, d):
         select window_id, cast(arg_max(ch, score) as integer) as predicted, round(max(score), 9) as top from s group by 1""",
 )
 def m3_function(spark, d):
-    scored = M.score(windows(spark, d).select("window_id", "data"), lambda x: x.mean(axis=1), dtype="float64")
+    scored = score(windows(spark, d).select("window_id", "data"), lambda x: x.mean(axis=1), dtype="float64")
     return E.decide(scored).select("window_id", "predicted", F.round(F.array_max("scores"), 9).alias("top"))
 
 

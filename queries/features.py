@@ -129,7 +129,7 @@ STEP = 2 * math.pi / 10
         union all select window_id, k + 10 as step, ch, round(atan2(im, re), 6) + 0 as v from sums""",
 )
 def f6(spark, d):
-    out = X.spectrum(plain(spark, d), 6)
+    out = X.spectrum(plain(spark, d))
     return rounded(out.select("window_id", F.col("spectrum").alias("data")))
 
 

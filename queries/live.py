@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from queries import query
 from queries.views import DAY, EV, EVN, HOUR, events, table
 from stridelake.operators.metrics import decide
-from stridelake.operators.scoring import score
+from stridelake.functions.batch import score
 from stridelake.sources.folders import shared_folder
 from stridelake.streaming import live as S
 

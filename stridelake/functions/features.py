@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stridelake.functions.batch import score
 from stridelake.operators.sampling import hash_uniform
 
 # Divisor of accelerometer channels, and the guard of magnetometer norms.
@@ -127,37 +127,24 @@ def gather(df: DataFrame, data: str = "data", pos: str = "pos", channels: str |
     return df.withColumn(out, picked)
 
 
-def spectrum(df: DataFrame, channels: int, n: int = 10, data: str = "data", out: str = "spectrum") -> DataFrame:
+def spectrum(df: DataFrame, n: int = 10, data: str = "data", out: str = "spectrum") -> DataFrame:
     """Discrete Fourier transform over time, per channel, cut or zero-padded to ``n`` steps.
 
-    ``out`` is ``n`` rows of magnitudes followed by ``n`` rows of phases.  The
-    imaginary part of bin 0, and of bin ``n / 2``, is exactly zero.
+    ``out`` replaces ``data``: ``n`` rows of magnitudes, then ``n`` rows of phases.
+    The imaginary part of bin 0, and of bin ``n / 2``, is exactly zero.
     """
-    cos = [math.cos(2 * math.pi * j / n) for j in range(n)]
-    sin = [0.0 if 2 * j % n == 0 else math.sin(2 * math.pi * j / n) for j in range(n)]
-
-    def waves(table: Sequence[float], k: Column, c: Column) -> Column:
-        """Sum over steps of x[i] * table[(k * i) mod n]."""
-        weights = F.array(*[F.lit(v) for v in table])
-        return F.aggregate(
-            F.transform(
-                F.slice(F.col(data), 1, n),
-                lambda row, i: F.get(row, c).cast("double") * F.get(weights, F.pmod(k * i, F.lit(n))),
-            ),
-            F.lit(0.0),
-            lambda total, v: total + v,
-        )
-
-    bins = F.sequence(F.lit(0), F.lit(n - 1))
-    across = F.sequence(F.lit(0), F.lit(channels - 1))
-    magnitude = F.transform(
-        bins, lambda k: F.transform(across, lambda c: F.hypot(waves(cos, k, c), waves(sin, k, c)))
-    )
-    # 0 - x, not -x: minus zero would turn the angle of a negative number round.
-    phase = F.transform(
-        bins, lambda k: F.transform(across, lambda c: F.atan2(F.lit(0.0) - waves(sin, k, c), waves(cos, k, c)))
-    )
-    return df.withColumn(out, F.concat(magnitude, phase))
+    turns = np.outer(np.arange(n), np.arange(n)) % n
+    angle = 2 * np.pi * turns / n
+    cos, sin = np.cos(angle), np.where(2 * turns % n == 0, 0.0, np.sin(angle))
+
+    def transform(x: np.ndarray) -> np.ndarray:
+        steps = min(n, x.shape[1])
+        re = cos[:, :steps] @ x[:, :steps]
+        # 0 - x, not -x: minus zero would turn the angle of a negative number round.
+        im = 0.0 - sin[:, :steps] @ x[:, :steps]
+        return np.concatenate([np.hypot(re, im), np.arctan2(im, re)], axis=1)
+
+    return score(df, transform, data, out, rank=2, batch=4096, dtype="float64")
 
 
 def profile(df: DataFrame, data: str = "data") -> DataFrame:

@@ -63,14 +63,60 @@ def _whole(total: Column, rate: float) -> Column:
     return F.floor(total * F.lit(float(rate))).cast("bigint")
 
 
+def _cut_rows(df: DataFrame, key: str, seed: int, within: Sequence[str], wanted: DataFrame, digits: int) -> DataFrame:
+    """The row at each wanted rank: ``within, want, cut`` where ``cut`` is its place in the random order.
+
+    ``wanted`` has ``within, _piece, want, _offset``: the piece that holds the rank
+    and the place inside it.  Only those pieces are sorted.
+    """
+    keyed = df.select(*within, key).withColumn("_order", random_key(seed, key)).withColumn("_piece", _piece(digits))
+    pieces = [*within, "_piece"]
+    chosen = keyed.join(wanted.select(*pieces).distinct(), pieces, "left_semi")
+    local = F.row_number().over(Window.partitionBy(*pieces).orderBy("_order", key)) - 1
+    return chosen.withColumn("_offset", local.cast("bigint")).join(wanted, [*pieces, "_offset"]).select(
+        *within, "want", F.struct("_order", key).alias("cut")
+    )
+
+
+def _piece_bounds(df: DataFrame, key: str, seed: int, within: Sequence[str], digits: int) -> DataFrame:
+    """Pieces of the random order with ``_base`` rows before them and ``total`` of their group."""
+    keyed = df.select(*within, key).withColumn("_order", random_key(seed, key)).withColumn("_piece", _piece(digits))
+    sizes = keyed.groupBy(*within, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*within).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(
+        *within, "_piece", "_rows",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("bigint")).alias("_base"),
+        F.sum("_rows").over(Window.partitionBy(*within)).alias("total"),
+    )
+
+
+def _at_ranks(bounds: DataFrame, within: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
+    """The pieces that hold the wanted ranks; a rank past the last row is in none."""
+    wants = F.array(*[F.struct(F.lit(name).alias("want"), rank.alias("at")) for name, rank in ranks.items()])
+    return bounds.withColumn("_w", F.explode(wants)).filter(
+        (F.col("_w.at") >= F.col("_base")) & (F.col("_w.at") < F.col("_base") + F.col("_rows"))
+    ).select(*within, "_piece", F.col("_w.want").alias("want"), (F.col("_w.at") - F.col("_base")).alias("_offset"))
+
+
+def _before_cuts(df: DataFrame, key: str, seed: int, ranks: dict[str, Column], digits: int) -> dict[str, Column]:
+    """Per name, whether a row's rank is below the wanted one.
+
+    The row at that rank is found once and compared with as a scalar, so the rows
+    themselves are not shuffled.
+    """
+    wanted = _at_ranks(_piece_bounds(df, key, seed, (), digits), (), ranks)
+    cuts = _cut_rows(df, key, seed, (), wanted, digits).agg(
+        *[F.max(F.when(F.col("want") == name, F.col("cut"))).alias(name) for name in ranks]
+    )
+    here = F.struct(random_key(seed, key).alias("_order"), F.col(key).alias(key))
+    return {name: F.coalesce(here < cuts.select(name).scalar(), F.lit(True)) for name in ranks}
+
+
 def split(df: DataFrame, key: str, seed: int, train: float = 0.8, vali: float = 0.1, digits: int = 4) -> DataFrame:
     """Add ``split``: exactly int(N*train) train rows, int(N*vali) vali rows, the rest test."""
-    ranked = random_ranks(df, key, seed, (), digits)
     n_train, n_vali = _whole(F.col("total"), train), _whole(F.col("total"), vali)
-    part = (
-        F.when(F.col("rank") < n_train, "train").when(F.col("rank") < n_train + n_vali, "vali").otherwise("test")
-    )
-    return ranked.withColumn("split", part).drop("rank", "total")
+    below = _before_cuts(df, key, seed, {"train": n_train, "vali": n_train + n_vali}, digits)
+    return df.withColumn("split", F.when(below["train"], "train").when(below["vali"], "vali").otherwise("test"))
 
 
 def split_fast(df: DataFrame, key: str, seed: int, train: float = 0.8, vali: float = 0.1) -> DataFrame:
@@ -84,10 +130,14 @@ def pretrain_split(df: DataFrame, key: str, seed: int, train: float = 0.8, digit
     return split(df, key, seed, train, 0.1, digits).filter(F.col("split") != "test")
 
 
+def labelled_flag(df: DataFrame, key: str, rate: float, seed: int, digits: int = 4) -> Column:
+    """Whether a row of ``df`` is among exactly int(N*rate) random ones."""
+    return _before_cuts(df, key, seed, {"labelled": _whole(F.col("total"), rate)}, digits)["labelled"]
+
+
 def sample_labelled(df: DataFrame, key: str, rate: float, seed: int, digits: int = 4) -> DataFrame:
     """Add ``labelled``: true for exactly int(N*rate) rows."""
-    ranked = random_ranks(df, key, seed, (), digits)
-    return ranked.withColumn("labelled", F.col("rank") < _whole(F.col("total"), rate)).drop("rank", "total")
+    return df.withColumn("labelled", labelled_flag(df, key, rate, seed, digits))
 
 
 def balanced_quota(df: DataFrame, label: str, rate: float) -> DataFrame:
@@ -102,11 +152,28 @@ def balanced_quota(df: DataFrame, label: str, rate: float) -> DataFrame:
     )
 
 
+def balanced_flag(df: DataFrame, key: str, label: str, rate: float, seed: int, digits: int = 4) -> Column:
+    """Whether a row of ``df`` is among the random ones of its class, the same number for each.
+
+    Each class has one cut row; the cuts come back as one map, as long as the list
+    of classes.  A row without a class is never chosen.
+    """
+    known = df.filter(F.col(label).isNotNull())
+    bounds = _piece_bounds(known, key, seed, [label], digits)
+    totals = bounds.groupBy(label).agg(F.max("total").alias("total"))
+    quota = totals.agg(
+        F.least(F.min("total"), F.floor(F.sum("total") * F.lit(float(rate)) / F.count(F.lit(1))).cast("bigint"))
+    ).scalar()
+    wanted = _at_ranks(bounds.withColumn("_quota", quota), [label], {"labelled": F.col("_quota")})
+    cuts = _cut_rows(known, key, seed, [label], wanted, digits)
+    by_class = cuts.agg(F.map_from_entries(F.collect_list(F.struct(label, "cut")))).scalar()
+    here = F.struct(random_key(seed, key).alias("_order"), F.col(key).alias(key))
+    return F.col(label).isNotNull() & F.coalesce(here < F.try_element_at(by_class, F.col(label)), F.lit(True))
+
+
 def sample_balanced(df: DataFrame, key: str, label: str, rate: float, seed: int, digits: int = 4) -> DataFrame:
     """Add ``labelled``: true for the same number of rows of every class."""
-    quota = balanced_quota(df, label, rate).select("quota").scalar()
-    ranked = random_ranks(df, key, seed, [label], digits)
-    return ranked.withColumn("labelled", F.col("rank") < quota).drop("rank", "total")
+    return df.withColumn("labelled", balanced_flag(df, key, label, rate, seed, digits))
 
 
 def balanced_report(sampled: DataFrame) -> DataFrame:

@@ -2,65 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Iterable, Mapping
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stridelake.functions import nets
+from stridelake.functions.batch import score
 from stridelake.functions.features import normalize
 from stridelake.operators.metrics import accuracy_and_f1, argmax
 
-SPARK_TYPES = {"float32": T.FloatType(), "float64": T.DoubleType()}
-
-
-def _tensor(column: pa.Array, dtype: str) -> np.ndarray:
-    """A list-of-lists column, all windows of one shape, as (B, W, F)."""
-    rows = column.flatten()
-    flat = rows.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(dtype, copy=False).reshape(len(column), len(rows) // len(column), -1)
-
-
-def _lists(values: np.ndarray, dtype: str) -> pa.Array:
-    array = pa.array(np.ascontiguousarray(values, dtype=dtype).reshape(-1))
-    for size in reversed(values.shape[1:]):
-        offsets = np.arange(0, len(array) + 1, size, dtype="int32")
-        array = pa.ListArray.from_arrays(pa.array(offsets), array)
-    return array
-
-
-def score(
-    df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], data: str = "data", out: str = "scores", rank: int = 1,
-    batch: int = 128, dtype: str = "float32",
-) -> DataFrame:
-    """Replace the windows of ``data`` with ``fn`` of them, ``batch`` windows at a time.
-
-    ``fn`` maps (B, W, F) to (B, n) for ``rank=1`` or (B, W, n) for ``rank=2``, in
-    ``dtype``.  No shuffle; a task holds one batch.
-    """
-    names = [c for c in df.columns if c != data]
-    kind = T.ArrayType(SPARK_TYPES[dtype], False)
-    for _ in range(rank - 1):
-        kind = T.ArrayType(kind, False)
-    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, kind)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, batch):
-                part = whole.slice(start, batch)
-                result = _lists(fn(_tensor(part.column(data), dtype)), dtype)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], result], [*names, out])
-
-    return df.select(*names, data).mapInArrow(run, schema)
-
-
 def _shared(df: DataFrame, weights: Mapping[str, np.ndarray]):
     """Weights of a given model, a fixed few hundred kilobytes, once per executor."""
     return df.sparkSession.sparkContext.broadcast(dict(weights))

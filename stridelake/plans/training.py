@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.operators.labels import zero_base
-from stridelake.operators.sampling import sample_balanced, sample_labelled, split
+from stridelake.operators.sampling import balanced_flag, labelled_flag, split
 from stridelake.operators.windows import merge_window_labels, split_window_array, subwindows
+from stridelake.sources.folders import stored
 
 
 def _sample_train(pieces: DataFrame, rate: float, balance: bool, seed: int) -> DataFrame:
     """``labelled`` for the train part; the other parts keep all their labels."""
     train = pieces.filter("split = 'train'")
-    sampled = (
-        sample_balanced(train, "piece_id", "label", rate, seed) if balance else sample_labelled(train, "piece_id", rate, seed)
+    chosen = (
+        balanced_flag(train, "piece_id", "label", rate, seed) if balance else labelled_flag(train, "piece_id", rate, seed)
     )
-    return sampled.unionByName(pieces.filter("split <> 'train'").withColumn("labelled", F.lit(True)))
+    return pieces.withColumn("labelled", F.when(F.col("split") == "train", chosen).otherwise(F.lit(True)))
 
 
 def prepare_classifier_data(
@@ -41,7 +42,9 @@ def prepare_label_windows(
 ) -> DataFrame:
     """Long-form windows whose steps carry labels: ``piece_id, split, label, labelled``."""
     based = zero_base(long, [label])
-    parts = split(based.select(key).distinct(), key, seed, train, vali)
-    cut = subwindows(based, key, size, piece).join(parts, key)
-    merged = merge_window_labels(cut, ["piece_id", "split"], label, mode).withColumnRenamed(label, "label")
-    return _sample_train(merged, label_rate, balance, seed).select("piece_id", "split", "label", "labelled")
+    # A window's label and its pieces' labels are all that the rest needs: one narrow table.
+    cut = subwindows(based.select(key, "step", label), key, size, piece)
+    merged = stored(merge_window_labels(cut, [key, "piece_id"], label, mode).withColumnRenamed(label, "label"), "pieces")
+    parts = split(stored(long.select(key).distinct(), "windows"), key, seed, train, vali)
+    placed = stored(merged.join(parts, key).drop(key), "parts")
+    return _sample_train(placed, label_rate, balance, seed).select("piece_id", "split", "label", "labelled")
