@@ -66,16 +66,15 @@ def _whole(total: Column, rate: float) -> Column:
 def _cut_rows(df: DataFrame, key: str, seed: int, within: Sequence[str], wanted: DataFrame, digits: int) -> DataFrame:
     """The row at each wanted rank: ``within, want, cut`` where ``cut`` is its place in the random order.
 
-    ``wanted`` has ``within, _piece, want, _offset``: the piece that holds the rank
-    and the place inside it.  Only those pieces are sorted.
+    ``wanted`` has ``within, _piece, want, _offset``, the piece that holds the rank
+    and the place inside it: a row per want and group, so it is broadcast.  Only
+    those pieces are shuffled and sorted.
     """
     keyed = df.select(*within, key).withColumn("_order", random_key(seed, key)).withColumn("_piece", _piece(digits))
-    pieces = [*within, "_piece"]
-    chosen = keyed.join(wanted.select(*pieces).distinct(), pieces, "left_semi")
-    local = F.row_number().over(Window.partitionBy(*pieces).orderBy("_order", key)) - 1
-    return chosen.withColumn("_offset", local.cast("bigint")).join(wanted, [*pieces, "_offset"]).select(
-        *within, "want", F.struct("_order", key).alias("cut")
-    )
+    local = F.row_number().over(Window.partitionBy(*within, "want").orderBy("_order", key)) - 1
+    return keyed.join(F.broadcast(wanted), [*within, "_piece"]).withColumn("_local", local).filter(
+        "_local = _offset"
+    ).select(*within, "want", F.struct("_order", key).alias("cut"))
 
 
 def _piece_bounds(df: DataFrame, key: str, seed: int, within: Sequence[str], digits: int) -> DataFrame:
@@ -98,25 +97,40 @@ def _at_ranks(bounds: DataFrame, within: Sequence[str], ranks: dict[str, Column]
     ).select(*within, "_piece", F.col("_w.want").alias("want"), (F.col("_w.at") - F.col("_base")).alias("_offset"))
 
 
-def _before_cuts(df: DataFrame, key: str, seed: int, ranks: dict[str, Column], digits: int) -> dict[str, Column]:
-    """Per name, whether a row's rank is below the wanted one.
+def _here(seed: int, key: str) -> Column:
+    """A row's place in the random order."""
+    return F.struct(random_key(seed, key).alias("_order"), F.col(key).alias(key))
+
 
-    The row at that rank is found once and compared with as a scalar, so the rows
-    themselves are not shuffled.
+def _cuts(df: DataFrame, key: str, seed: int, ranks: dict[str, Column], digits: int) -> Column:
+    """The places of the rows at the wanted ranks, as one scalar struct; null past the last row.
+
+    Whoever compares a row's place with it needs no shuffle of the rows.
     """
     wanted = _at_ranks(_piece_bounds(df, key, seed, (), digits), (), ranks)
-    cuts = _cut_rows(df, key, seed, (), wanted, digits).agg(
-        *[F.max(F.when(F.col("want") == name, F.col("cut"))).alias(name) for name in ranks]
-    )
-    here = F.struct(random_key(seed, key).alias("_order"), F.col(key).alias(key))
-    return {name: F.coalesce(here < cuts.select(name).scalar(), F.lit(True)) for name in ranks}
+    return _cut_rows(df, key, seed, (), wanted, digits).agg(
+        F.struct(*[F.max(F.when(F.col("want") == name, F.col("cut"))).alias(name) for name in ranks])
+    ).scalar()
+
+
+def _below(place: Column, cut: Column) -> Column:
+    return F.coalesce(place < cut, F.lit(True))
+
+
+def assign_split(
+    df: DataFrame, ids: DataFrame, key: str, seed: int, train: float = 0.8, vali: float = 0.1, digits: int = 4
+) -> DataFrame:
+    """Add ``split`` to rows by their ``key``; the exact sizes are those of ``ids``, one row per key."""
+    n_train, n_vali = _whole(F.col("total"), train), _whole(F.col("total"), vali)
+    cuts = _cuts(ids, key, seed, {"train": n_train, "vali": n_train + n_vali}, digits)
+    place = F.col("_place")
+    part = F.when(_below(place, cuts["train"]), "train").when(_below(place, cuts["vali"]), "vali").otherwise("test")
+    return df.withColumn("_place", _here(seed, key)).withColumn("split", part).drop("_place")
 
 
 def split(df: DataFrame, key: str, seed: int, train: float = 0.8, vali: float = 0.1, digits: int = 4) -> DataFrame:
     """Add ``split``: exactly int(N*train) train rows, int(N*vali) vali rows, the rest test."""
-    n_train, n_vali = _whole(F.col("total"), train), _whole(F.col("total"), vali)
-    below = _before_cuts(df, key, seed, {"train": n_train, "vali": n_train + n_vali}, digits)
-    return df.withColumn("split", F.when(below["train"], "train").when(below["vali"], "vali").otherwise("test"))
+    return assign_split(df, df, key, seed, train, vali, digits)
 
 
 def split_fast(df: DataFrame, key: str, seed: int, train: float = 0.8, vali: float = 0.1) -> DataFrame:
@@ -132,7 +146,8 @@ def pretrain_split(df: DataFrame, key: str, seed: int, train: float = 0.8, digit
 
 def labelled_flag(df: DataFrame, key: str, rate: float, seed: int, digits: int = 4) -> Column:
     """Whether a row of ``df`` is among exactly int(N*rate) random ones."""
-    return _before_cuts(df, key, seed, {"labelled": _whole(F.col("total"), rate)}, digits)["labelled"]
+    cuts = _cuts(df, key, seed, {"labelled": _whole(F.col("total"), rate)}, digits)
+    return _below(_here(seed, key), cuts["labelled"])
 
 
 def sample_labelled(df: DataFrame, key: str, rate: float, seed: int, digits: int = 4) -> DataFrame:
@@ -167,8 +182,7 @@ def balanced_flag(df: DataFrame, key: str, label: str, rate: float, seed: int, d
     wanted = _at_ranks(bounds.withColumn("_quota", quota), [label], {"labelled": F.col("_quota")})
     cuts = _cut_rows(known, key, seed, [label], wanted, digits)
     by_class = cuts.agg(F.map_from_entries(F.collect_list(F.struct(label, "cut")))).scalar()
-    here = F.struct(random_key(seed, key).alias("_order"), F.col(key).alias(key))
-    return F.col(label).isNotNull() & F.coalesce(here < F.try_element_at(by_class, F.col(label)), F.lit(True))
+    return F.col(label).isNotNull() & _below(_here(seed, key), F.try_element_at(by_class, F.col(label)))
 
 
 def sample_balanced(df: DataFrame, key: str, label: str, rate: float, seed: int, digits: int = 4) -> DataFrame:

@@ -122,10 +122,13 @@ def contiguous_windows(
     )
 
 
-def merge_window_labels(long: DataFrame, keys: Sequence[str], label: str, mode: str = "all") -> DataFrame:
+def merge_window_labels(
+    long: DataFrame, keys: Sequence[str], label: str, mode: str = "all", flag: str | None = None
+) -> DataFrame:
     """One label per window of long-form rows.
 
-    ``all``    windows with one distinct label
+    ``all``    windows with one distinct label; with ``flag``, all windows and
+               whether they have one
     ``any``    all windows: 0 when no label is above 0, else the only label, else
                the second smallest
     ``first``  all windows with the label of the first step
@@ -134,19 +137,26 @@ def merge_window_labels(long: DataFrame, keys: Sequence[str], label: str, mode:
         raise ValueError("mode is all, any or first")
     require_columns(long, [*keys, label, "step"])
     grouped = long.groupBy(*keys)
+    kept = F.lit(True)
     if mode == "first":
-        return grouped.agg(F.min_by(label, "step").alias(label))
-    if mode == "all":
-        return grouped.agg(F.min(label).alias(label), F.max(label).alias("_hi")).filter(
-            F.col(label) == F.col("_hi")
-        ).drop("_hi")
-    seen = F.array_sort(F.collect_set(label))  # at most one entry per step
-    return grouped.agg(seen.alias("_seen")).select(
-        *keys,
-        F.when(F.array_max("_seen") <= 0, F.lit(0))
-        .when(F.size("_seen") == 1, F.col("_seen")[0])
-        .otherwise(F.get("_seen", F.lit(1)))
-        .alias(label),
+        merged = grouped.agg(F.min_by(label, "step").alias(label))
+    elif mode == "all":
+        merged = grouped.agg(F.min(label).alias(label), F.max(label).alias("_hi"))
+        kept = F.col(label) == F.col("_hi")
+        if flag is None:
+            merged = merged.filter(kept)
+    else:
+        merged = grouped.agg(F.array_sort(F.collect_set(label)).alias("_seen"))  # at most one entry per step
+        merged = merged.withColumn(label, any_label("_seen"))
+    return merged.select(*keys, label, *([kept.alias(flag)] if flag is not None else []))
+
+
+def any_label(seen: str) -> Column:
+    """The label of a window from its distinct labels in order; see :func:`merge_window_labels`."""
+    return (
+        F.when(F.array_max(seen) <= 0, F.lit(0))
+        .when(F.size(seen) == 1, F.col(seen)[0])
+        .otherwise(F.get(seen, F.lit(1)))
     )
 
 

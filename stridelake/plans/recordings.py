@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stridelake.operators.labels import encode_sorted
 from stridelake.operators.ordered import number_rows
 from stridelake.operators.resample import _div, block_ids
-from stridelake.operators.windows import assemble_windows, tumbling_windows
+from stridelake.operators.windows import any_label, assemble_windows, tumbling_windows
 from stridelake.stream import Stream
 
 
@@ -44,12 +44,7 @@ def labelled_window_features(
         F.round(F.max(main), 6).alias(f"max_{main}"), F.round(F.avg(other), 6).alias(f"mean_{other}"),
         F.min(stream.time).alias("start_t"), seen.alias("_seen"),
     )
-    merged = (
-        F.when(F.array_max("_seen") <= 0, F.lit(0))
-        .when(F.size("_seen") == 1, F.col("_seen")[0])
-        .otherwise(F.get("_seen", F.lit(1)))
-    )
-    return windows.withColumn("label", merged).drop("_seen")
+    return windows.withColumn("label", any_label("_seen")).drop("_seen")
 
 
 def recording_windows(

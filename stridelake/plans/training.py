@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.operators.labels import zero_base
-from stridelake.operators.sampling import balanced_flag, labelled_flag, split
+from stridelake.operators.sampling import assign_split, balanced_flag, labelled_flag, split
 from stridelake.operators.windows import merge_window_labels, split_window_array, subwindows
 from stridelake.sources.folders import stored
 
@@ -41,10 +41,10 @@ def prepare_label_windows(
     train: float = 0.8, vali: float = 0.1, mode: str = "all",
 ) -> DataFrame:
     """Long-form windows whose steps carry labels: ``piece_id, split, label, labelled``."""
-    based = zero_base(long, [label])
-    # A window's label and its pieces' labels are all that the rest needs: one narrow table.
-    cut = subwindows(based.select(key, "step", label), key, size, piece)
-    merged = stored(merge_window_labels(cut, [key, "piece_id"], label, mode).withColumnRenamed(label, "label"), "pieces")
-    parts = split(stored(long.select(key).distinct(), "windows"), key, seed, train, vali)
-    placed = stored(merged.join(parts, key).drop(key), "parts")
+    # Pieces with their labels are narrow and all that the rest reads, several times over.
+    cut = subwindows(zero_base(long, [label]).select(key, "step", label), key, size, piece)
+    merged = merge_window_labels(cut, [key, "piece_id"], label, mode, flag="_kept").withColumnRenamed(label, "label")
+    pieces = stored(merged, "pieces")
+    ids = pieces.select(key).distinct()
+    placed = assign_split(pieces.filter("_kept"), ids, key, seed, train, vali).drop("_kept", key)
     return _sample_train(placed, label_rate, balance, seed).select("piece_id", "split", "label", "labelled")
