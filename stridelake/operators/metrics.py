@@ -51,9 +51,11 @@ def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted",
 def confusion_dense(cells: DataFrame) -> DataFrame:
     """All cells over the classes seen on either side, empty ones with 0.
 
-    The classes fit in a row; their grid is the result itself.
+    The classes fit in a row; their grid is the result itself.  The counts are kept
+    in both branches, so both read one shuffle of them.
     """
-    seen = cells.agg(F.array_union(F.collect_set("actual"), F.collect_set("predicted")).alias("_classes"))
+    classes = F.array_union(F.collect_set("actual"), F.collect_set("predicted"))
+    seen = cells.agg(classes.alias("_classes"), F.sum("n_rows").alias("_n")).filter("_n > 0")
     grid = seen.select(F.explode("_classes").alias("actual"), "_classes").select(
         "actual", F.explode("_classes").alias("predicted")
     )
