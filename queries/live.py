@@ -65,10 +65,10 @@ def x2(spark, d):
                          then 1 else 0 end as fresh from evn),
         g as (select *, sum(fresh) over (partition by user_id order by seq) as run_id from f),
         r as (select user_id, run_id, count(*) as n_rows, min(t_us) as first_us, max(t_us) as last_us from g group by 1, 2)
-        select user_id, n_rows, first_us, last_us from r where last_us + {12 * HOUR} <= {CLOSED} // 1000 * 1000""",
+        select user_id, n_rows, first_us, last_us from r where last_us + {12 * HOUR} - 1 <= {CLOSED} // 1000 * 1000""",
 )
 def x3(spark, d):
-    sessions = finish(spark, S.stream_sessions(feed(spark, d), ["user_id"], "ts", "12 hours", DELAY))
+    sessions = finish(spark, S.stream_sessions(feed(spark, d), ["user_id"], "ts", 12 * HOUR, DELAY))
     return sessions.select(
         "user_id", "n_rows", F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us")
     )

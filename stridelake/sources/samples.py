@@ -48,31 +48,35 @@ def read_samples(
 ) -> DataFrame:
     """Rows of delimited files under a stated schema, never inferred.
 
-    ``header`` skips the first line of each file.  Lines that do not fit the
-    schema (a second header line, a cut line) are left out, or kept with their
-    text in ``_malformed``.  ``path_keys`` adds columns taken from the file's path:
-    ``{"user": (regex, "int")}`` casts the regex's first group.
+    ``header`` skips the first line of each file.  A line with a value that its
+    column's type cannot hold (a second header line, noise) is left out, or kept
+    with its text in ``_malformed``; all columns of the schema are looked at, so it
+    does not matter which are read later.  Missing fields at the end are null.
+    ``path_keys`` adds columns taken from the file's path: ``{"user": (regex, "int")}``
+    casts the regex's first group.
     """
     fields = _as_struct(schema)
     chosen = list(columns) if columns is not None else fields.names
     missing = [c for c in chosen if c not in fields.names]
     if missing:
         raise ValueError(f"columns {missing} are not in the schema {fields.names}")
-    with_text = T.StructType([*fields.fields, T.StructField(MALFORMED, T.StringType())])
-    rows = spark.read.csv(
-        list(path) if not isinstance(path, str) else path, schema=with_text, sep=sep, header=header, mode="PERMISSIVE",
-        columnNameOfCorruptRecord=MALFORMED, enforceSchema=True, ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True,
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in fields.names])
+    raw = spark.read.csv(
+        list(path) if not isinstance(path, str) else path, schema=texts, sep=sep, header=header, mode="PERMISSIVE",
+        enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
     )
-    keys = []
-    for name, (pattern, kind) in (path_keys or {}).items():
-        text = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
-        keys.append(F.nullif(text, F.lit("")).try_cast(kind).alias(name))
-    # All fields are asked for, so a bad value in one of them counts whatever is kept.
-    rows = rows.select(*fields.names, MALFORMED, *keys)
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in fields}
+    bad = F.lit(False)
+    for name in fields.names:
+        bad = bad | (F.col(name).isNotNull() & typed[name].isNull())
+    keys = [
+        F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1), F.lit("")).try_cast(kind).alias(name)
+        for name, (pattern, kind) in (path_keys or {}).items()
+    ]
+    values = [typed[c].alias(c) for c in chosen]
     if drop_malformed:
-        return rows.filter(F.col(MALFORMED).isNull()).select(*chosen, *(path_keys or {}))
-    return rows.select(*chosen, *(path_keys or {}), MALFORMED)
+        return raw.filter(~bad).select(*values, *keys)
+    return raw.select(*values, *keys, F.when(bad, F.concat_ws(sep, *fields.names)).alias(MALFORMED))
 
 
 def with_path_keys(df: DataFrame, path_keys: Mapping[str, tuple[str, str]], path: str = "file_path") -> DataFrame:

@@ -56,10 +56,14 @@ def stream_resample(
     return buckets.select(*keys, F.col("_w.start").alias("bucket_start"), "n_rows", *channels)
 
 
-def stream_sessions(df: DataFrame, keys: Sequence[str], time: str, gap: str, delay: str) -> DataFrame:
-    """Runs of rows less than ``gap`` apart: count, first and last time."""
+def stream_sessions(df: DataFrame, keys: Sequence[str], time: str, gap_us: int, delay: str) -> DataFrame:
+    """Runs of rows less than ``gap_us`` microseconds apart: count, first and last time.
+
+    Session windows join at equal bounds, so theirs is one microsecond shorter.
+    """
     require_columns(df, [*keys, time])
-    sessions = df.withWatermark(time, delay).groupBy(*keys, F.session_window(time, gap).alias("_w")).agg(
+    window = F.session_window(time, f"{gap_us - 1} microseconds")
+    sessions = df.withWatermark(time, delay).groupBy(*keys, window.alias("_w")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time")
     )
     return sessions.select(*keys, "n_rows", "first_time", "last_time")
