@@ -8,6 +8,7 @@ from stridelake import Stream
 from stridelake.operators import joins as J
 from stridelake.operators import ordered as O
 from stridelake.operators import windows as W
+from stridelake.stream import fit_slices
 
 IS_LABEL = "event_type in ('signup', 'purchase')"
 
@@ -82,6 +83,15 @@ def j3(spark, d):
     return nearest(spark, d)
 
 
+@query("j3_join_nearest_fitted", f"with {NEAREST} select * from aligned")
+def j3_fitted(spark, d):
+    """With slices fitted to the data instead of weeks."""
+    samples, labels = samples_and_labels(spark, d)
+    return J.join_nearest(
+        samples, labels, fit_slices(samples, EVENTS, 32), "label_t", ["label_event"], ["event_type", "label_event"]
+    )
+
+
 @query(
     "j3_join_nearest_ties",
     f"""with {LIN},
@@ -156,7 +166,7 @@ def j5(spark, d):
         from w group by user_id, session, island, window_no""",
 )
 def j5_windows(spark, d):
-    runs = J.tick_runs(fused(spark, d), ["user_id"], EVENTS.slice_width, 12 * HOUR)
+    runs = J.tick_runs(fused(spark, d), EVENTS, 12 * HOUR)
     chunks = W.chunk_runs(runs, EVENTS, 3)
     return W.full_windows(
         chunks, ["user_id", "session", "run_id", "window_no"], 3,

@@ -7,6 +7,7 @@ from queries.views import EV, EVENTS, EVN, HOUR, ITEMS, LIN, events, items
 from stridelake import Stream
 from stridelake.operators import ordered as O
 from stridelake.operators import resample as R
+from stridelake.stream import fit_slices
 
 
 def rounded(df, *columns):
@@ -21,6 +22,13 @@ def r0(spark, d):
     return O.number_rows(events(spark, d).select("user_id", "event_id", "t_us"), EVENTS).drop("t_us")
 
 
+@query("r0_number_rows_fitted", f"with {EVN} select user_id, event_id, seq, n from evn")
+def r0_fitted(spark, d):
+    """With slices fitted to the data instead of weeks."""
+    rows = events(spark, d).select("user_id", "event_id", "t_us")
+    return O.number_rows(rows, fit_slices(rows, EVENTS, 60)).drop("t_us")
+
+
 @query(
     "r1_block_mean_whole",
     f"with {EVN} select user_id, seq // 3 as block, count(*) as n_rows, {BLOCKS} from evn group by 1, 2",

@@ -63,7 +63,7 @@ def join_nearest(
         F.lit(None).cast(merged_labels.schema["_label"].dataType).alias("_label"), F.lit(1).alias("_kind"),
         F.struct(*samples.columns).alias("_row"),
     )
-    by_time = Stream(stream.keys, "_t", (), stream.slice_width)
+    by_time = stream.ordered_by("_t")
     merged = by_time.sliced(merged_labels.unionByName(merged_samples))
 
     # Labels of a slice: its last, with the first of that time, and its first.
@@ -141,7 +141,7 @@ def fuse_sensors(
         f.select(*stream.columns, label, *channels).withColumn("_sensor", F.lit(i)) for i, f in enumerate((first, second))
     ]
     merged = tagged[0].unionByName(tagged[1])
-    both = Stream(stream.keys, stream.time, ("_sensor", *stream.ties), stream.slice_width)
+    both = stream.ordered_by(stream.time, ("_sensor", *stream.ties))
     t = stream.time
     sessions = mark_runs(
         merged,
@@ -167,16 +167,15 @@ def fuse_sensors(
     )
 
 
-def tick_runs(ticks: DataFrame, keys: Sequence[str], slice_width: int, width: int) -> DataFrame:
+def tick_runs(ticks: DataFrame, stream: Stream, width: int) -> DataFrame:
     """Runs of ticks that follow one another in a session; see ``chunk_runs``.
 
     A session ends ``width`` after its last row, so two sessions may meet at one
     tick distance: the session is compared as well.
     """
-    by_tick = Stream(tuple(keys), "tick_t", ("session",), slice_width)
     return mark_runs(
         ticks,
-        by_tick,
+        stream.ordered_by("tick_t", ("session",)),
         lambda prev, cur: (cur("tick_t") - prev("tick_t") != width) | (cur("session") != prev("session")),
     )
 

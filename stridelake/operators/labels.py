@@ -77,7 +77,8 @@ def encode_first_seen(df: DataFrame, column: str, order: Sequence[str], out: str
 def zero_base(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Subtract each column's smallest value, found once and passed on as a scalar."""
     require_columns(df, columns)
-    return df.withColumns({c: F.col(c) - df.agg(F.min(c)).scalar() for c in columns})
+    lowest = df.agg(F.struct(*[F.min(c).alias(c) for c in columns])).scalar()
+    return df.withColumns({c: F.col(c) - lowest[c] for c in columns})
 
 
 def composite_label(df: DataFrame, columns: Sequence[str], out: str = "composite") -> DataFrame:

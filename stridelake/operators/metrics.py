@@ -135,7 +135,7 @@ def _cumulative(df: DataFrame, score: str, label: str, buckets: int) -> DataFram
         F.sum((F.col(label) > 0).cast("bigint")).alias("pos"), F.sum((F.col(label) <= 0).cast("bigint")).alias("neg")
     )
     cuts = sorted(set(counts.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    splits = [float("-inf"), *cuts, float("inf")]
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="score", outputCol="_bucket").transform(counts)
     sums = placed.groupBy("_bucket").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     higher = Window.partitionBy().orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)

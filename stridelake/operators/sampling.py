@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from stridelake.stream import require_columns
 
 
+# One cut row per class is sent to every task.
+MAX_CLASSES = 100_000
+
+
 def random_key(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
@@ -176,9 +180,10 @@ def balanced_flag(df: DataFrame, key: str, label: str, rate: float, seed: int, d
     known = df.filter(F.col(label).isNotNull())
     bounds = _piece_bounds(known, key, seed, [label], digits)
     totals = bounds.groupBy(label).agg(F.max("total").alias("total"))
-    quota = totals.agg(
-        F.least(F.min("total"), F.floor(F.sum("total") * F.lit(float(rate)) / F.count(F.lit(1))).cast("bigint"))
-    ).scalar()
+    classes = F.count(F.lit(1))
+    fair = F.least(F.min("total"), F.floor(F.sum("total") * F.lit(float(rate)) / classes).cast("bigint"))
+    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes to balance")).cast("bigint")
+    quota = totals.agg(F.when(classes > MAX_CLASSES, too_many).otherwise(fair)).scalar()
     wanted = _at_ranks(bounds.withColumn("_quota", quota), [label], {"labelled": F.col("_quota")})
     cuts = _cut_rows(known, key, seed, [label], wanted, digits)
     by_class = cuts.agg(F.map_from_entries(F.collect_list(F.struct(label, "cut")))).scalar()

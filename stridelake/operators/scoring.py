@@ -17,8 +17,15 @@ from stridelake.functions.batch import score
 from stridelake.functions.features import normalize
 from stridelake.operators.metrics import accuracy_and_f1, argmax
 
+# Weights go to every executor; a larger model belongs in a file that the function loads.
+MAX_WEIGHT_BYTES = 1 << 30
+
+
 def _shared(df: DataFrame, weights: Mapping[str, np.ndarray]):
-    """Weights of a given model, a fixed few hundred kilobytes, once per executor."""
+    """Weights of a given model once per executor, a few hundred kilobytes for the bundled nets."""
+    size = sum(w.nbytes for w in weights.values())
+    if size > MAX_WEIGHT_BYTES:
+        raise ValueError(f"weights of {size} bytes are too large to broadcast")
     return df.sparkSession.sparkContext.broadcast(dict(weights))
 
 

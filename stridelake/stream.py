@@ -9,17 +9,23 @@ of the slice before, the run that is still open) comes from a summary with one
 row per slice, which a map-side aggregation makes small before it is shuffled.
 
 A sensor has a bounded rate, so ``rate x slice_width`` bounds the rows of a
-slice; ``largest_slices`` measures it for data of unknown density.
+slice.  For data without such a bound, ``largest_slices`` measures and
+``fit_slices`` cuts the long recordings, and only those, at quantiles of their
+own times, so that a burst gets as many slices as it has rows for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from stridelake.sources.folders import stored
+
 SLICE = "_slice"
 
 
@@ -38,12 +44,15 @@ class Stream:
     time         BIGINT column that leads the order (a time, or a file row number)
     ties         columns that make the order total
     slice_width  length of a slice, in the unit of ``time``
+    cuts, long   set by :func:`fit_slices`: bounds of slices, and the recordings they apply to
     """
 
     keys: tuple[str, ...]
     time: str
     ties: tuple[str, ...] = ()
     slice_width: int = 3_600_000_000
+    cuts: tuple[float, ...] | None = None
+    long: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         if self.slice_width <= 0:
@@ -57,16 +66,24 @@ class Stream:
     def slice_keys(self) -> list[str]:
         return [*self.keys, SLICE]
 
-    def slice_of(self, time: Column | None = None) -> Column:
-        t = F.col(self.time) if time is None else time
-        width = F.lit(self.slice_width).cast("bigint")
-        return ((t - F.pmod(t, width)) / width).cast("bigint")
-
     def sliced(self, df: DataFrame) -> DataFrame:
+        """Add the slice of each row."""
         if SLICE in df.columns:
             return df
         require_columns(df, self.columns)
-        return df.withColumn(SLICE, self.slice_of())
+        if self.cuts is None:
+            t, width = F.col(self.time), F.lit(self.slice_width).cast("bigint")
+            return df.withColumn(SLICE, ((t - F.pmod(t, width)) / width).cast("bigint"))
+        whole = F.when(F.col(self.time).isNotNull(), F.lit(0).cast("bigint"))
+        if not self.cuts:
+            return df.withColumn(SLICE, whole)
+        marked = df.join(F.broadcast(self.long.withColumn("_long", F.lit(True))), list(self.keys), "left")
+        bounds = [float("-inf"), *self.cuts, float("inf")]
+        placed = Bucketizer(splits=bounds, inputCol="_time", outputCol="_bucket").transform(
+            marked.withColumn("_time", F.col(self.time).cast("double"))
+        )
+        place = F.when(F.col("_long"), F.col("_bucket").cast("bigint")).otherwise(whole)
+        return placed.select(*df.columns, place.alias(SLICE))
 
     def in_slice(self) -> WindowSpec:
         return Window.partitionBy(*self.slice_keys).orderBy(self.time, *self.ties)
@@ -75,8 +92,9 @@ class Stream:
         """For slice summaries only: one row per slice, never the samples."""
         return Window.partitionBy(*self.keys).orderBy(SLICE)
 
-    def with_keys(self, *extra: str) -> Stream:
-        return replace(self, keys=(*self.keys, *extra))
+    def ordered_by(self, time: str, ties: tuple[str, ...] = ()) -> Stream:
+        """The same recordings and slices under another name of the time and other ties."""
+        return replace(self, time=time, ties=ties)
 
 
 def largest_slices(df: DataFrame, stream: Stream, k: int = 10) -> DataFrame:
@@ -88,3 +106,29 @@ def largest_slices(df: DataFrame, stream: Stream, k: int = 10) -> DataFrame:
         .orderBy(F.desc("n_rows"), *stream.slice_keys)
         .limit(k)
     )
+
+
+MAX_SLICES = 10_000
+
+
+def fit_slices(df: DataFrame, stream: Stream, max_rows: int = 5_000_000) -> Stream:
+    """``stream`` with slices cut so that a slice holds about ``max_rows`` rows at most.
+
+    Recordings of up to ``max_rows`` rows stay whole.  The longer ones, of which
+    there are at most ``rows / max_rows``, are cut at quantiles of their times, up
+    to MAX_SLICES.  Runs jobs now; what it finds is fixed in the result.
+    """
+    require_columns(df, stream.columns)
+    if max_rows < 1:
+        raise ValueError("max_rows must be positive")
+    sizes = df.groupBy(*stream.keys).agg(F.count(stream.time).alias("_rows")).filter(F.col("_rows") > max_rows)
+    long = stored(sizes, "long-recordings")
+    total = long.agg(F.sum("_rows")).first()[0] or 0
+    long = long.select(*stream.keys)
+    slices = min(2 * math.ceil(total / max_rows), MAX_SLICES)
+    cuts: list[float] = []
+    if slices > 1:
+        times = df.join(F.broadcast(long), list(stream.keys), "left_semi")
+        shares = [i / slices for i in range(1, slices)]
+        cuts = times.withColumn("_time", F.col(stream.time).cast("double")).approxQuantile("_time", shares, 0.25 / slices)
+    return replace(stream, cuts=tuple(sorted(set(cuts))), long=long)

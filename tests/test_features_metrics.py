@@ -170,3 +170,7 @@ def test_accuracy_is_skipped_when_sizes_differ(spark):
     predictions = spark.createDataFrame([(0, 1), (1, 0)], "id int, predicted int")
     assert E.accuracy_if_aligned(labels, predictions, "id").first().accuracy == 0.5
     assert E.accuracy_if_aligned(labels, predictions.limit(1), "id").first().accuracy is None
+
+
+def test_auc_of_nothing_is_undefined(spark):
+    assert E.roc_auc(spark.createDataFrame([], "label int, score double")).first().auc is None

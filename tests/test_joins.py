@@ -57,7 +57,7 @@ def test_fused_ticks_need_both_sensors_and_one_label(spark):
     assert [(r.session, r.tick, r.y, r.acc_x, r.gyro_x, r.tick_t) for r in ticks] == [
         (0, 0, "a", 2.0, 10.0, 0), (0, 1, "a", 5.0, 30.0, 10), (2, 0, "b", 9.0, 50.0, 45),
     ]
-    runs = J.tick_runs(J.fuse_sensors(acc, gyro, S, ["x"], "y", 10), ["s"], 10, 10)
+    runs = J.tick_runs(J.fuse_sensors(acc, gyro, S, ["x"], "y", 10), S, 10)
     windows = W.full_windows(W.chunk_runs(runs, S, 2), ["s", "run_id", "window_no"], 2, F.min("tick_t").alias("t")).collect()
     assert [(r.run_id, r.window_no, r.t) for r in windows] == [(0, 0, 0)]
 

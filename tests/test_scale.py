@@ -13,6 +13,7 @@ from stridelake.operators import joins as J
 from stridelake.operators import ordered as O
 from stridelake.operators import resample as R
 from stridelake.operators import windows as W
+from stridelake.stream import fit_slices
 
 # Run over files or fitted models while they are built; their parts are covered elsewhere.
 EAGER = {"m7_fit_classifier", "m8_select_best", "e8_pca_project", "t8_prepare_event_windows"}
@@ -91,6 +92,29 @@ def test_a_hot_recording_is_spread_over_tasks(spark, skewed, build):
     assert sizes <= 40
 
 
+def test_a_burst_is_cut_into_many_slices(spark):
+    """Half of one recording falls into a thousandth of its time; short recordings stay whole."""
+    burst = spark.range(8000).select(
+        F.lit(0).alias("s"), F.col("id").alias("i"),
+        F.when(F.col("id") < 4000, F.col("id") * 1000).otherwise(F.col("id") - 4000).alias("t"),
+    )
+    short = spark.range(2000).select((F.col("id") % 50 + 1).cast("int").alias("s"), "id", (F.col("id") * 2).alias("t"))
+    df = burst.unionByName(short.withColumnRenamed("id", "i"))
+    fitted = fit_slices(df, HOT, max_rows=500)
+    counts = fitted.sliced(df).groupBy(*fitted.slice_keys).count()
+    assert counts.filter("s = 0").agg(F.max("count")).first()[0] <= 500
+    assert counts.filter("s <> 0").count() == 50
+    want = {(r.s, r.i): r.seq for r in O.number_rows(df, HOT).collect()}
+    assert {(r.s, r.i): r.seq for r in O.number_rows(df, fitted).collect()} == want
+    sessions = [sorted(map(tuple, W.gap_sessions(df, x, 700).collect())) for x in (HOT, fitted)]
+    assert sessions[0] == sessions[1]
+
+
+def test_fitting_without_long_recordings_keeps_them_whole(spark, skewed):
+    fitted = fit_slices(skewed, HOT, max_rows=1_000_000)
+    assert fitted.cuts == () and fitted.sliced(skewed).select("_slice").distinct().count() == 1
+
+
 def test_results_do_not_depend_on_shuffle_partitions(spark, skewed):
     def results():
         return [
