@@ -30,6 +30,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 MODULES = (
     "columns", "alignment", "resampling", "windowing", "labelling", "sampling", "features", "evaluation", "sources", "live",
+    "plans",
 )
 
 
