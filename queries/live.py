@@ -3,8 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries import query
-from queries.views import DAY, EV, EVN, HOUR, events, table
+from queries.views import DAY, EV, EVENTS, EVN, HOUR, events, table, tall
 from stridelake.operators.metrics import decide
+from stridelake.operators.ordered import number_rows
 from stridelake.functions.batch import score
 from stridelake.sources.folders import shared_folder
 from stridelake.streaming import live as S
@@ -92,3 +93,20 @@ def x4(spark, d):
         "user_id", "window_no", F.col("first_order").alias("first_event"),
         F.round(F.col("scores")[0], 6).alias("mean_value"), "predicted",
     )
+
+
+@query(
+    "x4_stream_windows_numbered",
+    f"""with {EVN}, w as (select *, unnest(range(0, (n - 8) // 4 + 1)) as w from evn where n >= 8)
+        select user_id, w as window_no, seq - w * 4 as step, ch.i as ch, case ch.i when 0 then value else k end as v
+        from w, range(2) ch(i) where seq between w * 4 and w * 4 + 7""",
+)
+def x4_numbered(spark, d):
+    """Windows of a stream whose rows carry their number; state per window."""
+    path = shared_folder(spark, "numbered")
+    number_rows(events(spark, d), EVENTS).select("user_id", "seq", "value", "k").write.parquet(path)
+    rows = spark.readStream.schema("user_id bigint, seq bigint, value double, k double").parquet(path)
+    return tall(
+        finish(spark, S.stream_windows_numbered(rows, "user_id", "seq", ["value", "k"], size=8, hop=4)),
+        ["user_id", "window_no"],
+    )

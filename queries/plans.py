@@ -3,12 +3,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries import query
-from queries.views import EVENTS, EVN, events, tall
+from queries.alignment import FUSE
+from queries.views import DAY, EV, EVENTS, EVN, HOUR, events, tall
 from stridelake.functions import nets
 from stridelake.operators.labels import encode_sorted
 from stridelake.operators.metrics import prediction_distribution
 from stridelake.plans.log_scoring import predict_log, predict_log_with
-from stridelake.plans.recordings import recording_windows, resampled_with_labels
+from stridelake.plans.recordings import fused_windows, nearest_windows, recording_windows, resampled_with_labels
 
 NAMES = ["rest", "move"]
 
@@ -79,3 +80,52 @@ def network(spark, d):
     )
     weights = nets.random_weights(5, 6, 24, 48, 8, classes=2)
     return predict_log(samples, EVENTS, NAMES, weights, weights, sensor="average", size=8, hop=8)
+
+
+@query(
+    "plan_nearest_windows",
+    f"""with {EV},
+        span as (select user_id, min(t_us) t0, max(t_us) t1 from ev group by 1),
+        grid as (
+          select user_id, t0 + i * {6 * HOUR} as g
+          from (select user_id, t0, unnest(range(0, (2 * (t1 - t0) + {6 * HOUR} + {12 * HOUR} - 1) // {12 * HOUR})) as i
+                from span where t1 > t0)),
+        picked as (
+          select distinct g.user_id, arg_min(e.event_id, (abs(e.t_us - g.g), -e.t_us)) as event_id
+          from grid g join ev e on e.user_id = g.user_id group by g.user_id, g.g),
+        kept as (
+          select e.*, row_number() over (partition by e.user_id order by e.t_us, e.event_id) - 1 as seq,
+                 count(*) over (partition by e.user_id) as n from picked join ev e using (event_id)),
+        w as (select *, unnest(range(0, (n - 8) // 8 + 1)) as w from kept where n >= 8)
+        select user_id, w as window_no, arg_min(event_type, seq) as event_type,
+               round(sum(cast(cast(value as float) as double)), 3) as total
+        from w where seq between w * 8 and w * 8 + 7 group by 1, 2""",
+)
+def nearest(spark, d):
+    made = nearest_windows(events(spark, d), EVENTS, ["value"], "event_type", size=8, hop=8, step=6 * HOUR)
+    cells = F.transform(F.flatten("data"), lambda v: v.cast("double"))
+    return made.select(
+        "user_id", "window_no", "event_type", F.round(F.aggregate(cells, F.lit(0.0), lambda s, v: s + v), 3).alias("total")
+    )
+
+
+@query(
+    "plan_fused_windows",
+    f"""with {FUSE}, i as (
+          select *, tick - row_number() over (partition by user_id, session order by tick) as island from ticks),
+        p as (select *, row_number() over r - 1 as run_pos, count(*) over (partition by user_id, session, island) as run_n
+              from i window r as (partition by user_id, session, island order by tick)),
+        w as (select *, unnest(range(0, (run_n - 3) // 2 + 1)) as window_no from p where run_n >= 3)
+        select user_id, session, window_no, cast(run_pos - window_no * 2 as integer) as step, tick_t, label,
+               round(acc_value, 6) as acc_value, round(gyro_value, 6) as gyro_value
+        from (select *, anchor_t + tick * {12 * HOUR} as tick_t from w)
+        where run_pos between window_no * 2 and window_no * 2 + 2""",
+)
+def fused(spark, d):
+    ev = events(spark, d).select("user_id", "event_id", "t_us", F.expr(f"t_us div {3 * DAY}").alias("label"), "value")
+    sensors = [ev.filter(F.col("event_id") % 2 == i) for i in (0, 1)]
+    rows = fused_windows(*sensors, EVENTS, ["value"], "label", 12 * HOUR, size=3, overlap=1)
+    return rows.select(
+        "user_id", "session", "window_no", "step", "tick_t", "label", F.round("acc_value", 6).alias("acc_value"),
+        F.round("gyro_value", 6).alias("gyro_value"),
+    )

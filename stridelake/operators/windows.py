@@ -123,7 +123,8 @@ def contiguous_windows(
 
 
 def merge_window_labels(
-    long: DataFrame, keys: Sequence[str], label: str, mode: str = "all", flag: str | None = None
+    long: DataFrame, keys: Sequence[str], label: str, mode: str = "all", flag: str | None = None,
+    lowest: str | None = None,
 ) -> DataFrame:
     """One label per window of long-form rows.
 
@@ -132,23 +133,26 @@ def merge_window_labels(
     ``any``    all windows: 0 when no label is above 0, else the only label, else
                the second smallest
     ``first``  all windows with the label of the first step
+
+    ``lowest`` adds the smallest label of the window's steps.
     """
     if mode not in ("all", "any", "first"):
         raise ValueError("mode is all, any or first")
     require_columns(long, [*keys, label, "step"])
-    grouped = long.groupBy(*keys)
+    low = F.min(label).alias("_lo")
     kept = F.lit(True)
     if mode == "first":
-        merged = grouped.agg(F.min_by(label, "step").alias(label))
+        merged = long.groupBy(*keys).agg(F.min_by(label, "step").alias(label), low)
     elif mode == "all":
-        merged = grouped.agg(F.min(label).alias(label), F.max(label).alias("_hi"))
+        merged = long.groupBy(*keys).agg(F.min(label).alias(label), F.max(label).alias("_hi"), low)
         kept = F.col(label) == F.col("_hi")
         if flag is None:
             merged = merged.filter(kept)
     else:
-        merged = grouped.agg(F.array_sort(F.collect_set(label)).alias("_seen"))  # at most one entry per step
-        merged = merged.withColumn(label, any_label("_seen"))
-    return merged.select(*keys, label, *([kept.alias(flag)] if flag is not None else []))
+        seen = F.array_sort(F.collect_set(label)).alias("_seen")  # at most one entry per step
+        merged = long.groupBy(*keys).agg(seen, low).withColumn(label, any_label("_seen"))
+    extra = [kept.alias(flag)] if flag is not None else []
+    return merged.select(*keys, label, *extra, *([F.col("_lo").alias(lowest)] if lowest is not None else []))
 
 
 def any_label(seen: str) -> Column:

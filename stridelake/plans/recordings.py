@@ -7,10 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stridelake.operators.joins import fuse_sensors, tick_runs
 from stridelake.operators.labels import encode_sorted
 from stridelake.operators.ordered import number_rows
-from stridelake.operators.resample import _div, block_ids
-from stridelake.operators.windows import any_label, assemble_windows, tumbling_windows
+from stridelake.operators.resample import block_ids, resample_nearest
+from stridelake.operators.windows import (
+    any_label,
+    assemble_windows,
+    chunk_runs,
+    sliding_windows,
+    tumbling_windows,
+)
+from stridelake.sources.folders import stored
 from stridelake.stream import Stream
 
 
@@ -55,3 +63,35 @@ def recording_windows(
         resampled_with_labels(df, stream, channels, label, p, q), stream, size, size + 1 if strict else None
     )
     return assemble_windows(long, [*stream.keys, "window_no"], channels, first=["label"])
+
+
+def nearest_windows(
+    df: DataFrame, stream: Stream, channels: Sequence[str], label: str, size: int, hop: int, hz: float | None = None,
+    step: int | None = None,
+) -> DataFrame:
+    """Rows nearest to a grid, cut into sliding windows; the label is that of step 0.
+
+    Windows count the rows that stayed, and a primitive reads its input twice
+    (samples and summary), so the resampled rows are stored in between.
+    """
+    columns = list(dict.fromkeys([*stream.columns, *channels, label]))
+    kept = stored(resample_nearest(df.select(*columns), stream, hz, step), "resampled")
+    long = sliding_windows(kept, stream, size, hop)
+    return assemble_windows(long, [*stream.keys, "window_no"], channels, first=[label])
+
+
+def fused_windows(
+    first: DataFrame, second: DataFrame, stream: Stream, channels: Sequence[str], label: str, width: int, size: int,
+    overlap: int = 0, names: tuple[str, str] = ("acc", "gyro"),
+) -> DataFrame:
+    """Two sensors fused on ticks; windows of consecutive ticks with their label, in long form.
+
+    ``keys, run_id, window_no, step`` and the ticks' columns; windows that a run
+    leaves unfinished are out.
+    """
+    ticks = stored(fuse_sensors(first, second, stream, channels, label, width, names), "ticks")
+    runs = tick_runs(ticks, stream, width)
+    chunks = chunk_runs(runs, stream, size, overlap)
+    window = [*stream.keys, "run_id", "window_no"]
+    whole = chunks.groupBy(*window).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") == size).drop("_rows")
+    return chunks.join(whole, window, "left_semi")

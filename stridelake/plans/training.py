@@ -41,10 +41,14 @@ def prepare_label_windows(
     train: float = 0.8, vali: float = 0.1, mode: str = "all",
 ) -> DataFrame:
     """Long-form windows whose steps carry labels: ``piece_id, split, label, labelled``."""
+    # Only the "any" rule depends on where labels begin; the others are shifted once they are stored.
+    based = zero_base(long, [label]) if mode == "any" else long
+    cut = subwindows(based.select(key, "step", label), key, size, piece)
+    merged = merge_window_labels(cut, [key, "piece_id"], label, mode, flag="_kept", lowest="_low")
     # Pieces with their labels are narrow and all that the rest reads, several times over.
-    cut = subwindows(zero_base(long, [label]).select(key, "step", label), key, size, piece)
-    merged = merge_window_labels(cut, [key, "piece_id"], label, mode, flag="_kept").withColumnRenamed(label, "label")
-    pieces = stored(merged, "pieces")
+    pieces = stored(merged.withColumnRenamed(label, "label"), "pieces")
+    if mode != "any":
+        pieces = pieces.withColumn("label", F.col("label") - pieces.agg(F.min("_low")).scalar())
     ids = pieces.select(key).distinct()
-    placed = assign_split(pieces.filter("_kept"), ids, key, seed, train, vali).drop("_kept", key)
+    placed = assign_split(pieces.filter("_kept"), ids, key, seed, train, vali).drop("_kept", "_low", key)
     return _sample_train(placed, label_rate, balance, seed).select("piece_id", "split", "label", "labelled")

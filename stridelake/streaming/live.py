@@ -77,8 +77,11 @@ def stream_windows(
     Rows count in the order in which triggers bring them; those of one trigger are
     sorted by ``order``.  A row behind the last one taken is late: it is left out
     and counted in ``late_rows`` of the recording's next window.  The state of a
-    recording holds fewer than ``size`` rows; ``maxFilesPerTrigger`` bounds what
-    one trigger brings.
+    recording holds fewer than ``size`` rows.
+
+    Counting arrivals ties a recording to one task, which holds what a trigger
+    brings of it (``maxFilesPerTrigger`` bounds that).  Where rows carry a number,
+    :func:`stream_windows_numbered` spreads a recording over tasks.
     """
     if size <= 0 or hop <= 0:
         raise ValueError("size and hop must be positive")
@@ -130,6 +133,70 @@ def stream_windows(
     )
 
 
+def stream_windows_numbered(
+    df: DataFrame, key: str, seq: str, channels: Sequence[str], size: int, hop: int, out: str = "data",
+    time: str | None = None, delay: str = "0 seconds", forget_after_ms: int = 0,
+) -> DataFrame:
+    """Full windows of recordings whose rows are numbered 0, 1, ... by their source.
+
+    The number says which windows a row belongs to, so the state is kept per window:
+    a long recording is spread, a task holds ``size`` rows of a window, and rows may
+    come in any order.  A window that loses a row never fills; with an event
+    ``time`` and its watermark ``delay``, its state goes once the watermark is
+    ``forget_after_ms`` past its last row.
+    """
+    if size <= 0 or hop <= 0:
+        raise ValueError("size and hop must be positive")
+    require_columns(df, [key, seq, *channels, *([time] if time else [])])
+    schema = T.StructType(
+        [
+            T.StructField(key, df.schema[key].dataType),
+            T.StructField("window_no", T.LongType()),
+            T.StructField(out, T.ArrayType(T.ArrayType(T.DoubleType()))),
+        ]
+    )
+    width = len(channels)
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+
+    def collect(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            steps, cells, last_ms = state.get
+            steps, cells = list(steps), list(cells)
+        else:
+            steps, cells, last_ms = [], [], 0
+        for frame in frames:
+            steps += frame["_step"].tolist()
+            last_ms = max(last_ms, int(frame["_ms"].max()))
+            cells += frame[list(channels)].to_numpy("float64").ravel().tolist()
+        if len(steps) < size:
+            state.update((steps, cells, last_ms))
+            if time:
+                state.setTimeoutTimestamp(max(last_ms + forget_after_ms, state.getCurrentWatermarkMs()) + 1)
+            return
+        if state.exists:
+            state.remove()
+        rows = np.array(cells).reshape(-1, width)[np.argsort(steps)]
+        yield pd.DataFrame([(*keys, rows.tolist())], columns=schema.names)
+
+    number = F.col(seq).cast("bigint")
+    last = F.floor(number / hop)
+    first = F.greatest(F.lit(0).cast("bigint"), F.ceil((number - (size - 1)) / hop))
+    at_ms = F.unix_millis(time) if time else F.lit(0).cast("bigint")
+    timed = df.withWatermark(time, delay) if time else df
+    placed = timed.select(
+        key, number.alias("_seq"), first.alias("_first"), last.alias("_last"), at_ms.alias("_ms"), *channels,
+        *([F.col(time)] if time and time not in channels else []),
+    ).filter("_first <= _last").withColumn("window_no", F.explode(F.sequence("_first", "_last")))
+    return placed.withColumn("_step", (F.col("_seq") - F.col("window_no") * hop).cast("int")).groupBy(
+        key, "window_no"
+    ).applyInPandasWithState(
+        collect, schema, "steps array<int>, cells array<double>, last_ms bigint", "append", timeout
+    )
+
+
 def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Take everything that is there, write it to Parquet and stop; both folders are shared ones."""
     return (

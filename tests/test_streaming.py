@@ -84,3 +84,23 @@ def test_sessions_split_at_the_gap(spark, tmp_path):
     out = drain(spark, S.stream_sessions(timed, ["s"], "ts", 10_000_000, "5 seconds"), tmp_path)
     got = sorted((r.n_rows, r.first_time.timestamp(), r.last_time.timestamp()) for r in out.collect())
     assert got == [(1, 19.0, 19.0), (1, 500.0, 500.0), (2, 0.0, 9.0)]
+
+
+@pytest.mark.parametrize("size,hop", [(3, 3), (3, 1), (2, 5)])
+def test_numbered_windows_fill_in_any_order(spark, tmp_path, size, hop):
+    pieces = [[10, 0, 4], [3, 2, 9, 5], [1, 6], [8, 7]]
+    df = feed(spark, tmp_path, [[(1, i, i / 2) for i in piece] for piece in pieces])
+    out = S.stream_windows_numbered(df, "s", "i", ["x"], size, hop)
+    rows = drain(spark, out, tmp_path).orderBy("window_no").collect()
+    assert [(r.window_no, r.data) for r in rows] == [
+        (k, [[(a + j) / 2] for j in range(size)]) for k, a in enumerate(range(0, 11 - size + 1, hop))
+    ]
+
+
+def test_a_window_that_lost_a_row_is_forgotten(spark, tmp_path):
+    """Row 1 comes after the state of its window went; its window stays unfinished."""
+    schema = "s int, i bigint, x double, at bigint"
+    batches = [[(1, 0, 0.0, 0)], [(1, 2, 2.0, 100)], [(1, 3, 3.0, 200)], [(1, 1, 1.0, 201)], [(1, 4, 4.0, 300)]]
+    df = feed(spark, tmp_path, batches, schema).withColumn("ts", F.timestamp_seconds("at"))
+    out = S.stream_windows_numbered(df, "s", "i", ["x"], 2, 2, time="ts", forget_after_ms=150_000)
+    assert [(r.window_no, r.data) for r in drain(spark, out, tmp_path).collect()] == [(1, [[2.0], [3.0]])]
