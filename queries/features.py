@@ -53,6 +53,19 @@ def f2(spark, d):
     return masked.select("window_id", F.size("pos").alias("n_masked"), F.array_max("pos").alias("last_masked"), "pos")
 
 
+@query(
+    "f2_span_mask_rules",
+    """select vec_id as window_id, 3 as n_masked, 3 as n_distinct, true as last_step_free from embeddings""",
+)
+def f2_rules(spark, d):
+    """What holds for every draw: the count, no step twice, never the last step."""
+    masked = X.span_mask(plain(spark, d), "window_id", steps=10, ratio=0.3, max_gram=4, seed=SEED)
+    return masked.select(
+        "window_id", F.size("pos").alias("n_masked"), F.size(F.array_distinct("pos")).alias("n_distinct"),
+        (F.array_max("pos") < 9).alias("last_step_free"),
+    )
+
+
 CHOSEN = f"""tickets as (
   select vec_id as window_id, t.i as i, row_number() over (partition by vec_id
            order by md5('{SEED}:' || vec_id || ':' || t.i), t.i) as r from embeddings, range(10) t(i)),

@@ -4,6 +4,8 @@ The random order is that of ``md5(seed:id)``, so it does not depend on how the
 rows are partitioned.  The digest is uniform: its leading digits cut any table,
 or any class of a table, into pieces of about the same size, and exact ranks need
 the piece totals and one sort per piece, never one sort of everything in a task.
+``key`` is unique in every function here; rows that belong together (a user's
+windows) are split together with :func:`assign_split` over the distinct keys.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written to a shared folder and read back.
 
     For a result that several later steps read: they scan columns of a table that
-    outlives executors instead of repeating the work behind it.
+    outlives executors instead of repeating the work behind it.  The table stays;
+    the folder's own retention removes it.
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
