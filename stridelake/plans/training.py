@@ -51,4 +51,5 @@ def prepare_label_windows(
         pieces = pieces.withColumn("label", F.col("label") - pieces.agg(F.min("_low")).scalar())
     ids = pieces.select(key).distinct()
     placed = assign_split(pieces.filter("_kept"), ids, key, seed, train, vali).drop("_kept", "_low", key)
+    placed = stored(placed, "parts")
     return _sample_train(placed, label_rate, balance, seed).select("piece_id", "split", "label", "labelled")
