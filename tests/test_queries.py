@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import queries as registry
 from tools.compare import compare, connect
 
 WITHOUT_SQL = {
@@ -21,11 +22,11 @@ def tables(folder) -> duckdb.DuckDBPyConnection:
 
 
 def test_only_named_queries_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(registry.QUERIES) - set(registry.SQL) == WITHOUT_SQL
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, folder, tables, name):
     df = entry.queries()[name](spark, folder)
     if name in WITHOUT_SQL:
