@@ -8,7 +8,7 @@ from fractions import Fraction
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import decontaminate, jaccard, pieces, tokens
+from stridelake.llm import decontaminate, jaccard, pieces, substrings, tokens
 from stridelake.sources.folders import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_groups(docs, n=3, similarity=Fraction(9, 10))
 
 
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeats(table(spark, folder, "documents"), window=13, digest=True)
+
+
 @query("op6_decontaminate")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
