@@ -8,7 +8,7 @@ from fractions import Fraction
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import decontaminate, jaccard, pieces, substrings, tokens
+from stridelake.llm import decontaminate, jaccard, pieces, quality, substrings, tokens
 from stridelake.sources.folders import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +63,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", pieces.piece_digest("text", tokenizer_file("piece_bpe_32k.model")).alias("__digest"))
     return docs.select("doc_id", *(F.col("__digest")[c].alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")))
+
+
+@query("op10_line_quality")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"))
