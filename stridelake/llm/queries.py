@@ -8,7 +8,7 @@ from fractions import Fraction
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import decontaminate, jaccard, pieces, quality, substrings, tokens
+from stridelake.llm import decontaminate, jaccard, pieces, quality, secrets, substrings, tokens
 from stridelake.sources.folders import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_line_quality")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"))
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, folder, "documents"))
