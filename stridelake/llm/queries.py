@@ -8,7 +8,7 @@ from fractions import Fraction
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import decontaminate, jaccard, pieces, quality, secrets, substrings, tokens
+from stridelake.llm import decontaminate, jaccard, language, pieces, quality, secrets, substrings, tokens, toxicity, urls
 from stridelake.sources.folders import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,16 +49,31 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_groups(docs, n=3, similarity=Fraction(9, 10))
 
 
+@query("op3_language_id")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(table(spark, folder, "documents"))
+
+
 @query("op4_substring_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeats(table(spark, folder, "documents"), window=13, digest=True)
 
 
+@query("op5_url_filter")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, folder, "pages"))
+
+
 @query("op6_decontaminate")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
 
 
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", pieces.piece_digest("text", tokenizer_file("piece_bpe_32k.model")).alias("__digest"))
