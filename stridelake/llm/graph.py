@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from stridelake.sources.folders import stored
+from stridelake.llm.store import Kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,16 +15,17 @@ def components(edges: DataFrame) -> DataFrame:
     star): hubs shrink quickly and rounds are few.  A group of any size is handled by minimum aggregates and joins,
     never as a list.  Each round is written to the shared folder, so lineage stays short.
     """
-    pairs = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    pairs = Kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        large = _large_star(pairs)
-        small = stored(_small_star(large), "edges")
-        # Once every edge leads to a root, the sum of the smaller ends does not change any more.
-        state = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        next_ = Kept(_small_star(_large_star(pairs.df)), "edges")
+        pairs.release()
+        pairs = next_
+        # Once every edge leads to a root, the set of edges does not change any more.
+        state = pairs.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
-            return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, pairs = state, small
+            return pairs.df.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = state
 
 
 def _least_neighbour(directed: DataFrame) -> DataFrame:

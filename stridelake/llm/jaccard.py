@@ -1,16 +1,18 @@
 """Exact Jaccard join of documents on word n-grams, with the groups that links form.
 
 Documents are rows of a sparse incidence matrix with n-grams as columns, and overlap counts are entries of its product
-with itself.  The product is never made whole; three bounds derived from sizes pick and prune its blocks:
+with itself.  The product is never made whole; bounds derived from sizes pick and prune its blocks:
 
 1. Equal rows are collapsed: documents with one n-gram set share a 64-bit ``code`` of the set.
-2. Columns are dealt by hash into parts.  Two sets of sizes x <= y with a similarity of t or more differ in at most
-   ``x (1 - t) / t`` n-grams, so with one part more than that, some part of both is equal.  The number of parts follows
-   from the size class (a factor of 1/t wide); a set takes part in its own class and, as the larger one, in the class
-   below.  Sets that share a part become candidates of each other: a star per part, never its pairs.  A part of one
-   n-gram or none says little, so there are ``SPARE`` more parts and such parts count only for sets that have more
-   than ``SPARE`` of them; of a pair whose equal parts are all of that kind, both do.
-3. Candidate groups are cut into row blocks, and blocks are multiplied pair by pair: columns in strips, overlaps
+2. Columns with one entry add to no overlap.  Half of the columns (by hash) are counted; a set of size x that has more
+   than ``x (1 - t)`` lone ones among them cannot reach similarity t with any other and is done.
+3. Columns of the sets that are left are dealt by hash into parts.  Two sets of sizes x <= y with a similarity of t or
+   more differ in at most ``x (1 - t) / t`` n-grams, so with one part more than that, some part of both is equal.  The
+   number of parts follows from the size class (a factor of 1/t wide); a set takes part in its own class and, as the
+   larger one, in the class below.  Sets that share a part become candidates of each other: a star per part, never its
+   pairs.  A part of few n-grams says little, so there are some more parts, and such thin parts count only for sets that
+   have more of them than that; if all equal parts of a pair are thin, both its sets do.
+4. Candidate groups are cut into row blocks, and blocks are multiplied pair by pair: columns in strips, overlaps
    accumulated strip by strip, pairs discarded as soon as what is left cannot reach the overlap their sizes demand.
    A block pair yields the forest of its links, at most one row per document, not its pairs.
 
@@ -34,14 +36,14 @@ from pyspark.sql import DataFrame
 
 from stridelake.llm import words as W
 from stridelake.llm.graph import components
-from stridelake.sources.folders import stored
+from stridelake.llm.store import Kept, kept_table
 
 #: Sets of a row block, and the n-grams of all sets of a block (about).
 BLOCK_ROWS, BLOCK_ITEMS = 384, 1 << 20
 #: Columns of a strip of the product.
 STRIP = 4096
-#: Parts beyond the size bound, and the n-grams below which a part says little.
-SPARE, THIN = 3, 2
+#: Bytes of text per part of the hash space when columns are counted, and of text settled at a time.
+COUNT_BYTES = 128 << 20
 
 
 def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -61,8 +63,11 @@ def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 def set_code(grams: np.ndarray) -> int:
     """A 64-bit code of a set of hashes."""
-    total = np.bitwise_xor.reduce(W.mix(grams + np.uint64(0x632BE59BD9B4E019))) if len(grams) else np.uint64(0)
-    return int(W.mix(np.array([W.mix(grams).sum(dtype=np.uint64) * np.uint64(3) ^ total ^ np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
+    if not len(grams):
+        return 0
+    mixed = W.mix(grams + np.uint64(0x632BE59BD9B4E019))
+    code = W.mix(mixed.sum(keepdims=True) * np.uint64(3) ^ np.bitwise_xor.reduce(W.mix(mixed), keepdims=True) ^ np.uint64(len(grams)))
+    return int(code.view(np.int64)[0])
 
 
 class SizeBounds:
@@ -70,6 +75,8 @@ class SizeBounds:
 
     def __init__(self, t: Fraction):
         self.t = t
+        # A part holds about t / (1 - t) n-grams.  Parts beyond the bound, and the n-grams below which a part is thin.
+        self.spare, self.thin = (3, 2) if t / (1 - t) >= 8 else (6, 1)
         self.classes = [1]  # first size of each class
 
     def _class(self, size: int) -> int:
@@ -84,7 +91,7 @@ class SizeBounds:
         found = []
         for c in (own, own - 1) if own else (own,):
             widest = self.classes[c + 1] - 1
-            found.append((c, int(widest * (1 - self.t) / self.t) + 1 + SPARE))
+            found.append((c, int(widest * (1 - self.t) / self.t) + 1 + self.spare))
         return found
 
     def overlap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -103,40 +110,86 @@ def part_codes(grams: np.ndarray, bounds: SizeBounds) -> np.ndarray:
         low = np.bincount(part, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
         high = np.bincount(part, (mixed >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
         codes = W.mix(W.pair(low, high) + W.mix(np.arange(m, dtype=np.uint64) * np.uint64(100_003) + np.uint64(c)))
-        thin = np.bincount(part, minlength=m) < THIN
-        found.append(codes if thin.sum() > SPARE else codes[~thin])
+        thin = np.bincount(part, minlength=m) < bounds.thin
+        found.append(codes if thin.sum() > bounds.spare else codes[~thin])
     return np.concatenate(found)
 
 
-def _described(docs: DataFrame, n: int, bounds: SizeBounds) -> DataFrame:
+def _described(docs: DataFrame, n: int) -> DataFrame:
     def describe(batches):
+        for batch in batches:
+            sets = list(ngram_sets(batch.column("text"), n))
+            codes = pa.array([set_code(g) if len(g) else None for g in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_code"), pa.array([len(g) for g in sets], pa.int64()), codes],
+                                             names=["doc_id", "text_code", "n_shingles", "code"])
+
+    return docs.mapInArrow(describe, "doc_id long, text_code long, n_shingles long, code long")
+
+
+def _lone(docs: DataFrame, n: int) -> DataFrame:
+    """``code, lone``: counted columns that a set has alone; sets without any have no row.
+
+    Hashes go out in packed arrays, a row per batch and part of the hash space, five bytes each: columns that agree by
+    chance only hide a lone one.
+    """
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4, -(-size // COUNT_BYTES))
+
+    def send(batches):
         seen = set()
         for batch in batches:
-            sizes, codes, parts = [], [], []
-            for grams in ngram_sets(batch.column("text"), n):
-                code = set_code(grams)
-                sizes.append(len(grams))
-                codes.append(code if len(grams) else None)
-                new = len(grams) and code not in seen
-                parts.append(part_codes(grams, bounds).view(np.int64).tobytes() if new else None)
-                if new and len(seen) < 1_000_000:
-                    seen.add(code)
-            made = [pa.array(sizes, pa.int64()), pa.array(codes, pa.int64()), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_code"), *made], names=["doc_id", "text_code", "n_shingles", "code", "parts"])
-
-    return docs.mapInArrow(describe, "doc_id long, text_code long, n_shingles long, code long, parts binary")
-
-
-def _candidates(described: DataFrame) -> DataFrame:
+            codes, grams = [], []
+            for g in ngram_sets(batch.column("text"), n):
+                code = set_code(g)
+                if len(g) and code not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(code)
+                    codes.append(code)
+                    grams.append(g[g & np.uint64(1) == 0])
+            if not codes:
+                continue
+            owner = np.repeat(np.arange(len(codes)), [len(g) for g in grams])
+            code, gram = np.array(codes, np.int64), np.concatenate(grams)
+            part = ((gram >> np.uint64(41)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = []
+            for p in np.flatnonzero(np.diff(edges)):
+                one = order[edges[p] : edges[p + 1]]
+                runs = np.flatnonzero(np.append(True, owner[one][1:] != owner[one][:-1]))
+                raw = (gram[one] >> np.uint64(1)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                rows.append((int(p), code[owner[one][runs]].tobytes(), np.diff(np.append(runs, len(one))).astype("<u4").tobytes(), raw))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "codes", "counts", "grams"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        code = np.concatenate([np.repeat(np.frombuffer(c, np.int64), np.frombuffer(k, "<u4")) for c, k in zip(table["codes"].to_pylist(), table["counts"].to_pylist())])
+        wide = np.zeros((len(code), 8), np.uint8)
+        wide[:, :5] = np.concatenate([np.frombuffer(g, np.uint8) for g in table["grams"].to_pylist()]).reshape(-1, 5)
+        gram = wide.view("<u8").ravel()
+        order = np.argsort(gram, kind="stable")
+        code, gram = code[order], gram[order]
+        edges = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        least, most = np.minimum.reduceat(code, edges), np.maximum.reduceat(code, edges)
+        found, counts = np.unique(least[least == most], return_counts=True)
+        return pa.table({"code": found, "lone": counts})
+
+    sent = docs.select("text").mapInArrow(send, "part int, codes binary, counts binary, grams binary")
+    return sent.groupBy("part").applyInArrow(settle, "code long, lone long").groupBy("code").agg(F.sum("lone").alias("lone"))
+
+
+def _candidates(live: DataFrame, n: int, bounds: SizeBounds) -> DataFrame:
     """Stars ``a, b`` of set codes that share a part; each part is a run of sorted rows that streams by."""
 
     def unpack(batches):
         for batch in batches:
-            parts = [np.frombuffer(p, np.int64) for p in batch.column("parts").to_pylist()]
+            codes, parts = [], []
+            for code, grams in zip(batch.column("code").to_pylist(), ngram_sets(batch.column("text"), n)):
+                parts.append(part_codes(grams, bounds).view(np.int64))
+                codes.append(np.full(len(parts[-1]), code))
             for i in range(0, len(parts), 500):
-                lengths = [len(p) for p in parts[i : i + 500]]
-                codes = np.repeat(np.array(batch.column("code").slice(i, 500), np.int64), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts[i : i + 500])), pa.array(codes)], names=["part", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[i : i + 500])) for x in (parts, codes)], names=["part", "code"])
 
     def stars(batches):
         last_part = head = None
@@ -146,14 +199,13 @@ def _candidates(described: DataFrame) -> DataFrame:
                 continue
             fresh = np.append(True, part[1:] != part[:-1])
             fresh[0] = part[0] != last_part
-            group = np.cumsum(fresh) - 1
-            heads = code[fresh]
-            leader = np.where(group >= 0, heads[np.maximum(group, 0)] if len(heads) else 0, head if head is not None else 0)
+            heads = code[fresh] if fresh[0] else np.append(head, code[fresh])
+            leader = heads[np.cumsum(fresh) - int(fresh[0])]
             last_part, head = part[-1], leader[-1]
             found = np.unique(np.stack([leader, code], 1)[leader != code], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    rows = described.where("parts is not null").select("code", "parts").mapInArrow(unpack, "part long, code long")
+    rows = live.select("code", "text").mapInArrow(unpack, "part long, code long")
     return rows.repartition("part").sortWithinPartitions("part", "code").mapInArrow(stars, "a long, b long").distinct()
 
 
@@ -212,12 +264,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def _links(docs: DataFrame, members: DataFrame, n: int, bounds: SizeBounds) -> DataFrame:
-    """Forests of similar sets within candidate groups.  ``members``: one row per set with doc_id, text_code, code, n_shingles, group."""
-    volume = members.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("items"))
+def _links(live: DataFrame, groups: DataFrame, n: int, bounds: SizeBounds) -> DataFrame:
+    """Forests of similar sets within candidate groups.  ``live``: code, n_shingles, text; ``groups``: code, group."""
+    sized = live.select("code", "n_shingles").join(groups, "code")
+    volume = sized.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("items"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
-    dealt = members.join(volume.select("group", blocks.alias("blocks")), "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
-    with_text = docs.join(dealt.drop("n_shingles"), ["doc_id", "text_code"]).select("code", "group", "blocks", "block", "text")
+    dealt = groups.join(volume.select("group", blocks.alias("blocks")), "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    with_text = live.select("code", "text").join(dealt, "code")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     placed = with_text.select("code", "group", "block", "text", other).select(
         "group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "code", "text")
@@ -247,8 +300,7 @@ def _links(docs: DataFrame, members: DataFrame, n: int, bounds: SizeBounds) -> D
                         a += x
                         b += y
                     key, held = k, {}
-                if set_code(grams) == code:  # a repeated id may bring another text
-                    held.setdefault(block, {})[code] = grams
+                held.setdefault(block, {})[code] = grams
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         if key is not None:
             a, b = links()
@@ -261,18 +313,23 @@ def _links(docs: DataFrame, members: DataFrame, n: int, bounds: SizeBounds) -> D
 def jaccard_groups(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
-    ``docs`` needs ``doc_id, text``.  Texts are shuffled once for the sets that are candidates; all else that is
-    shuffled are codes.
+    ``docs`` needs ``doc_id, text``.  Texts are shuffled to find the sets that may have a partner, and those sets' texts
+    once more; all else that is shuffled are codes.
     """
     bounds = SizeBounds(Fraction(similarity))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_code"), F.col("text").cast("string").alias("text"))
-    described = stored(_described(chosen, n, bounds), "sets")
-    groups = components(_candidates(described)).select(F.col("node").alias("code"), F.col("root").alias("group"))
-    roots = groups.select("group").distinct().select(F.col("group").alias("code"), "group")
+    described = kept_table(_described(chosen, n), "sets")
     first = described.where("code is not null and doc_id is not null").groupBy("code").agg(
         F.min(F.struct("doc_id", "text_code")).alias("first"), F.first("n_shingles").alias("n_shingles"))
-    members = first.join(groups.union(roots), "code").select("first.doc_id", "first.text_code", "code", "n_shingles", "group")
-    linked = components(_links(chosen, members, n, bounds)).select(F.col("node").alias("code"), "root")
+    most = F.floor(F.col("n_shingles") * (bounds.t.denominator - bounds.t.numerator) / bounds.t.denominator)
+    likely = first.join(_lone(chosen, n), "code", "left").where(F.coalesce("lone", F.lit(0)) <= most)
+    kept = Kept(chosen.join(likely.select("first.doc_id", "first.text_code", "code", "n_shingles"), ["doc_id", "text_code"]).select(
+        "code", "n_shingles", "doc_id", "text_code", "text").dropDuplicates(["doc_id", "text_code"]).drop("doc_id", "text_code"), "live")
+    live = kept.df
+    found = components(_candidates(live, n, bounds)).select(F.col("node").alias("code"), F.col("root").alias("group"))
+    groups = found.union(found.select("group").distinct().select(F.col("group").alias("code"), "group"))
+    linked = components(_links(live, groups, n, bounds)).select(F.col("node").alias("code"), "root")
+    kept.release()
     smallest = first.select("code", F.col("first.doc_id").alias("doc_id")).join(linked, "code", "left").select("code", "doc_id", F.coalesce("root", "code").alias("root"))
     by_root = smallest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_code = smallest.join(by_root, "root").select("code", "component_id")
