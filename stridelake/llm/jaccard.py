@@ -316,6 +316,10 @@ def jaccard_groups(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(
     ``docs`` needs ``doc_id, text``.  Texts are shuffled to find the sets that may have a partner, and those sets' texts
     once more; all else that is shuffled are codes.
     """
+    return _grouped(docs, n, similarity).drop("text_code")
+
+
+def _grouped(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     bounds = SizeBounds(Fraction(similarity))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_code"), F.col("text").cast("string").alias("text"))
     described = kept_table(_described(chosen, n), "sets")
@@ -333,17 +337,17 @@ def jaccard_groups(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(
     smallest = first.select("code", F.col("first.doc_id").alias("doc_id")).join(linked, "code", "left").select("code", "doc_id", F.coalesce("root", "code").alias("root"))
     by_root = smallest.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_code = smallest.join(by_root, "root").select("code", "component_id")
-    return described.select("doc_id", "n_shingles", "code").join(of_code, "code", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return described.join(of_code, "code", "left").select(
+        "doc_id", "text_code", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one_of_each_group(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id; repeated rows of it go too.
+    """``docs`` with one document of each group, that of the smallest id; rows that repeat its id and text go too.
 
     Documents without n-grams, and rows without ``doc_id``, stay.
     """
-    groups = jaccard_groups(docs, n, similarity)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    identified = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return identified.unionByName(kept.where("doc_id is null"))
+    gone = _grouped(docs, n, similarity).where("doc_id is not null and doc_id <> component_id")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_code").alias("__code")).distinct()
+    coded = docs.withColumn("__text", F.xxhash64("text"))
+    kept = coded.where("doc_id is not null").join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__text") == F.col("__code")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(docs.where("doc_id is null"))
