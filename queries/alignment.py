@@ -95,14 +95,16 @@ def j3_fitted(spark, d):
 @query(
     "j3_join_nearest_ties",
     f"""with {LIN},
-        s as (select l_suppkey, seq, day, l_orderkey, l_linenumber, l_partkey, l_extendedprice from lin where l_returnflag = 'N'),
+        s as (select l_suppkey, seq, day, l_orderkey, l_linenumber, l_partkey, l_extendedprice from lin where l_returnflag <> 'R'),
         l as (select * from (
                 select l_suppkey, day as label_day, l_quantity,
                        row_number() over (partition by l_suppkey, day
                                           order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) r
                 from lin where l_returnflag = 'R') where r = 1),
-        p as (select l_suppkey, seq, arg_min(label_day, (abs(day - label_day), -label_day)) as label_day
-              from s join l using (l_suppkey) group by 1, 2)
+        b as (select s.l_suppkey, seq, s.day, l.label_day as before from s asof left join l on s.l_suppkey = l.l_suppkey and s.day >= l.label_day),
+        a as (select s.l_suppkey, seq, l.label_day as after from s asof left join l on s.l_suppkey = l.l_suppkey and s.day <= l.label_day),
+        p as (select l_suppkey, seq, case when before is null or after - day <= day - before then after else before end as label_day
+              from b join a using (l_suppkey, seq))
         select s.l_suppkey, s.day, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, label_day as matched_t
         from s join p using (l_suppkey, seq) join l using (l_suppkey, label_day)""",
 )
@@ -110,7 +112,7 @@ def j3_ties(spark, d):
     li = items(spark, d)
     columns = ["l_suppkey", "day", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     labels = li.filter("l_returnflag = 'R'").select(*columns, "l_quantity").withColumnRenamed("day", "label_day")
-    samples = li.filter("l_returnflag = 'N'").select(*columns)
+    samples = li.filter("l_returnflag <> 'R'").select(*columns)
     return J.join_nearest(samples, labels, ITEMS, "label_day", list(ITEMS.ties), ["l_quantity"])
 
 

@@ -124,12 +124,16 @@ def p10_window(spark, d):
     )
 
 
+KINDS = ("click", "view", "purchase", "signup", "error")
+
+
 @query(
     "p11_union_samples",
-    f"""with {EV} select user_id, t_us, value from ev where event_type = 'click'
-        union all select user_id, t_us, value from ev where event_type = 'view'""",
+    f"with {EV} select user_id, t_us, value from ev",
 )
 def p11(spark, d):
+    """One part per kind of event, and the rest."""
     ev = events(spark, d)
-    parts = [ev.filter(F.col("event_type") == kind).select("user_id", "t_us", "value") for kind in ("click", "view")]
-    return C.union_samples(parts)
+    parts = [ev.filter(F.col("event_type") == kind).select("user_id", "t_us", "value") for kind in KINDS]
+    rest = ev.filter(~F.coalesce(F.col("event_type").isin(*KINDS), F.lit(False))).select("user_id", "t_us", "value")
+    return C.union_samples([*parts, rest])

@@ -41,7 +41,7 @@ def m3_function(spark, d):
 
 
 def weights():
-    return nets.random_weights(SEED, features=6, hidden=24, wide=48, steps=10, recurrent=(20, 20, 10), classes=6)
+    return nets.random_weights(SEED, features=6, hidden=24, wide=48, steps=12, recurrent=(20, 20, 10), classes=6)
 
 
 @query("m1_embed_windows")
@@ -114,6 +114,16 @@ def e1_aligned(spark, d):
     )
 
 
+@query(
+    "e1_accuracy_aligned",
+    f"""with {PRED} select count(*) as n_labels, count(*) as n_predictions, round(avg((label = predicted)::int)::double, 9) as accuracy,
+               cast(null as varchar) as notice from pred""",
+)
+def e1_agreeing(spark, d):
+    rows = decided(spark, d)
+    return nine(E.accuracy_if_aligned(rows.select("window_id", "label"), rows.select("window_id", "predicted"), "window_id"), "accuracy")
+
+
 F1 = """classes as (select distinct unnest([label, predicted]) as class from pred),
 f1s as (
   select class, count(*) filter (where label = class and predicted = class) as tp,
@@ -219,13 +229,13 @@ def e8(spark, d):
 
 @query(
     "q1_validate_samples",
-    f"""with {EV}, c as (select user_id, count(*) as n, count(distinct t_us) - 1 as rises from ev where value > 20 group by 1)
+    f"""with {EV}, c as (select user_id, count(*) as n, count(distinct t_us) - 1 as rises from ev group by 1)
         select user_id, 'two_rows' as "check", n as found from c where n < 2
         union all select user_id, 'two_increasing_times', rises + 1 from c where rises < 1
-        union all select user_id, 'one_window', n from c where n < 40""",
+        union all select user_id, 'one_window', n from c where n < 60""",
 )
 def q1(spark, d):
-    return Q.validate_samples(events(spark, d).filter("value > 20"), EVENTS, window=40)
+    return Q.validate_samples(events(spark, d), EVENTS, window=60)
 
 
 @query(
@@ -233,12 +243,12 @@ def q1(spark, d):
     """select vec_id as window_id, 'channels' as "check", 6::bigint as found from embeddings""",
 )
 def q1_windows(spark, d):
-    return Q.validate_windows(windows(spark, d), "window_id", steps=10, channels=9, dimension=9)
+    return Q.validate_windows(windows(spark, d), "window_id", steps=12, channels=9, dimension=9)
 
 
 @query(
     "q2_summarize_windows",
-    """select count(*) as n_windows, 10::bigint as n_steps, 6::bigint as n_channels,
+    """select count(*) as n_windows, 12::bigint as n_steps, 6::bigint as n_channels,
               array_to_string(list_sort(list(distinct label)), ',') as label_ids from embeddings""",
 )
 def q2(spark, d):

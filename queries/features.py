@@ -10,15 +10,15 @@ from stridelake.functions import features as X
 
 SEED = 7
 NINE = """nine as (
-  select vec_id as window_id, t.i // 9 as step, t.i % 9 as ch, cast(embedding[t.i + 1] as double) as v
-  from embeddings, range(54) t(i))"""
+  select vec_id as window_id, t.i // 9 as step, t.i % 9 as ch, coalesce(cast(embedding[t.i + 1] as double), 0) as v
+  from embeddings, range(72) t(i))"""
 
 
 def rounded(df, *keys):
     return tall(df, list(keys) or ["window_id"]).withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
-def plain(spark, d, steps=10, channels=6):
+def plain(spark, d, steps=12, channels=6):
     return windows(spark, d, steps, channels).select("window_id", "data")
 
 
@@ -39,7 +39,7 @@ def f1_six(spark, d):
         from nine join norms using (window_id, step)""",
 )
 def f1_nine(spark, d):
-    return rounded(X.normalize(plain(spark, d, 6, 9), 9, gamma=2.0))
+    return rounded(X.normalize(plain(spark, d, 8, 9), 9, gamma=2.0))
 
 
 @query("f1_normalize_five", f"with {WIN} select window_id, step, ch, round(v, 6) + 0 as v from win where ch < 5")
@@ -49,7 +49,7 @@ def f1_five(spark, d):
 
 @query("f2_span_mask")
 def f2(spark, d):
-    masked = X.span_mask(plain(spark, d), "window_id", steps=10, ratio=0.3, max_gram=4, seed=SEED)
+    masked = X.span_mask(plain(spark, d), "window_id", steps=12, ratio=0.25, max_gram=4, seed=SEED)
     return masked.select("window_id", F.size("pos").alias("n_masked"), F.array_max("pos").alias("last_masked"), "pos")
 
 
@@ -59,21 +59,21 @@ def f2(spark, d):
 )
 def f2_rules(spark, d):
     """What holds for every draw: the count, no step twice, never the last step."""
-    masked = X.span_mask(plain(spark, d), "window_id", steps=10, ratio=0.3, max_gram=4, seed=SEED)
+    masked = X.span_mask(plain(spark, d), "window_id", steps=12, ratio=0.25, max_gram=4, seed=SEED)
     return masked.select(
         "window_id", F.size("pos").alias("n_masked"), F.size(F.array_distinct("pos")).alias("n_distinct"),
-        (F.array_max("pos") < 9).alias("last_step_free"),
+        (F.array_max("pos") < 11).alias("last_step_free"),
     )
 
 
 CHOSEN = f"""tickets as (
   select vec_id as window_id, t.i as i, row_number() over (partition by vec_id
-           order by md5('{SEED}:' || vec_id || ':' || t.i), t.i) as r from embeddings, range(10) t(i)),
+           order by md5('{SEED}:' || vec_id || ':' || t.i), t.i) as r from embeddings, range(12) t(i)),
 chosen as (select window_id, i from tickets where r <= 3)"""
 
 
 def masked(spark, d):
-    return X.random_mask(plain(spark, d), "window_id", steps=10, count=3, seed=SEED)
+    return X.random_mask(plain(spark, d), "window_id", steps=12, count=3, seed=SEED)
 
 
 @query("f3_random_mask", f"with {CHOSEN} select * from chosen")
@@ -102,6 +102,24 @@ def f4(spark, d):
     return rounded(out.select("window_id", F.col("masked").alias("data")))
 
 
+@query(
+    "f4_apply_mask_cells",
+    f"""with {WIN}, {CHOSEN}, places as (
+          select window_id, i, row_number() over (partition by window_id order by i) - 1 as place from chosen)
+        select win.window_id, step, ch,
+               round(case when places.i is null then v
+                          when {uniform("'mask'", "win.window_id")} < 0.6::double then 0
+                          when {uniform("'replace'", "win.window_id")} < 0.5::double
+                            then {uniform("'noise'", "win.window_id", "step", "ch")}
+                          else v end, 6) + 0 as v
+        from win left join places on places.window_id = win.window_id and places.i = win.step and win.ch = places.place % 6""",
+)
+def f4_cells(spark, d):
+    chosen = masked(spark, d).withColumn("chan", F.transform("pos", lambda v, i: i % 6))
+    out = X.apply_mask(chosen, "window_id", mask_prob=0.6, replace_prob=0.5, seed=SEED, channels="chan")
+    return rounded(out.select("window_id", F.col("masked").alias("data")))
+
+
 @query(
     "f5_gather",
     f"""with {WIN}, {CHOSEN}, places as (
@@ -128,21 +146,21 @@ def f5_cells(spark, d):
     )
 
 
-STEP = 2 * math.pi / 10
+STEP = 2 * math.pi / 12
 
 
 @query(
     "f6_spectrum",
     f"""with {WIN}, sums as (
           select window_id, ch, b.k as k,
-                 sum(v * cos({STEP} * ((b.k * step) % 10))) as re,
-                 0 - sum(v * case when (b.k * step) % 10 in (0, 5) then 0 else sin({STEP} * ((b.k * step) % 10)) end) as im
-          from win, range(10) b(k) group by 1, 2, 3)
+                 sum(v * cos({STEP} * ((b.k * step) % 12))) as re,
+                 0 - sum(v * case when (b.k * step) % 12 in (0, 6) then 0 else sin({STEP} * ((b.k * step) % 12)) end) as im
+          from win, range(12) b(k) group by 1, 2, 3)
         select window_id, k as step, ch, round(sqrt(re * re + im * im), 6) + 0 as v from sums
-        union all select window_id, k + 10 as step, ch, round(atan2(im, re), 6) + 0 as v from sums""",
+        union all select window_id, k + 12 as step, ch, round(atan2(im, re), 6) + 0 as v from sums""",
 )
 def f6(spark, d):
-    out = X.spectrum(plain(spark, d))
+    out = X.spectrum(plain(spark, d), n=12)
     return rounded(out.select("window_id", F.col("spectrum").alias("data")))
 
 
@@ -168,7 +186,7 @@ def f8(spark, d):
         plain(spark, d),
         [
             lambda w: X.normalize(w, 6),
-            lambda w: X.random_mask(w, "window_id", steps=10, count=3, seed=SEED),
+            lambda w: X.random_mask(w, "window_id", steps=12, count=3, seed=SEED),
             lambda w: X.apply_mask(w, "window_id", mask_prob=1.0, seed=SEED),
         ],
     )

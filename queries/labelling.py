@@ -28,7 +28,18 @@ def l1(spark, d):
 )
 def l1_large(spark, d):
     names = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name")
-    return L.encode_sorted(names, "s_name", large=True)
+    return L.encode_sorted(names, "s_name")
+
+
+@query(
+    "l3_encode_first_seen_large",
+    """with f as (select o_clerk, min(o_orderkey) as first from orders group by 1),
+            c as (select o_clerk, row_number() over (order by first, o_clerk) as o_clerk_id from f)
+       select o_orderkey, o_clerk, o_clerk_id from orders join c using (o_clerk)""",
+)
+def l3_large(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_clerk")
+    return L.encode_first_seen(orders, "o_clerk", ["o_orderkey"])
 
 
 @query(

@@ -159,7 +159,7 @@ def t8(spark, d):
     from stridelake.plans.training import prepare_classifier_data
 
     prepared = prepare_classifier_data(
-        windows(spark, d), "window_id", "label", size=10, piece=5, label_rate=0.1, balance=True, seed=SEED
+        windows(spark, d), "window_id", "label", size=12, piece=6, label_rate=0.1, balance=True, seed=SEED
     )
     return prepared.select("piece_id", "split", "label", "labelled")
 

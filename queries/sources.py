@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries import query
-from queries.views import EV, EVN, WIN, events, items, predictions, tall, windows
+from queries.views import EV, EVN, PRED, WIN, events, items, predictions, tall, windows
 from stridelake.operators.metrics import decide
 from stridelake.sources import samples as R
 from stridelake.sources import windows as D
@@ -16,7 +16,7 @@ def s1(spark, d):
     path = shared_folder(spark, "log")
     events(spark, d).write.option("sep", " ").option("header", False).csv(path)
     schema = "user_id bigint, event_id bigint, t_us bigint, value double, k double, event_type string"
-    return R.read_samples(spark, path, schema, sep=" ", header=False, columns=["event_id", "t_us", "k"])
+    return R.read_samples(spark, path, schema, sep=" ", header=False, columns=["event_id", "t_us", "k"], drop_malformed=True)
 
 
 @query("s2_path_keys", f"with {EV} select event_id, value, event_type as activity from ev")
@@ -25,14 +25,15 @@ def s2(spark, d):
     rows = events(spark, d).select("event_id", "value", "event_type")
     rows.write.partitionBy("event_type").option("header", True).csv(path)
     return R.read_samples(
-        spark, f"{path}/*", "event_id bigint, value double", path_keys={"activity": ("event_type=([a-z]+)/", "string")}
+        spark, f"{path}/*", "event_id bigint, value double", path_keys={"activity": ("event_type=([a-z]+)/", "string")},
+        drop_malformed=True,
     )
 
 
-@query("s3_read_labels", f"with {EV} select t_us, event_type from ev where event_type in ('signup', 'purchase')")
+@query("s3_read_labels", f"with {EV} select t_us, event_type, cast(null as varchar) as _malformed from ev")
 def s3(spark, d):
     path = shared_folder(spark, "labels")
-    labels = events(spark, d).filter("event_type in ('signup', 'purchase')").select("user_id", "t_us", "event_type", "k")
+    labels = events(spark, d).select("user_id", "t_us", "event_type", "k")
     labels.write.option("sep", " ").csv(path)
     return R.read_labels(
         spark, path, "user_id bigint, t_us bigint, event_type string, k double", columns=["t_us", "event_type"]
@@ -47,23 +48,23 @@ def s4(spark, d):
     path = shared_folder(spark, "flat")
     rows = items(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     R.write_samples_csv(rows, path, sep=";")
-    return R.read_samples(spark, path, rows.schema, sep=";")
+    return R.read_samples(spark, path, rows.schema, sep=";", drop_malformed=True)
 
 
 @query("s5_window_dataset", f"with {WIN} select window_id, label, step, ch, round(v, 6) + 0 as v from win")
 def s5(spark, d):
     path = shared_folder(spark, "windows")
-    D.write_windows(windows(spark, d), path, "vectors", 20, 10, 10)
-    D.write_windows(windows(spark, d, 6, 9), path, "vectors", 20, 6, 6)
-    back = D.read_windows(spark, path, dataset="vectors", rate_hz=20, window=10)
+    D.write_windows(windows(spark, d), path, "vectors", 20, 12, 12)
+    D.write_windows(windows(spark, d, 8, 9), path, "vectors", 20, 8, 8)
+    back = D.read_windows(spark, path, dataset="vectors", rate_hz=20, window=12)
     return tall(back, ["window_id", "label"]).withColumn("v", F.round(F.col("v").cast("double"), 6) + F.lit(0.0))
 
 
 @query(
     "s7_write_predictions",
-    f"select vec_id as window_id, label from embeddings",
+    f"with {PRED} select window_id, label, predicted from pred",
 )
 def s7(spark, d):
     path = shared_folder(spark, "predictions")
     D.write_predictions(decide(predictions(spark, d)).select("window_id", "label", "predicted"), path)
-    return spark.read.parquet(path).select("window_id", "label")
+    return spark.read.parquet(path).select("window_id", "label", "predicted")

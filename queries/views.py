@@ -38,8 +38,8 @@ lin as (
          count(*) over (partition by l_suppkey) as n
   from li)"""
 WIN = """win as (
-  select vec_id as window_id, label, t.i // 6 as step, t.i % 6 as ch, cast(embedding[t.i + 1] as double) as v
-  from embeddings, range(60) t(i))"""
+  select vec_id as window_id, label, t.i // 6 as step, t.i % 6 as ch, coalesce(cast(embedding[t.i + 1] as double), 0) as v
+  from embeddings, range(72) t(i))"""
 PRED = """cells as (
   select vec_id, label, t.i as i, cast(embedding[t.i + 1] as double) as v from embeddings, range(64) t(i)),
 centroids as (select label as class, i, avg(v) as c from cells group by 1, 2),
@@ -73,9 +73,11 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def windows(spark: SparkSession, folder: str, steps: int = 10, channels: int = 6) -> DataFrame:
+def windows(spark: SparkSession, folder: str, steps: int = 12, channels: int = 6) -> DataFrame:
+    """The 64 numbers of each vector, zeros up to 72, as windows."""
+    padded = F.transform(F.sequence(F.lit(0), F.lit(steps * channels - 1)), lambda i: F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0)))
     return table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("window_id"), "label", reshape_vector("embedding", steps, channels).alias("data")
+        F.col("vec_id").alias("window_id"), "label", reshape_vector(padded, steps, channels).alias("data")
     )
 
 

@@ -148,10 +148,10 @@ def w5_first(spark, d):
 
 @query(
     "w6_subwindows",
-    f"""with {WIN} select window_id * 2 + step // 5 as piece_id, cast(step % 5 as integer) as step, ch, v from win""",
+    f"""with {WIN} select window_id * 2 + step // 6 as piece_id, cast(step % 6 as integer) as step, ch, v from win""",
 )
 def w6(spark, d):
-    long = W.subwindows(windows_long(spark, d), "window_id", 10, 5)
+    long = W.subwindows(windows_long(spark, d), "window_id", 12, 6)
     return long.select("piece_id", "step", F.posexplode(F.array(*CHANNELS)).alias("ch", "v")).withColumn(
         "ch", F.col("ch").cast("bigint")
     )
@@ -159,10 +159,10 @@ def w6(spark, d):
 
 @query(
     "w6_split_window_array",
-    f"with {WIN} select window_id, step // 5 as piece_no, step % 5 as step, ch, v from win",
+    f"with {WIN} select window_id, step // 6 as piece_no, step % 6 as step, ch, v from win",
 )
 def w6_array(spark, d):
-    pieces = W.split_window_array(windows(spark, d).drop("label"), 10, 5)
+    pieces = W.split_window_array(windows(spark, d).drop("label"), 12, 6)
     return tall(pieces.withColumn("piece_no", F.col("piece_no").cast("bigint")), ["window_id", "piece_no"])
 
 
@@ -211,7 +211,7 @@ def w8(spark, d):
 
 @query(
     "w9_snippet",
-    f"""with {WIN} select (window_id - 3) * 10 + step as position, window_id, step, ch, v from win
+    f"""with {WIN} select (window_id - 3) * 12 + step as position, window_id, step, ch, v from win
         where window_id >= 3 and window_id < 8""",
 )
 def w9(spark, d):

@@ -13,10 +13,16 @@ SPARK_TYPES = {"float32": T.FloatType(), "float64": T.DoubleType()}
 
 
 def _tensor(column: pa.Array, dtype: str) -> np.ndarray:
-    """A list-of-lists column, all windows of one shape, as (B, W, F)."""
+    """A list-of-lists column, all windows of one shape, as (B, W, F); nulls and other shapes are errors."""
     rows = column.flatten()
-    flat = rows.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(dtype, copy=False).reshape(len(column), len(rows) // len(column), -1)
+    values = rows.flatten()
+    if column.null_count or rows.null_count or values.null_count:
+        raise ValueError("a window, a step or a value is null; remove such windows before scoring")
+    steps, widths = np.unique(column.value_lengths()), np.unique(rows.value_lengths())
+    if len(steps) > 1 or len(widths) > 1:
+        raise ValueError(f"windows of one batch differ in shape: {steps.tolist()} steps, {widths.tolist()} channels")
+    flat = values.to_numpy(zero_copy_only=False)
+    return flat.astype(dtype, copy=False).reshape(len(column), *(int(n[0]) if len(n) else 0 for n in (steps, widths)))
 
 
 def _lists(values: np.ndarray, dtype: str) -> pa.Array:
@@ -34,7 +40,8 @@ def score(
     """Replace the windows of ``data`` with ``fn`` of them, ``batch`` windows at a time.
 
     ``fn`` maps (B, W, F) to (B, n) for ``rank=1`` or (B, W, n) for ``rank=2``, in
-    ``dtype``.  No shuffle; a task holds one batch.
+    ``dtype``.  All windows have one shape; a null or ragged one ends the query
+    (see ``validate_windows``).  No shuffle; a task holds one batch.
     """
     names = [c for c in df.columns if c != data]
     kind = T.ArrayType(SPARK_TYPES[dtype], False)

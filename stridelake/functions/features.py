@@ -21,13 +21,16 @@ MAG_EPS = 1e-5
 def normalize(
     df: DataFrame, channels: int, acc: bool = True, mag: bool = True, gamma: float = 1.0, data: str = "data"
 ) -> DataFrame:
-    """Truncate to ``channels``; scale accelerometer and, with nine channels, magnetometer."""
+    """Truncate to ``channels``; scale accelerometer and, with nine channels, magnetometer.
+
+    A step with fewer channels ends the query.
+    """
 
     def step(row: Column) -> Column:
-        head = F.slice(row, 1, channels)
+        narrow = F.raise_error(F.concat(F.lit(f"a step has fewer than {channels} channels: "), F.size(row)))
         if channels < 6:
-            return head
-        values = [row[i].cast("double") for i in range(channels)]
+            return F.when(F.size(row) >= channels, F.slice(row, 1, channels)).otherwise(narrow.cast(df.schema[data].dataType.elementType))
+        values = [row[i].cast("double") for i in range(channels)]  # fails on a narrower step
         if acc:
             values[:3] = [v / F.lit(ACC_DIVISOR) for v in values[:3]]
         if channels == 9 and mag:
@@ -94,17 +97,24 @@ def random_mask(df: DataFrame, key: str, steps: int, count: int, seed: int = 0,
 
 def apply_mask(
     df: DataFrame, key: str, mask_prob: float = 0.8, replace_prob: float = 0.0, seed: int = 0, data: str = "data",
-    pos: str = "pos", out: str = "masked",
+    pos: str = "pos", out: str = "masked", channels: str | None = None,
 ) -> DataFrame:
     """Blank the masked steps of a window, or fill them with noise, or leave them.
 
     The two draws are independent per window: noise has probability
-    ``(1 - mask_prob) * replace_prob``.
+    ``(1 - mask_prob) * replace_prob``.  With ``channels``, single cells are masked:
+    the channel at a place of that array goes with the step at that place of ``pos``.
     """
     blank = hash_uniform(seed, F.lit("mask"), key) < mask_prob
     noisy = hash_uniform(seed, F.lit("replace"), key) < replace_prob
 
     def filled(value: Callable[[Column, Column], Column]) -> Column:
+        if channels is not None:
+            cells = F.arrays_zip(F.col(pos).alias("step"), F.col(channels).alias("channel"))
+            chosen = lambda i, c: F.exists(cells, lambda p: (p["step"] == i) & (p["channel"] == c))
+            return F.transform(
+                data, lambda row, i: F.transform(row, lambda v, c: F.when(chosen(i, c), value(i, c)).otherwise(v.cast("double")))
+            )
         return F.transform(
             data,
             lambda row, i: F.when(
@@ -148,17 +158,17 @@ def spectrum(df: DataFrame, n: int = 10, data: str = "data", out: str = "spectru
 
 
 def profile(df: DataFrame, data: str = "data") -> DataFrame:
-    """Shape and moments of a window set; the standard deviation is that of the population."""
+    """Shape and moments of a window set, empty windows included; the standard deviation is that of the population."""
     values = df.select(
-        F.size(data).alias("steps"), F.size(F.col(data)[0]).alias("channels"),
-        F.posexplode(F.flatten(data)).alias("place", "v"),
+        F.coalesce(F.size(data), F.lit(0)).alias("steps"), F.size(F.get(F.col(data), F.lit(0))).alias("channels"),
+        F.posexplode_outer(F.flatten(data)).alias("place", "v"),
     )
     value = F.col("v").cast("double")
     return values.agg(
-        F.count(F.when(F.col("place") == 0, True)).alias("n_windows"),
+        F.count(F.when(F.coalesce(F.col("place"), F.lit(0)) == 0, True)).alias("n_windows"),
         F.max("steps").cast("bigint").alias("n_steps"),
         F.max("channels").cast("bigint").alias("n_channels"),
-        F.count(F.lit(1)).alias("n_values"),
+        F.count("place").alias("n_values"),
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
         F.avg(value).alias("mean_value"),

@@ -4,47 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.stream import require_columns
 
-# A vocabulary up to this size is numbered in one task and broadcast.
-MAX_LABELS = 100_000
+# Entries of a vocabulary that are numbered in one task (about), and most pieces that one is cut into.
+PIECE, MAX_PIECES = 50_000, 4096
+# A vocabulary up to this size is broadcast; a larger one is joined by shuffling.
+MAX_BROADCAST = 100_000
 
 
-def _codes(vocabulary: DataFrame, order: Sequence[str | Column], out: str, start: int) -> DataFrame:
-    """Number a vocabulary for a broadcast; one above MAX_LABELS entries fails the query."""
-    place = F.row_number().over(Window.partitionBy().orderBy(*order)).cast("bigint")
-    too_many = F.raise_error(F.lit(f"more than {MAX_LABELS} labels; use large=True")).cast("bigint")
-    coded = vocabulary.withColumn("_place", place).withColumn(
-        out, F.when(F.col("_place") > MAX_LABELS, too_many).otherwise(F.col("_place") - 1 + start)
-    )
-    return F.broadcast(coded.drop("_place"))
+def _codes(vocabulary: DataFrame, order: Sequence[str], out: str, start: int) -> DataFrame:
+    """Number a vocabulary of any size in an order.
 
-
-def _codes_large(vocabulary: DataFrame, column: str, out: str, prefix: int = 3) -> DataFrame:
-    """Number any vocabulary: ranks inside a text prefix plus the entries of smaller prefixes."""
-    placed = vocabulary.withColumn("_prefix", F.substring(column, 1, prefix))
-    sizes = placed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy().orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_prefix", F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("bigint")).alias("_base"))
-    local = F.row_number().over(Window.partitionBy("_prefix").orderBy(column))
-    return placed.withColumn("_local", local).join(base, "_prefix").select(
-        column, (F.col("_base") + F.col("_local") - 1).alias(out)
-    )
-
-
-def encode_sorted(df: DataFrame, column: str, out: str | None = None, large: bool = False) -> DataFrame:
-    """Codes 0, 1, ... in the lexicographic order of the label text.
-
-    ``large`` is for vocabularies above MAX_LABELS: nothing is broadcast by hint.
+    Entries picked by hash cut the order into pieces of about ``PIECE`` entries, whatever
+    the entries look like; a code is the place in the piece plus the entries before it.
     """
+    n = vocabulary.count()
+    value = F.struct(*order)
+    wanted = min(MAX_PIECES, n // PIECE)
+    if wanted:
+        picked = vocabulary.where(F.pmod(F.xxhash64(*order), F.lit(1_000_000_000)) < int(1_000_000_000 * wanted / n))
+        cuts = picked.agg(F.array_sort(F.collect_list(value))).scalar()
+        placed = vocabulary.withColumn("_cuts", cuts).withColumn(
+            "_piece", F.size(F.filter("_cuts", lambda c: c <= value))).drop("_cuts")
+    else:
+        placed = vocabulary.withColumn("_piece", F.lit(0))
+    sizes = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy().orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
+    base = sizes.select("_piece", F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("bigint")).alias("_base"))
+    local = F.row_number().over(Window.partitionBy("_piece").orderBy(*order))
+    coded = placed.withColumn("_local", local).join(base, "_piece").withColumn(out, F.col("_base") + F.col("_local") - 1 + start)
+    coded = coded.drop("_piece", "_local", "_base")
+    return F.broadcast(coded) if n <= MAX_BROADCAST else coded
+
+
+def encode_sorted(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """Codes 0, 1, ... in the lexicographic order of the label text, for a vocabulary of any size."""
     out = out or f"{column}_id"
     require_columns(df, [column])
     vocabulary = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    codes = _codes_large(vocabulary, column, out) if large else _codes(vocabulary, [column], out, 0)
-    return df.join(codes, column, "left")
+    return df.join(_codes(vocabulary, [column], out, 0), column, "left")
 
 
 def encode_vocab(
@@ -67,11 +68,14 @@ def unknown_labels(df: DataFrame, column: str, code: str | None = None) -> DataF
 
 
 def encode_first_seen(df: DataFrame, column: str, order: Sequence[str], out: str | None = None) -> DataFrame:
-    """Codes 1, 2, ... in the order in which labels first occur."""
+    """Codes 1, 2, ... in the order in which labels first occur, for a vocabulary of any size.
+
+    Labels that first occur at equal values of ``order`` follow their text.
+    """
     out = out or f"{column}_id"
     require_columns(df, [column, *order])
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
-    return df.join(F.broadcast(_codes(first, ["_first"], out, 1).drop("_first")), column, "left")
+    return df.join(_codes(first, ["_first", column], out, 1).drop("_first"), column, "left")
 
 
 def zero_base(df: DataFrame, columns: Sequence[str]) -> DataFrame:

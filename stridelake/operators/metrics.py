@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Distinct scores of one bucket of a ROC curve (about), and buckets at most: their sums meet in one task.
+BUCKET_SCORES, MAX_BUCKETS = 1_000_000, 100_000
+# Classes of a dense confusion grid, whose cells are their square.
+MAX_GRID_CLASSES = 2000
+
+
 def argmax(scores: str | Column) -> Column:
     """Place of the largest score, the first of equals."""
     s = F.col(scores) if isinstance(scores, str) else scores
@@ -20,9 +26,16 @@ def decide(df: DataFrame, scores: str = "scores", out: str = "predicted") -> Dat
     return df.withColumn(out, argmax(scores))
 
 
+def _match(label: str | Column, predicted: str | Column) -> Column:
+    """1 for equal values; a null on either side is a miss."""
+    label, predicted = (F.col(c) if isinstance(c, str) else c for c in (label, predicted))
+    return F.coalesce(label == predicted, F.lit(False)).cast("double")
+
+
 def accuracy(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """Share of rows whose prediction is the label; a missing prediction is a miss."""
     return df.agg(
-        F.avg((F.col(label) == F.col(predicted)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n_rows")
+        F.avg(_match(label, predicted)).alias("accuracy"), F.count(F.lit(1)).alias("n_rows")
     )
 
 
@@ -31,7 +44,7 @@ def accuracy_if_aligned(labels: DataFrame, predictions: DataFrame, key: str) ->
     sizes = labels.agg(F.count(F.lit(1)).alias("n_labels")).withColumn(
         "n_predictions", predictions.agg(F.count(F.lit(1))).scalar()
     )
-    matches = labels.join(predictions, key).agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).scalar()
+    matches = labels.join(predictions, key).agg(F.avg(_match("label", "predicted"))).scalar()
     same = F.col("n_labels") == F.col("n_predictions")
     return sizes.withColumns(
         {
@@ -51,11 +64,15 @@ def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted",
 def confusion_dense(cells: DataFrame) -> DataFrame:
     """All cells over the classes seen on either side, empty ones with 0.
 
-    The classes fit in a row; their grid is the result itself.  The counts are kept
-    in both branches, so both read one shuffle of them.
+    The grid is the square of the classes, so more than ``MAX_GRID_CLASSES`` of them
+    end the query; :func:`confusion` and :func:`class_scores` take any number.
     """
-    classes = F.array_union(F.collect_set("actual"), F.collect_set("predicted"))
-    seen = cells.agg(classes.alias("_classes"), F.sum("n_rows").alias("_n")).filter("_n > 0")
+    sides = cells.select("actual").union(cells.select("predicted")).where("actual is not null").distinct()
+    bounded = sides.withColumn("_n", sides.agg(F.count("*")).scalar()).withColumn(
+        "_class", F.when(F.col("_n") <= MAX_GRID_CLASSES, F.col("actual")).otherwise(
+            F.raise_error(F.lit(f"more than {MAX_GRID_CLASSES} classes; use the sparse counts")).cast(sides.schema["actual"].dataType)))
+    classes = F.collect_set("_class")
+    seen = bounded.agg(classes.alias("_classes")).filter("size(_classes) > 0")
     grid = seen.select(F.explode("_classes").alias("actual"), "_classes").select(
         "actual", F.explode("_classes").alias("predicted")
     )
@@ -73,8 +90,12 @@ def confusion_normalized(dense: DataFrame) -> DataFrame:
 
 
 def class_scores(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """True and false positives, false negatives and F1 per class seen on either side."""
-    hit = F.col("actual") == F.col("predicted")
+    """True and false positives, false negatives and F1 per class seen on either side.
+
+    A null is no class: a row without prediction is a false negative of its label,
+    one without label a false positive of its prediction.
+    """
+    hit = F.coalesce(F.col("actual") == F.col("predicted"), F.lit(False))
     zero = F.lit(0).cast("bigint")
     n = F.col("n_rows")
 
@@ -83,7 +104,7 @@ def class_scores(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     as_actual = part("actual", F.when(hit, n).otherwise(zero), zero, F.when(hit, zero).otherwise(n))
     as_predicted = part("predicted", zero, F.when(hit, zero).otherwise(n), zero)
-    sums = cells.select(*by, F.explode(F.array(as_actual, as_predicted)).alias("_p")).groupBy(*by, "_p.class").agg(
+    sums = cells.select(*by, F.explode(F.array(as_actual, as_predicted)).alias("_p")).where("_p.class is not null").groupBy(*by, "_p.class").agg(
         *[F.sum(f"_p.{c}").alias(c) for c in ("tp", "fp", "fn")]
     )
     double_tp = F.col("tp") * 2
@@ -126,14 +147,17 @@ def multitask_metrics(
 def _cumulative(df: DataFrame, score: str, label: str, buckets: int) -> DataFrame:
     """Per distinct score: positives and negatives at it and strictly above it.
 
-    Scores are counted first; equal-depth cut points of the distinct scores (a
-    bounded list) then spread the running sums over buckets.
+    Scores are counted first; equal-depth cut points of the distinct scores then
+    spread the running sums over buckets, of which there is one per
+    ``BUCKET_SCORES`` distinct scores, ``buckets`` at least.  Rows whose score is null
+    or NaN, or whose label is null, have no place in the order and are left out.
     """
-    counts = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
+    counts = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull()).groupBy(
         F.col(score).cast("double").alias("score")
     ).agg(
         F.sum((F.col(label) > 0).cast("bigint")).alias("pos"), F.sum((F.col(label) <= 0).cast("bigint")).alias("neg")
     )
+    buckets = max(buckets, min(MAX_BUCKETS, counts.count() // BUCKET_SCORES))
     cuts = sorted(set(counts.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
     splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="score", outputCol="_bucket").transform(counts)

@@ -80,11 +80,15 @@ def validate_windows(
 
 
 def summarize_windows(df: DataFrame, labels: Sequence[str] = (), data: str = "data") -> DataFrame:
-    """One row: number and shape of windows and, per label kind, the ids that occur."""
+    """One row: number and shape of windows and, per label kind, the ids that occur.
+
+    Empty and null windows count, with no steps.  The ids of a kind are a list, so
+    kinds are those with a vocabulary, not free numbers.
+    """
     return df.agg(
         F.count(F.lit(1)).alias("n_windows"),
-        F.max(F.size(data)).cast("bigint").alias("n_steps"),
-        F.max(F.size(F.col(data)[0])).cast("bigint").alias("n_channels"),
+        F.max(F.coalesce(F.size(data), F.lit(0))).cast("bigint").alias("n_steps"),
+        F.max(F.size(F.get(F.col(data), F.lit(0)))).cast("bigint").alias("n_channels"),
         *[F.array_sort(F.collect_set(c)).alias(f"{c}_ids") for c in labels],
     )
 

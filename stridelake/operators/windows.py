@@ -91,7 +91,7 @@ def gap_sessions(df: DataFrame, stream: Stream, gap: int) -> DataFrame:
 def contiguous_windows(
     df: DataFrame, stream: Stream, size: int, hop: int, gap: int, label: str, channels: Sequence[str] = ()
 ) -> DataFrame:
-    """Windows inside one gap-free run with one label.
+    """Windows inside one gap-free run with one label; a step without a label agrees with none.
 
     Starts are multiples of ``hop`` in the recording, not in the run, and lie
     before its last row.  The label is shifted to begin at zero.
@@ -104,7 +104,7 @@ def contiguous_windows(
     spread = spread.withColumn("step", (F.col("seq") - F.col("window_no") * hop).cast("int"))
     merged = spread.groupBy(*stream.keys, "window_no").agg(
         F.min("run_id").alias("_run_lo"), F.max("run_id").alias("_run_hi"),
-        F.min(label).alias("_label_lo"), F.max(label).alias("_label_hi"),
+        F.min(label).alias("_label_lo"), F.max(label).alias("_label_hi"), F.count(label).alias("_labelled"), F.count(F.lit(1)).alias("_rows"),
         F.min(stream.time).alias("start_t"), F.max(stream.time).alias("end_t"),
         *(
             [
@@ -116,7 +116,7 @@ def contiguous_windows(
             else []
         ),
     )
-    return merged.filter("_run_lo = _run_hi and _label_lo = _label_hi").select(
+    return merged.filter("_run_lo = _run_hi and _label_lo = _label_hi and _labelled = _rows").select(
         *stream.keys, "window_no", (F.col("window_no") * hop).alias("start_seq"), "start_t", "end_t",
         (F.col("_label_lo") - 1).alias(label), *(["data"] if channels else []),
     )
@@ -128,8 +128,8 @@ def merge_window_labels(
 ) -> DataFrame:
     """One label per window of long-form rows.
 
-    ``all``    windows with one distinct label; with ``flag``, all windows and
-               whether they have one
+    ``all``    windows with one distinct label on every step; with ``flag``, all
+               windows and whether they have one
     ``any``    all windows: 0 when no label is above 0, else the only label, else
                the second smallest
     ``first``  all windows with the label of the first step
@@ -144,8 +144,8 @@ def merge_window_labels(
     if mode == "first":
         merged = long.groupBy(*keys).agg(F.min_by(label, "step").alias(label), low)
     elif mode == "all":
-        merged = long.groupBy(*keys).agg(F.min(label).alias(label), F.max(label).alias("_hi"), low)
-        kept = F.col(label) == F.col("_hi")
+        merged = long.groupBy(*keys).agg(F.min(label).alias(label), F.max(label).alias("_hi"), F.count("*").alias("_rows"), F.count(label).alias("_labelled"), low)
+        kept = F.coalesce((F.col(label) == F.col("_hi")) & (F.col("_rows") == F.col("_labelled")), F.lit(False))
         if flag is None:
             merged = merged.filter(kept)
     else:
@@ -159,7 +159,7 @@ def any_label(seen: str) -> Column:
     """The label of a window from its distinct labels in order; see :func:`merge_window_labels`."""
     return (
         F.when(F.array_max(seen) <= 0, F.lit(0))
-        .when(F.size(seen) == 1, F.col(seen)[0])
+        .when(F.size(seen) == 1, F.get(seen, F.lit(0)))
         .otherwise(F.get(seen, F.lit(1)))
     )
 
@@ -259,9 +259,13 @@ def head_window(df: DataFrame, stream: Stream, size: int) -> DataFrame:
 
 
 def map_windows(df: DataFrame, fn, schema: str, data: str = "data") -> DataFrame:
-    """Apply ``fn(ndarray W x F) -> ndarray`` to every window; ``schema`` types the result."""
+    """Apply ``fn(ndarray W x F) -> ndarray`` to every window; ``schema`` types the result.
+
+    Windows may differ in shape, so ``fn`` is called for each, and a null window
+    stays null.  Windows of one shape go faster through ``functions.batch.score``.
+    """
     @F.pandas_udf(schema)
     def apply(windows: pd.Series) -> pd.Series:
-        return windows.map(lambda w: np.asarray(fn(np.stack(w).astype("float64"))).tolist())
+        return windows.map(lambda w: None if w is None else np.asarray(fn(np.stack(w).astype("float64"))).tolist())
 
     return df.withColumn(data, apply(F.col(data)))

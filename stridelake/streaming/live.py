@@ -23,7 +23,8 @@ def parse_lines(lines: DataFrame, schema: str | T.StructType | None = None, sep:
     """
     fields = doubles(DUAL_LOG_COLUMNS) if schema is None else schema
     ddl = fields if isinstance(fields, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    text = F.trim(F.regexp_replace("value", "[\\r\\n\\t]", " "))
+    blanks = "[\\r\\n]" if sep == "\t" else "[\\r\\n\\t]"  # a tab may be the separator
+    text = F.trim(F.regexp_replace("value", blanks, " "))
     return lines.select(text.alias("_line")).filter(F.col("_line").rlike("^[0-9-]")).select(
         F.from_csv("_line", ddl, {"sep": sep, "mode": "PERMISSIVE"}).alias("_row")
     ).select("_row.*")
@@ -141,7 +142,7 @@ def stream_windows_numbered(
 
     The number says which windows a row belongs to, so the state is kept per window:
     a long recording is spread, a task holds ``size`` rows of a window, and rows may
-    come in any order.  A window that loses a row never fills; with an event
+    come in any order; of rows with one number the first to come counts.  A window that loses a row never fills; with an event
     ``time`` and its watermark ``delay``, its state goes once the watermark is
     ``forget_after_ms`` past its last row.
     """
@@ -165,12 +166,16 @@ def stream_windows_numbered(
         if state.exists:
             steps, cells, last_ms = state.get
             steps, cells = list(steps), list(cells)
+            seen = set(steps)
         else:
-            steps, cells, last_ms = [], [], 0
+            steps, cells, last_ms, seen = [], [], 0, set()
         for frame in frames:
-            steps += frame["_step"].tolist()
             last_ms = max(last_ms, int(frame["_ms"].max()))
-            cells += frame[list(channels)].to_numpy("float64").ravel().tolist()
+            for step, row in zip(frame["_step"].tolist(), frame[list(channels)].to_numpy("float64").tolist()):
+                if step not in seen:  # the first row of a number counts
+                    seen.add(step)
+                    steps.append(step)
+                    cells += row
         if len(steps) < size:
             state.update((steps, cells, last_ms))
             if time:

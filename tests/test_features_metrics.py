@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stridelake import Stream
 from stridelake.functions import features as X
 from stridelake.operators import columns as C
 from stridelake.operators import metrics as E
@@ -174,3 +175,75 @@ def test_accuracy_is_skipped_when_sizes_differ(spark):
 
 def test_auc_of_nothing_is_undefined(spark):
     assert E.roc_auc(spark.createDataFrame([], "label int, score double")).first().auc is None
+
+
+def windows_of(spark, *data):
+    return spark.createDataFrame(list(enumerate(data)), "window_id long, data array<array<double>>")
+
+
+def test_score_refuses_ragged_and_null_windows(spark):
+    from stridelake.functions.batch import score
+
+    two, four = [[1.0], [2.0]], [[3.0]] * 4
+    for bad in ((two, four), (two, None), (two, [[1.0], [2.0, 3.0]]), (two, [[1.0], None]), (two, [[1.0], [None]])):
+        with pytest.raises(Exception, match="differ in shape|is null"):
+            score(windows_of(spark, *bad).coalesce(1), lambda x: x.mean(axis=1), dtype="float64").collect()
+    assert [r.scores for r in score(windows_of(spark, two, two), lambda x: x.mean(axis=1), dtype="float64").collect()] == [[1.5], [1.5]]
+
+
+def test_narrow_steps_are_refused(spark):
+    df = windows_of(spark, [[1.0, 2.0, 3.0]])
+    for channels in (5, 6, 9):
+        with pytest.raises(Exception):
+            X.normalize(df, channels).collect()
+    assert X.normalize(df, 2).first().data == [[1.0, 2.0]]
+
+
+def test_empty_windows_count_in_profile_and_summary(spark):
+    from stridelake.operators import quality as Q
+
+    df = windows_of(spark, [[1.0, 3.0]], [], None)
+    row = X.profile(df).first()
+    assert (row.n_windows, row.n_values, row.mean_value, row.n_steps) == (3, 2, 2.0, 1)
+    summary = Q.summarize_windows(df).first()
+    assert (summary.n_windows, summary.n_steps, summary.n_channels) == (3, 1, 2)
+
+
+def test_missing_predictions_are_misses_and_no_class(spark):
+    from stridelake.operators import metrics as E
+
+    df = spark.createDataFrame([(0, 0), (0, None), (1, 1), (1, 0)], "label int, predicted int")
+    row = E.accuracy(df).first()
+    assert (row.accuracy, row.n_rows) == (0.5, 4)
+    scores = {r["class"]: (r.tp, r.fp, r.fn) for r in E.class_scores(E.confusion(df)).collect()}
+    assert scores == {0: (1, 1, 1), 1: (1, 0, 1)}
+    assert E.accuracy_and_f1(df).first().accuracy == 0.5
+
+
+def test_dense_confusion_checks_its_classes(spark, monkeypatch):
+    from stridelake.operators import metrics as E
+
+    cells = E.confusion(spark.createDataFrame([(0, 1), (2, 2)], "label int, predicted int"))
+    assert E.confusion_dense(cells).count() == 9
+    monkeypatch.setattr(E, "MAX_GRID_CLASSES", 2)
+    with pytest.raises(Exception, match="more than 2 classes"):
+        E.confusion_dense(cells).collect()
+
+
+def test_scores_without_a_place_are_left_out_of_the_curve(spark):
+    from stridelake.operators import metrics as E
+
+    df = spark.createDataFrame([(0.9, 1), (0.1, 0), (float("nan"), 1), (None, 0), (0.5, None)], "score double, label int")
+    assert E.roc_auc(df).first().auc == 1.0 and E.roc_curve(df).count() == 2
+
+
+def test_null_labels_agree_with_nothing(spark):
+    from stridelake.operators import windows as W
+
+    long = spark.createDataFrame([(0, 0, 3), (0, 1, None), (1, 0, 3), (1, 1, 3), (2, 0, None), (2, 1, None)], "w int, step int, y int")
+    assert [tuple(r) for r in W.merge_window_labels(long, ["w"], "y").collect()] == [(1, 3)]
+    flagged = {r.w: r.ok for r in W.merge_window_labels(long, ["w"], "y", flag="ok").collect()}
+    assert flagged == {0: False, 1: True, 2: False}
+    rows = spark.createDataFrame([("a", i, i * 10, y) for i, y in enumerate([2, None, 2, 2])], "s string, i int, t long, y int")
+    found = W.contiguous_windows(rows, Stream(("s",), "t", ("i",), 1000), 2, 2, 100, "y").collect()
+    assert [(r.window_no, r.y) for r in found] in ([], [(1, 1)])

@@ -17,10 +17,9 @@ def codes(df, column="y_id"):
     return [r[column] for r in df.orderBy("i").collect()]
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_sorted_codes(spark, large):
+def test_sorted_codes(spark):
     df = texts(spark, "walk", "sit", "walk", None, "sitting", "bike", "é")
-    assert codes(L.encode_sorted(df, "y", large=large)) == [3, 1, 3, None, 2, 0, 4]
+    assert codes(L.encode_sorted(df, "y")) == [3, 1, 3, None, 2, 0, 4]
 
 
 def test_first_seen_codes_differ_from_sorted_ones(spark):
@@ -39,12 +38,21 @@ def test_prefix_codes_take_the_first_match(spark):
     assert codes(df) == [0, 2, 1]
 
 
-def test_a_vocabulary_above_the_limit_fails_instead_of_being_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_LABELS", 2)
-    df = texts(spark, "a", "b", "c")
-    with pytest.raises(Exception, match="more than 2 labels"):
-        L.encode_sorted(df, "y").collect()
-    assert codes(L.encode_sorted(df, "y", large=True)) == [0, 1, 2]
+def test_a_large_vocabulary_is_numbered_in_pieces(spark, monkeypatch):
+    """All labels begin alike and the vocabulary is far above a piece: no piece holds more than a small share."""
+    monkeypatch.setattr(L, "PIECE", 50)
+    monkeypatch.setattr(L, "MAX_BROADCAST", 10)
+    seen = []
+    monkeypatch.setattr(L.F, "row_number", lambda f=L.F.row_number: seen.append(1) or f())
+    names = [f"Supplier#{i:09d}" for i in range(3000)]
+    df = texts(spark, *(names[(7 * i) % 3000] for i in range(3000)), None)
+    got = df.select("i", "y").join(L.encode_sorted(df, "y").select("i", "y_id"), "i").collect()
+    assert all(r.y_id == (None if r.y is None else int(r.y[9:])) for r in got) and len(got) == 3001 and seen
+    first = L.encode_first_seen(df, "y", ["i"]).collect()
+    assert all(r.y_id == (None if r.y is None else r.i + 1) for r in first)
+    vocabulary = df.select("y").where("y is not null").distinct()
+    pieces = vocabulary.where(L.F.pmod(L.F.xxhash64("y"), L.F.lit(1_000_000_000)) < 1_000_000_000 * 60 // 3000).count()
+    assert 30 < pieces < 100
 
 
 def test_resolve_label():

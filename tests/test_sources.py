@@ -25,7 +25,7 @@ def test_phone_log_with_missing_activity(spark, tmp_path):
         "0,1424696633908,1424696631913248572,-5.9,0.6,8.1,a,nexus4,nexus4_1,stand\n"
         "1,1424696633909,1424696631918283972,-5.8,0.7,8.2,a,nexus4,nexus4_1,\n",
     )
-    rows = R.read_samples(spark, path, R.PHONE_SCHEMA, columns=["Creation_Time", "x", "gt"]).orderBy("Creation_Time").collect()
+    rows = R.read_samples(spark, path, R.PHONE_SCHEMA, columns=["Creation_Time", "x", "gt"], drop_malformed=True).orderBy("Creation_Time").collect()
     assert [tuple(r) for r in rows] == [(1424696631913248572, -5.9, "stand"), (1424696631918283972, -5.8, None)]
 
 
@@ -33,14 +33,14 @@ def test_trial_files_with_keys_in_the_path(spark, tmp_path):
     put(tmp_path / "dws_1" / "sub_3.csv", ",x,y,z\n0,1.0,2.0,3.0\n1,4.0,5.0,6.0\n")
     put(tmp_path / "jog_9" / "sub_12.csv", ",x,y,z\n0,7.0,8.0,9.0\n")
     keys = {"activity": ("/([a-z]+)_[0-9]+/[^/]*$", "string"), "user": ("sub_([0-9]+)[.]csv", "int"), "shift": ("none_([0-9]+)", "int")}
-    df = R.read_samples(spark, f"{tmp_path}/*/*.csv", "row int, x double, y double, z double", columns=["x", "z"], path_keys=keys)
+    df = R.read_samples(spark, f"{tmp_path}/*/*.csv", "row int, x double, y double, z double", columns=["x", "z"], path_keys=keys, drop_malformed=True)
     assert sorted(map(tuple, df.collect())) == [(1.0, 3.0, "dws", 3, None), (4.0, 6.0, "dws", 3, None), (7.0, 9.0, "jog", 12, None)]
 
 
 def test_space_separated_log_keeps_the_named_columns(spark, tmp_path):
     line = " ".join(str(float(i)) for i in range(23))
     path = put(tmp_path / "Motion.txt", f"{line}\n{line}\n")
-    df = R.read_samples(spark, path, R.doubles(R.LONG_LOG_COLUMNS), sep=" ", header=False, columns=R.LONG_LOG_KEPT)
+    df = R.read_samples(spark, path, R.doubles(R.LONG_LOG_COLUMNS), sep=" ", header=False, columns=R.LONG_LOG_KEPT, drop_malformed=True)
     assert df.columns == R.LONG_LOG_KEPT and df.first().gra_z == 16.0 and df.count() == 2
     with pytest.raises(ValueError):
         R.read_samples(spark, path, R.doubles(["a"]), columns=["b"])
@@ -49,21 +49,24 @@ def test_space_separated_log_keeps_the_named_columns(spark, tmp_path):
 def test_second_header_line_is_left_out_or_kept_as_text(spark, tmp_path):
     path = put(tmp_path / "p.csv", "left,,right\nt,x,name\n1,2.5,walking\n2,oops,sitting\n")
     schema = "t int, x double, name string"
-    assert [tuple(r) for r in R.read_samples(spark, path, schema).collect()] == [(1, 2.5, "walking")]
-    kept = R.read_samples(spark, path, schema, columns=["t"], drop_malformed=False)
-    assert sorted(r[R.MALFORMED] or "" for r in kept.collect()) == ["", "2,oops,sitting", "t,x,name"]
+    assert [tuple(r) for r in R.read_samples(spark, path, schema, drop_malformed=True).collect()] == [(1, 2.5, "walking")]
+    kept = R.read_samples(spark, path, schema, columns=["t", "x"])
+    assert sorted((r.t or 0, r.x or 0, r[R.MALFORMED] or "") for r in kept.collect()) == [(0, 0, "t,x"), (1, 2.5, ""), (2, 0, "2,oops")]
+    assert tuple(R.count_malformed(kept).first()) == (3, 2)
+    # A bad value in a column that nobody asked for costs no row.
+    assert R.read_samples(spark, path, schema, columns=["t"], drop_malformed=True).count() == 2
 
 
 def test_label_segments(spark, tmp_path):
     path = put(tmp_path / "labels.txt", "1 1 5 250 1232\n1 1 7 1233 1392\n")
-    df = R.read_labels(spark, path, "exp int, user int, activity int, start_idx bigint, end_idx bigint", ["activity", "end_idx"])
+    df = R.read_labels(spark, path, "exp int, user int, activity int, start_idx bigint, end_idx bigint", ["activity", "end_idx"], drop_malformed=True)
     assert sorted(map(tuple, df.collect())) == [(5, 1232), (7, 1392)]
 
 
 def test_semicolon_round_trip(spark, tmp_path):
     df = spark.range(5).select("id", (F.col("id") / 4).alias("x"))
     R.write_samples_csv(df, f"{tmp_path}/out", sep=";")
-    assert sorted(map(tuple, R.read_samples(spark, f"{tmp_path}/out", df.schema, sep=";").collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, R.read_samples(spark, f"{tmp_path}/out", df.schema, sep=";", drop_malformed=True).collect())) == sorted(map(tuple, df.collect()))
 
 
 def test_window_sets_are_pruned_by_version(spark, tmp_path):

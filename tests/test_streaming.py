@@ -104,3 +104,18 @@ def test_a_window_that_lost_a_row_is_forgotten(spark, tmp_path):
     df = feed(spark, tmp_path, batches, schema).withColumn("ts", F.timestamp_seconds("at"))
     out = S.stream_windows_numbered(df, "s", "i", ["x"], 2, 2, time="ts", forget_after_ms=150_000)
     assert [(r.window_no, r.data) for r in drain(spark, out, tmp_path).collect()] == [(1, [[2.0], [3.0]])]
+
+
+def test_tabs_may_separate(spark):
+    lines = spark.createDataFrame([("1\t2.5",), ("-3\t4\r",), ("head\tline",)], "value string")
+    got = [tuple(r) for r in S.parse_lines(lines, "a double, b double", sep="\t").collect()]
+    assert got == [(1.0, 2.5), (-3.0, 4.0)]
+
+
+def test_repeated_rows_fill_a_numbered_window_once(spark, tmp_path):
+    """Rows 0, 0, 1, 2 are one window of three, whether the repeat comes in the same trigger or in a later one."""
+    for k, batches in enumerate(([[(1, 0, 0.0), (1, 0, 9.0), (1, 1, 1.0), (1, 2, 2.0)]], [[(1, 0, 0.0)], [(1, 0, 9.0)], [(1, 1, 1.0)], [(1, 2, 2.0)]])):
+        home = tmp_path / str(k)
+        home.mkdir()
+        out = S.stream_windows_numbered(feed(spark, home, batches), "s", "i", ["x"], 3, 3)
+        assert [(r.window_no, r.data) for r in drain(spark, out, home).collect()] == [(0, [[0.0], [1.0], [2.0]])]
