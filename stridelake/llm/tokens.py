@@ -15,11 +15,7 @@ and blocks (null first; repeated ids in the order of their text).  A null text c
 from __future__ import annotations
 
 import hashlib
-import itertools
-import os
-import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +23,12 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 
+from stridelake.llm.segments import Encoder
+
 #: Documents whose id arrays train the dictionary (about), and the most bytes of them that are used.
 DICTIONARY_DOCUMENTS, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 4000, 8 << 20, 112 << 10
 #: Uncompressed id bytes after which a block ends.
 BLOCK_BYTES = 4 << 20
-#: Segments remembered per task; longer segments than this many characters are not remembered.
-CACHE_SEGMENTS, CACHE_CHARACTERS = 400_000, 64
 
 _BLOCKS = (
     "shard int, block int, dictionary string, n_ids long, first_doc long, last_doc long, payload binary, doc_ids array<long>, "
@@ -40,56 +36,6 @@ _BLOCKS = (
 )
 
 
-class Encoder:
-    """Ids of whole texts by a byte-level tokenizer file.
-
-    The tokenizer cuts text before a single space that stands between two other characters and never looks across such
-    a cut, so texts are encoded by segments and a segment that came before is looked up.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cut = re.compile(r"(?<=\S) (?=\S)")
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        known = self.known
-        if len(known) > CACHE_SEGMENTS:
-            known.clear()
-        split = []
-        for text in texts:
-            parts = self.cut.sub("\0 ", text).split("\0") if "\0" not in text else [text]
-            split.append(parts)
-        new = list({s for parts in split for s in parts if s not in known})
-        long = {}
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for segment, made in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                (known if len(segment) <= CACHE_CHARACTERS else long)[segment] = made.ids
-        for parts in split:
-            if long:
-                found = (known[s] if s in known else long[s] for s in parts)
-            else:
-                found = map(known.__getitem__, parts)
-            yield np.fromiter(itertools.chain.from_iterable(found), np.uint32)
-
-
-def _batches(column: pa.Array, size: int = 2 << 20) -> Iterator[list[str]]:
-    part, n = [], 0
-    for text in column:
-        text = text.as_py() or ""
-        part.append(text)
-        n += len(text)
-        if n >= size:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
 def _sample(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> list[bytes]:
     n = docs.count()
     keep = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(1_000_000 * DICTIONARY_DOCUMENTS / max(n, 1)) + 1
@@ -97,9 +43,8 @@ def _sample(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> list[by
     def encode(batches):
         encoder = Encoder(tokenizer)
         for batch in batches:
-            for texts in _batches(batch.column("text")):
-                rows = [np.append(ids, end_id).astype(f"<u{width}").tobytes()[:DICTIONARY_BYTES] for ids in encoder(texts)]
-                yield pa.RecordBatch.from_pydict({"ids": rows})
+            rows = [np.append(ids, end_id).astype(f"<u{width}").tobytes() for ids in encoder(batch.column("text"))]
+            yield pa.RecordBatch.from_pydict({"ids": rows})
 
     rows = docs.where(keep).select("text").mapInArrow(encode, "ids binary").limit(2 * DICTIONARY_DOCUMENTS)
     sample, total = [], 0
@@ -145,31 +90,30 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         docs_, starts, counts, offsets, frames, at, raw = [], [], [], [], [], 0, 0
 
         def flush():
+            known = [d for d in docs_ if d is not None] or [None]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([digest]), pa.array([sum(counts)], pa.int64()),
-                    pa.array([docs_[0]], pa.int64()), pa.array([docs_[-1]], pa.int64()), pa.array([b"".join(frames)], pa.binary()),
+                    pa.array(known[:1], pa.int64()), pa.array(known[-1:], pa.int64()), pa.array([b"".join(frames)], pa.binary()),
                     *(pa.array([x], pa.list_(pa.int64())) for x in (docs_, starts, counts, offsets, [len(f) for f in frames])),
                 ],
                 names=[c.split()[0] for c in _BLOCKS.split(", ")],
             )
 
         for batch in batches:
-            ids_of = iter(batch.column("doc_id").to_pylist())
-            for texts in _batches(batch.column("text")):
-                for ids in encoder(texts):
-                    data = np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
-                    frame = squeeze.compress(data)
-                    docs_.append(next(ids_of))
-                    starts.append(before)
-                    counts.append(len(ids) + 1)
-                    offsets.append(at)
-                    frames.append(frame)
-                    before, at, raw = before + len(ids) + 1, at + len(frame), raw + len(data)
-                    if raw >= BLOCK_BYTES:
-                        yield flush()
-                        block += 1
-                        docs_, starts, counts, offsets, frames, at, raw = [], [], [], [], [], 0, 0
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text"))):
+                data = np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
+                frame = squeeze.compress(data)
+                docs_.append(doc_id)
+                starts.append(before)
+                counts.append(len(ids) + 1)
+                offsets.append(at)
+                frames.append(frame)
+                before, at, raw = before + len(ids) + 1, at + len(frame), raw + len(data)
+                if raw >= BLOCK_BYTES:
+                    yield flush()
+                    block += 1
+                    docs_, starts, counts, offsets, frames, at, raw = [], [], [], [], [], 0, 0
         if docs_:
             yield flush()
 

@@ -87,7 +87,8 @@ def pieces(offsets: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def _codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def segment_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges."""
     length = end - start
     code = np.full(len(start), 0xCBF29CE484222325, np.uint64)
     active = np.flatnonzero(length <= LONG_WORD)
@@ -115,7 +116,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, lo
     edges = edges[edges > 0] - 1
     ends[edges] = inside[edges]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, start, end, _codes(data, start, end), np.searchsorted(start, offsets))
+    return Words(data, start, end, segment_codes(data, start, end), np.searchsorted(start, offsets))
 
 
 def window_codes(code: np.ndarray, size: int) -> np.ndarray:
