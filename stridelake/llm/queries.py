@@ -8,7 +8,7 @@ from fractions import Fraction
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import decontaminate, jaccard, language, pieces, quality, secrets, substrings, tokens, toxicity, urls
+from stridelake.llm import decontaminate, jaccard, language, pieces, quality, secrets, statements, substrings, tokens, toxicity, urls
 from stridelake.sources.folders import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_digest(docs, shared_folder(spark, "tokens"), tokenizer_file("byte_bpe_50k.json"))
 
 
-@query("op2_jaccard_join")
+@query("op2_jaccard_join", statements.JACCARD)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return jaccard.jaccard_groups(docs, n=3, similarity=Fraction(9, 10))
@@ -54,7 +54,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(table(spark, folder, "documents"))
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", statements.REPEATS)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeats(table(spark, folder, "documents"), window=13, digest=True)
 
@@ -64,7 +64,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return urls.url_verdicts(table(spark, folder, "pages"))
 
 
-@query("op6_decontaminate")
+@query("op6_decontaminate", statements.HITS)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
 
@@ -80,7 +80,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", *(F.col("__digest")[c].alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")))
 
 
-@query("op10_line_quality")
+@query("op10_line_quality", statements.QUALITY)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"))
 
