@@ -33,13 +33,13 @@ def l1_large(spark, d):
 
 @query(
     "l3_encode_first_seen_large",
-    """with f as (select o_clerk, min(o_orderkey) as first from orders group by 1),
-            c as (select o_clerk, row_number() over (order by first, o_clerk) as o_clerk_id from f)
-       select o_orderkey, o_clerk, o_clerk_id from orders join c using (o_clerk)""",
+    """with o as (select o_orderkey, o_custkey::varchar as o_custkey from orders), f as (select o_custkey, min(o_orderkey) as first from o group by 1),
+            c as (select o_custkey, row_number() over (order by first, o_custkey) as o_custkey_id from f)
+       select o_orderkey, o_custkey, o_custkey_id from o join c using (o_custkey)""",
 )
 def l3_large(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_clerk")
-    return L.encode_first_seen(orders, "o_clerk", ["o_orderkey"])
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"))
+    return L.encode_first_seen(orders, "o_custkey", ["o_orderkey"])
 
 
 @query(

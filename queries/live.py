@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries import query
-from queries.views import DAY, EV, EVENTS, EVN, HOUR, events, table, tall
+from queries.views import EV, EVENTS, EVN, HOUR, events, table, tall
 from stridelake.operators.metrics import decide
 from stridelake.operators.ordered import number_rows
 from stridelake.functions.batch import score
@@ -13,16 +13,26 @@ from stridelake.streaming import live as S
 DELAY = "1 day"
 
 
-def feed(spark, d):
-    """The events table as a stream; the time cast keeps wall-clock microseconds."""
+def feed(spark, d, path=None):
+    """The events table, or a folder of such rows, as a stream; the time cast keeps wall-clock microseconds."""
     schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    raw = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet") if path is None else (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
     return raw.select(
         "user_id", "event_id", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"),
         "value", F.get_json_object("props", "$.k").cast("double").alias("k"), "event_type",
     )
 
 
+def ended_feed(spark, d):
+    """The events as a feed that has ended: a last row lets everything open come out."""
+    path = shared_folder(spark, "feed")
+    rows = table(spark, d, "events")
+    rows.coalesce(1).write.parquet(path)
+    S.end_of_feed(rows, "ts", "30 days").write.mode("append").parquet(path)
+    return feed(spark, d, path)
+
+
 def finish(spark, df):
     """Run a stream over all there is and read its output back."""
     out = shared_folder(spark, "live")
@@ -40,19 +50,15 @@ def x1(spark, d):
     return finish(spark, S.stream_samples(spark, path, "event_id bigint, t_us bigint, value double, k double"))
 
 
-# The watermark of an append-mode run: what ends a day or more before the last event is out.
-CLOSED = f"(select max(t_us) - {DAY} from ev)"
-
-
 @query(
     "x2_stream_resample",
     f"""with {EV}, b as (
           select user_id, t_us // {6 * HOUR} * {6 * HOUR} as start_us, count(*) as n_rows,
                  round(avg(value), 6) as value, round(avg(k), 6) as k from ev group by 1, 2)
-        select * from b where start_us + {6 * HOUR} <= {CLOSED} // 1000 * 1000""",
+        select * from b""",
 )
 def x2(spark, d):
-    buckets = finish(spark, S.stream_resample(feed(spark, d), ["user_id"], "ts", ["value", "k"], "6 hours", DELAY))
+    buckets = finish(spark, S.stream_resample(ended_feed(spark, d), ["user_id"], "ts", ["value", "k"], "6 hours", DELAY))
     return buckets.select(
         "user_id", F.unix_micros("bucket_start").alias("start_us"), "n_rows",
         F.round("value", 6).alias("value"), F.round("k", 6).alias("k"),
@@ -66,10 +72,10 @@ def x2(spark, d):
                          then 1 else 0 end as fresh from evn),
         g as (select *, sum(fresh) over (partition by user_id order by seq) as run_id from f),
         r as (select user_id, run_id, count(*) as n_rows, min(t_us) as first_us, max(t_us) as last_us from g group by 1, 2)
-        select user_id, n_rows, first_us, last_us from r where last_us + {12 * HOUR} - 1 <= {CLOSED} // 1000 * 1000""",
+        select user_id, n_rows, first_us, last_us from r""",
 )
 def x3(spark, d):
-    sessions = finish(spark, S.stream_sessions(feed(spark, d), ["user_id"], "ts", 12 * HOUR, DELAY))
+    sessions = finish(spark, S.stream_sessions(ended_feed(spark, d), ["user_id"], "ts", 12 * HOUR, DELAY))
     return sessions.select(
         "user_id", "n_rows", F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us")
     )

@@ -1,15 +1,17 @@
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from queries import query
 from queries.alignment import FUSE
 from queries.views import DAY, EV, EVENTS, EVN, HOUR, events, tall
 from stridelake.functions import nets
+from stridelake.operators.columns import preset_channels
 from stridelake.operators.labels import encode_sorted
 from stridelake.operators.metrics import prediction_distribution
 from stridelake.plans.log_scoring import predict_log, predict_log_with
-from stridelake.plans.recordings import fused_windows, nearest_windows, recording_windows, resampled_with_labels
+from stridelake.plans.recordings import fused_windows, gap_free_windows, nearest_windows, recording_windows, resampled_with_labels
 
 NAMES = ["rest", "move"]
 
@@ -68,16 +70,70 @@ def predictions(spark, d):
     return prediction_distribution(scored, NAMES)
 
 
-@query("plan_network_predictions")
-def network(spark, d):
-    """The same with the bundled networks and six channels of one side."""
+def two_sides(spark, d):
+    """Events as a log of two sensors; the right one shows half of the left one."""
     ev = encode_sorted(events(spark, d), "event_type", "kind")
     sources = [F.col("value"), F.col("k"), F.col("value") - F.col("k"), F.col("kind"), F.col("value") * 0.1, F.col("k") * 0.1]
-    axes = ["accel_x", "accel_y", "accel_z", "gyro_x", "gyro_y", "gyro_z"]
-    samples = ev.select(
+    axes = preset_channels()
+    return ev.select(
         *EVENTS.columns, *[s.cast("double").alias(f"left_{a}") for s, a in zip(sources, axes)],
         *[(s * 0.5).cast("double").alias(f"right_{a}") for s, a in zip(sources, axes)],
     )
+
+
+def by_side(factor):
+    return f"""with {EVN}, c as (select *, dense_rank() over (order by event_type) - 1 as kind from evn), w as (
+          select user_id, seq // 8 as window_no, {factor}::double * avg(value) as value, {factor}::double * avg(k) as k, {factor}::double * avg(kind) as kind
+          from c where (seq // 8 + 1) * 8 <= n group by 1, 2)
+        select user_id, window_no, case when k > value * 2 + kind - 3 then 1 else 0 end as predicted,
+               case when k > value * 2 + kind - 3 then 'move' else 'rest' end as name from w"""
+
+
+def side_scores(x):
+    """Scores from the channels' means: the first one twice plus the fourth, against the second plus three."""
+    means = x.mean(axis=1)
+    return np.stack([means[:, 0] * 2 + means[:, 3], means[:, 1] + 3], axis=1)
+
+
+@query("plan_log_predictions_average", by_side("0.75"))
+def average_side(spark, d):
+    """Both sides of a log, averaged, to the name of each window."""
+    scored = predict_log_with(two_sides(spark, d), EVENTS, NAMES, side_scores, sensor="average", size=8, hop=8)
+    return scored.select("user_id", "window_no", "predicted", "name")
+
+
+@query("plan_log_predictions_right", by_side("0.5"))
+def right_side(spark, d):
+    scored = predict_log_with(two_sides(spark, d), EVENTS, NAMES, side_scores, sensor="right", size=8, hop=8)
+    return scored.select("user_id", "window_no", "predicted", "name")
+
+
+@query(
+    "plan_gap_free_windows",
+    f"""with {EV}, lab as (select user_id, t_us, cast(k as integer) % 3 + 1 as label from ev),
+        kept as (select ev.*, label from ev join lab using (user_id, t_us) where label in (1, 2)),
+        s as (select *, row_number() over (partition by user_id order by t_us, event_id) - 1 as seq,
+                     count(*) over (partition by user_id) as n,
+                     lag(t_us) over (partition by user_id order by t_us, event_id) as before from kept),
+        w as (select *, unnest(range(0, (n - 3) // 2 + 1)) as w from s where n >= 3),
+        good as (
+          select user_id, w, min(label) - 1 as label, min(t_us) as start_t from w where seq between w * 2 and w * 2 + 2 and w * 2 < n - 1
+          group by user_id, w having min(label) = max(label)
+             and coalesce(max(t_us - before) filter (where seq > w * 2), 0) < {2 * DAY})
+        select user_id, w as window_no, good.label, good.start_t, seq - w * 2 as step, 0::bigint as ch, round(value, 6) + 0 as v
+        from w join good using (user_id, w) where seq between w * 2 and w * 2 + 2""",
+)
+def gap_free(spark, d):
+    ev = events(spark, d)
+    labels = ev.select("user_id", "t_us", (F.col("k").cast("int") % 3 + 1).alias("label"))
+    made = gap_free_windows(ev, labels, ["user_id", "t_us"], EVENTS, ["value"], "label", [1, 2], size=3, hop=2, gap=2 * DAY)
+    return tall(made, ["user_id", "window_no", "label", "start_t"]).withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
+@query("plan_network_predictions")
+def network(spark, d):
+    """The same with the bundled networks and six channels of one side."""
+    samples = two_sides(spark, d)
     weights = nets.random_weights(5, 6, 24, 48, 8, classes=2)
     return predict_log(samples, EVENTS, NAMES, weights, weights, sensor="average", size=8, hop=8)
 

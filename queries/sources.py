@@ -7,6 +7,7 @@ from queries.views import EV, EVN, PRED, WIN, events, items, predictions, tall,
 from stridelake.operators.metrics import decide
 from stridelake.sources import samples as R
 from stridelake.sources import windows as D
+from stridelake.sources.catalog import load_catalog
 from stridelake.sources.folders import shared_folder
 
 
@@ -68,3 +69,36 @@ def s7(spark, d):
     path = shared_folder(spark, "predictions")
     D.write_predictions(decide(predictions(spark, d)).select("window_id", "label", "predicted"), path)
     return spark.read.parquet(path).select("window_id", "label", "predicted")
+
+
+@query(
+    "s8_load_catalog",
+    f"""with {EV}, c as (
+          select event_type, count(*) as size, count(distinct user_id) as users, list_sort(list(distinct floor(k / 50)::int::varchar)) as names
+          from ev group by 1)
+        select event_type || '_log' as dataset, '20_8' as version, 20 as rate_hz, 8 as "window", 2 as dimension, size, 'activity' as kind, 0 as label_index,
+               len(names)::integer as label_size, array_to_string(names, ',') as names from c
+        union all select event_type || '_log', '20_8', 20, 8, 2, size, 'user', 1, users::integer, null from c""",
+)
+def s8(spark, d):
+    """A catalog of one window set per kind of event, written as JSON and read back by label kind."""
+    path = shared_folder(spark, "catalog")
+    names = F.array_sort(F.collect_set(F.floor(F.col("k") / 50).cast("int").cast("string")))
+    sets = events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("user_id").alias("users"), names.alias("names"))
+    entry = F.struct(
+        F.lit(20).alias("sr"), F.lit(8).alias("seq_len"), F.lit(2).alias("dimension"), "size", F.lit(0).alias("activity_label_index"),
+        F.size("names").alias("activity_label_size"), F.col("names").alias("activity_label"), F.lit(1).alias("user_label_index"),
+        F.col("users").cast("int").alias("user_label_size"),
+    )
+    whole = sets.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat("event_type", F.lit("_log_20_8")), entry)))).alias("value"))
+    whole.coalesce(1).write.text(path)
+    return load_catalog(spark, path).withColumn("names", F.array_join("names", ","))
+
+
+@query(
+    "l7_label_kind",
+    f"""with {EV} select event_type || '_log' as dataset, count(distinct user_id)::integer as label_size from ev group by 1""",
+)
+def l7(spark, d):
+    """The kind named ``user`` of every set, wherever it stands among the set's kinds."""
+    return s8(spark, d).filter("kind = 'user'").select("dataset", "label_size")

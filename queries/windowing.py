@@ -111,6 +111,25 @@ def w4(spark, d):
     return W.contiguous_windows(rows, EVENTS, 4, 2, 12 * HOUR, "label")
 
 
+@query(
+    "w4_contiguous_window_data",
+    f"""with {EVN}, f as (
+          select *, case when k >= 50 then 2 else 1 end as label,
+                 case when seq > 0 and t_us - lag(t_us) over (partition by user_id order by seq) >= {12 * HOUR}
+                      then 1 else 0 end as gap from evn),
+        w as (select *, unnest(range(0, (n - 4) // 2 + 1)) as w from f where n >= 4),
+        good as (
+          select user_id, w, min(label) - 1 as label from w where seq between w * 2 and w * 2 + 3 and w * 2 < n - 1 group by user_id, w, n
+          having coalesce(sum(gap) filter (where seq > w * 2), 0) = 0 and min(label) = max(label))
+        select user_id, w as window_no, good.label, seq - w * 2 as step, ch.i as ch, round(case ch.i when 0 then value else k end, 6) + 0 as v
+        from w join good using (user_id, w), range(2) ch(i) where seq between w * 2 and w * 2 + 3""",
+)
+def w4_data(spark, d):
+    rows = events(spark, d).withColumn("label", F.when(F.col("k") >= 50, 2).otherwise(1))
+    made = W.contiguous_windows(rows, EVENTS, 4, 2, 12 * HOUR, "label", ["value", "k"])
+    return tall(made, ["user_id", "window_no", "label"]).withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
 LABELLED = f"""{EVN}, coded as (
   select *, dense_rank() over (order by event_type) - 1 as label from evn),
 tw as (select user_id, seq // 4 as window_no, seq % 4 as step, label from coded where (seq // 4 + 1) * 4 <= n)"""

@@ -48,8 +48,8 @@ def predict_log(
 
 def predict_log_with(
     samples: DataFrame, stream: Stream, names: Sequence[str], fn: Callable[[np.ndarray], np.ndarray],
-    channels: Sequence[str], size: int = 20, hop: int = 20, batch: int = 128,
+    channels: Sequence[str] | None = None, sensor: str = "left", size: int = 20, hop: int = 20, batch: int = 128,
 ) -> DataFrame:
     """:func:`predict_log` with any function from windows (B, W, F) to scores (B, classes)."""
-    windows = log_windows(sensor_channels(samples, stream, "", channels), stream, size, hop)
+    windows = log_windows(sensor_channels(samples, stream, sensor, channels), stream, size, hop)
     return decode_labels(decide(score(windows, fn, batch=batch)), names, "predicted")

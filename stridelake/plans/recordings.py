@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.operators.joins import fuse_sensors, tick_runs
+from stridelake.operators.columns import drop_incomplete, filter_labels
+from stridelake.operators.joins import fuse_sensors, join_labels_exact, tick_runs
 from stridelake.operators.labels import encode_sorted
 from stridelake.operators.ordered import number_rows
 from stridelake.operators.resample import block_ids, resample_nearest
@@ -15,6 +16,7 @@ from stridelake.operators.windows import (
     any_label,
     assemble_windows,
     chunk_runs,
+    contiguous_windows,
     sliding_windows,
     tumbling_windows,
 )
@@ -95,3 +97,18 @@ def fused_windows(
     window = [*stream.keys, "run_id", "window_no"]
     whole = chunks.groupBy(*window).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") == size).drop("_rows")
     return chunks.join(whole, window, "left_semi")
+
+
+def gap_free_windows(
+    samples: DataFrame, labels: DataFrame, on: Sequence[str], stream: Stream, channels: Sequence[str], label: str,
+    wanted: Sequence[int], size: int, hop: int, gap: int,
+) -> DataFrame:
+    """A long log with labels of equal time: windows without a gap in time or a change of label, with their data.
+
+    Rows with a missing channel are left out first, then rows whose label is not
+    ``wanted``; what both leave out makes gaps.  The joined rows are stored, because
+    windows read them twice.
+    """
+    whole = drop_incomplete(samples.select(*dict.fromkeys([*stream.columns, *on, *channels])), channels)
+    kept = filter_labels(join_labels_exact(whole, labels, on), label, wanted)
+    return contiguous_windows(stored(kept, "labelled"), stream, size, hop, gap, label, channels)

@@ -18,7 +18,8 @@ ENTRY = (
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
     """One row per set and label kind: ``dataset, version, rate_hz, window, dimension, size, kind, ...``.
 
-    The file is one JSON object of ``name_version`` entries.
+    The file is one JSON object of ``name_version`` entries; ``version`` is what
+    follows the name and ends in ``rate_window``, so names may hold underscores.
     """
     text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", f"map<string, struct<{_struct(ENTRY)}>>")).alias("key", "e"))
@@ -32,7 +33,7 @@ def load_catalog(spark: SparkSession, path: str) -> DataFrame:
         ]
     )
     return entries.select(
-        F.regexp_extract("key", "^([^_]+)_", 1).alias("dataset"), F.regexp_extract("key", "^[^_]+_(.*)$", 1).alias("version"),
+        F.regexp_extract("key", "^(.+?)_([0-9]+_[0-9]+)$", 1).alias("dataset"), F.regexp_extract("key", "^(.+?)_([0-9]+_[0-9]+)$", 2).alias("version"),
         F.col("e.sr").alias("rate_hz"), F.col("e.seq_len").alias("window"), F.col("e.dimension").alias("dimension"),
         F.col("e.size").alias("size"), F.explode(kinds).alias("k"),
     ).select("dataset", "version", "rate_hz", "window", "dimension", "size", "k.*").filter("label_index is not null")

@@ -202,6 +202,16 @@ def stream_windows_numbered(
     )
 
 
+def end_of_feed(rows: DataFrame, time: str, after: str) -> DataFrame:
+    """One row, null but for a time that lies ``after`` the last one.
+
+    Appended to a feed that has ended, it moves the watermark past all open buckets
+    and sessions, so that they come out; it stays open itself.
+    """
+    last = rows.agg((F.max(time) + F.expr(f"interval {after}")).alias(time))
+    return last.select(*[F.col(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
 def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Take everything that is there, write it to Parquet and stop; both folders are shared ones."""
     return (
