@@ -29,7 +29,7 @@ from stridelake.llm import words as W
 from stridelake.llm.store import kept_table
 
 #: Bytes of text whose windows are settled together, and bytes of text per part of the hash space.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 48 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 96 << 20
 
 _PACKED = "part int, settled boolean, keys binary, docs binary, counts binary, codes binary, places binary"
 _FLAGS = "key long, places binary"
