@@ -103,7 +103,7 @@ def l5(spark, d):
     "select vec_id as window_id, label from embeddings where label = 3",
 )
 def l6(spark, d):
-    wanted = L.resolve_label(["walking", "upstairs", "downstairs", "sitting"], "sitting")
+    wanted = L.resolve_label(["class a", "class b", "class c", "class d"], "class d")
     return windows(spark, d).select("window_id", "label").filter(F.col("label") == wanted)
 
 

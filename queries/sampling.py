@@ -3,11 +3,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries import query
-from queries.views import EV, EVENTS, events, windows
+from queries.views import EV, EVENTS, WIN, events, windows
 from stridelake.operators import labels as L
 from stridelake.operators import sampling as S
 
-SEED = 3431
+SEED = 5
 RANKED = f"""ranked as (
   select vec_id as window_id, label, row_number() over (order by md5('{SEED}:' || vec_id), vec_id) - 1 as rank,
          count(*) over () as total from embeddings)"""
@@ -151,9 +151,10 @@ q as (select least(min(c), cast(floor(sum(c) * 0.1::double / count(*)) as bigint
 
 @query(
     "t8_prepare_classifier_data",
-    f"""with {PREPARED}
-        select piece_id, split, label, true as labelled from pieces where split <> 'train'
-        union all select piece_id, split, label, r <= quota as labelled from train, q""",
+    f"""with {PREPARED}, {WIN}, sums as (select window_id * 2 + step // 6 as piece_id, round(sum(v), 5) + 0 as total from win group by 1),
+        flags as (select piece_id, split, label, true as labelled from pieces where split <> 'train'
+                  union all select piece_id, split, label, r <= quota as labelled from train, q)
+        select * from flags join sums using (piece_id)""",
 )
 def t8(spark, d):
     from stridelake.plans.training import prepare_classifier_data
@@ -161,7 +162,8 @@ def t8(spark, d):
     prepared = prepare_classifier_data(
         windows(spark, d), "window_id", "label", size=12, piece=6, label_rate=0.1, balance=True, seed=SEED
     )
-    return prepared.select("piece_id", "split", "label", "labelled")
+    total = F.aggregate(F.flatten("data"), F.lit(0.0), lambda s, v: s + v)
+    return prepared.select("piece_id", "split", "label", "labelled", (F.round(total, 5) + F.lit(0.0)).alias("total"))
 
 
 @query(

@@ -96,6 +96,7 @@ def threshold_label(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+# Fixed values of position_groups: columns of a position's block, and where its channels stand in it.
 def position_groups(
     columns: Sequence[str], positions: int, stride: int = 14, offsets: Sequence[int] = (1, 2, 3, 7, 8, 9, 10, 11, 12)
 ) -> list[list[str]]:

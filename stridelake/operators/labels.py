@@ -27,16 +27,15 @@ def _codes(vocabulary: DataFrame, order: Sequence[str], out: str, start: int) ->
     if wanted:
         picked = vocabulary.where(F.pmod(F.xxhash64(*order), F.lit(1_000_000_000)) < int(1_000_000_000 * wanted / n))
         cuts = picked.agg(F.array_sort(F.collect_list(value))).scalar()
-        placed = vocabulary.withColumn("_cuts", cuts).withColumn(
-            "_piece", F.size(F.filter("_cuts", lambda c: c <= value))).drop("_cuts")
+        placed = vocabulary.withColumn("_cuts", cuts).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c <= value))).drop("_cuts")
+        sizes = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows"))
+        earlier = Window.partitionBy().orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
+        base = sizes.select("_piece", F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("bigint")).alias("_base"))
+        local = F.row_number().over(Window.partitionBy("_piece").orderBy(*order))
+        coded = placed.withColumn("_local", local).join(base, "_piece").withColumn(out, F.col("_base") + F.col("_local") - 1 + start)
+        coded = coded.drop("_piece", "_local", "_base")
     else:
-        placed = vocabulary.withColumn("_piece", F.lit(0))
-    sizes = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy().orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
-    base = sizes.select("_piece", F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("bigint")).alias("_base"))
-    local = F.row_number().over(Window.partitionBy("_piece").orderBy(*order))
-    coded = placed.withColumn("_local", local).join(base, "_piece").withColumn(out, F.col("_base") + F.col("_local") - 1 + start)
-    coded = coded.drop("_piece", "_local", "_base")
+        coded = vocabulary.withColumn(out, F.row_number().over(Window.partitionBy().orderBy(*order)).cast("bigint") - 1 + start)
     return F.broadcast(coded) if n <= MAX_BROADCAST else coded
 
 

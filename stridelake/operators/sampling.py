@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from stridelake.stream import require_columns
 
 
-# One cut row per class is sent to every task.
-MAX_CLASSES = 100_000
-
 
 def random_key(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -173,28 +170,30 @@ def balanced_quota(df: DataFrame, label: str, rate: float) -> DataFrame:
     )
 
 
-def balanced_flag(df: DataFrame, key: str, label: str, rate: float, seed: int, digits: int = 4) -> Column:
-    """Whether a row of ``df`` is among the random ones of its class, the same number for each.
-
-    Each class has one cut row; the cuts come back as one map, as long as the list
-    of classes.  A row without a class is never chosen.
-    """
+def balanced_cuts(df: DataFrame, key: str, label: str, rate: float, seed: int, digits: int = 4) -> DataFrame:
+    """``label, cut``: one row per class, the place in the random order below which its rows are taken."""
     known = df.filter(F.col(label).isNotNull())
     bounds = _piece_bounds(known, key, seed, [label], digits)
     totals = bounds.groupBy(label).agg(F.max("total").alias("total"))
-    classes = F.count(F.lit(1))
-    fair = F.least(F.min("total"), F.floor(F.sum("total") * F.lit(float(rate)) / classes).cast("bigint"))
-    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes to balance")).cast("bigint")
-    quota = totals.agg(F.when(classes > MAX_CLASSES, too_many).otherwise(fair)).scalar()
-    wanted = _at_ranks(bounds.withColumn("_quota", quota), [label], {"labelled": F.col("_quota")})
-    cuts = _cut_rows(known, key, seed, [label], wanted, digits)
-    by_class = cuts.agg(F.map_from_entries(F.collect_list(F.struct(label, "cut")))).scalar()
-    return F.col(label).isNotNull() & _below(_here(seed, key), F.try_element_at(by_class, F.col(label)))
+    fair = F.least(F.min("total"), F.floor(F.sum("total") * F.lit(float(rate)) / F.count(F.lit(1))).cast("bigint"))
+    wanted = _at_ranks(bounds.withColumn("_quota", totals.agg(fair).scalar()), [label], {"labelled": F.col("_quota")})
+    return _cut_rows(known, key, seed, [label], wanted, digits).select(label, "cut")
+
+
+def with_balanced_flag(df: DataFrame, cuts: DataFrame, key: str, label: str, seed: int, flag: str = "labelled") -> DataFrame:
+    """Mark the rows that :func:`balanced_cuts` takes, for any number of classes; a row without a class is never taken.
+
+    The join is left to the optimiser: few classes are sent to every task.
+    """
+    # A class without a cut is taken whole.
+    joined = df.join(cuts, label, "left").withColumn("_place", _here(seed, key))
+    taken = F.col(label).isNotNull() & _below(F.col("_place"), F.col("cut"))
+    return joined.withColumn(flag, taken).select(*df.columns, flag)
 
 
 def sample_balanced(df: DataFrame, key: str, label: str, rate: float, seed: int, digits: int = 4) -> DataFrame:
     """Add ``labelled``: true for the same number of rows of every class."""
-    return df.withColumn("labelled", balanced_flag(df, key, label, rate, seed, digits))
+    return with_balanced_flag(df, balanced_cuts(df, key, label, rate, seed, digits), key, label, seed)
 
 
 def balanced_report(sampled: DataFrame) -> DataFrame:

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.operators.labels import zero_base
-from stridelake.operators.sampling import assign_split, balanced_flag, labelled_flag, split
-from stridelake.operators.windows import merge_window_labels, split_window_array, subwindows
+from stridelake.operators.sampling import assign_split, balanced_cuts, labelled_flag, split, with_balanced_flag
+from stridelake.operators.windows import merge_window_labels, subwindows
 from stridelake.sources.folders import stored
 
 
 def _sample_train(pieces: DataFrame, rate: float, balance: bool, seed: int) -> DataFrame:
     """``labelled`` for the train part; the other parts keep all their labels."""
     train = pieces.filter("split = 'train'")
-    chosen = (
-        balanced_flag(train, "piece_id", "label", rate, seed) if balance else labelled_flag(train, "piece_id", rate, seed)
-    )
-    return pieces.withColumn("labelled", F.when(F.col("split") == "train", chosen).otherwise(F.lit(True)))
+    if balance:
+        chosen = with_balanced_flag(pieces, balanced_cuts(train, "piece_id", "label", rate, seed), "piece_id", "label", seed, "_chosen")
+    else:
+        chosen = pieces.withColumn("_chosen", labelled_flag(train, "piece_id", rate, seed))
+    return chosen.withColumn("labelled", F.when(F.col("split") == "train", F.col("_chosen")).otherwise(F.lit(True))).drop("_chosen")
 
 
 def prepare_classifier_data(
@@ -26,14 +27,23 @@ def prepare_classifier_data(
 ) -> DataFrame:
     """Windows in array form with one label each: ``piece_id, split, label, labelled, data``.
 
-    The parts are drawn over windows, so pieces of a window stay in one part.
+    The parts are drawn over windows, so pieces of a window stay in one part.  Parts
+    and flags are decided on a stored table of keys and labels; the arrays are read
+    once, joined to their window's decisions and cut.
     """
-    based = zero_base(windows.withColumn("label", F.col(label)), ["label"])
-    parts = split(based, key, seed, train, vali)
-    pieces = split_window_array(parts, size, piece).withColumn(
-        "piece_id", F.col(key) * (size // piece) + F.col("piece_no")
+    if size % piece:
+        raise ValueError(f"pieces of {piece} steps do not fill windows of {size}")
+    count = size // piece
+    parts = stored(split(zero_base(windows.select(key, F.col(label).alias("label")), ["label"]), key, seed, train, vali), "parts")
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("piece_no")
+    pieces = parts.select(key, "label", "split", numbers).withColumn("piece_id", F.col(key) * count + F.col("piece_no"))
+    decided = _sample_train(pieces, label_rate, balance, seed).groupBy(key).agg(
+        F.first("split").alias("split"), F.first("label").alias("label"),
+        F.collect_list(F.struct("piece_no", "piece_id", "labelled")).alias("_pieces"),  # one entry per piece of the window
     )
-    return _sample_train(pieces.select("piece_id", "split", "label", "data"), label_rate, balance, seed)
+    joined = windows.select(key, "data").join(decided, key).withColumn("_piece", F.explode("_pieces"))
+    return joined.select("_piece.piece_id", "split", "label", "_piece.labelled",
+                         F.slice("data", F.col("_piece.piece_no") * piece + 1, F.lit(piece)).alias("data"))
 
 
 def prepare_label_windows(
