@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stridelake.sources.folders import shared_folder
@@ -23,3 +26,8 @@ class Kept:
 def kept_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written with zstandard to a new path in the shared folder and read back; it stays for the result's readers."""
     return Kept(df, name).df
+
+
+def bytes_of(column: pa.ChunkedArray) -> Iterator[memoryview]:
+    """Values of a binary column, one at a time and without copies."""
+    return (memoryview(value.as_buffer()) for value in column)

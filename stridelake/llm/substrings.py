@@ -26,7 +26,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from stridelake.llm import words as W
-from stridelake.llm.store import kept_table
+from stridelake.llm.store import bytes_of, kept_table
 
 #: Bytes of text whose windows are settled together, and bytes of text per part of the hash space.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 96 << 20
@@ -141,31 +141,32 @@ def _settle(packed: DataFrame, last: bool, width: int) -> DataFrame:
     """Flags of one part of the hash space: which entries repeat."""
 
     def settle(table: pa.Table) -> pa.Table:
-        keys, docs_, counts, codes, places, settled = ([], [], [], [], [], [])
-        for row in table.to_pylist():
-            n = np.frombuffer(row["counts"], "<u4")
-            keys.append(np.repeat(np.frombuffer(row["keys"], np.int64), n))
-            counts.append(int(n.sum()))
-            places.append(np.frombuffer(row["places"], "<u4"))
-            settled.append(row["settled"])
-            if not row["settled"]:
-                docs_.append(np.repeat(np.frombuffer(row["docs"], np.int64), n) if last else keys[-1])
-                wide = np.zeros((counts[-1], 8), np.uint8)
-                wide[:, :width] = np.frombuffer(row["codes"], np.uint8).reshape(-1, width)
-                codes.append(wide.view("<u8").ravel())
-        key, place = np.concatenate(keys), np.concatenate(places)
-        done = np.repeat(np.array(settled), counts)
-        flag = done.copy()
-        if codes:
-            doc, code = np.concatenate(docs_), np.concatenate(codes)
-            order = np.argsort(code, kind="stable")
-            fresh = np.append(True, code[order][1:] != code[order][:-1])
-            edges, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-            smallest = np.minimum.reduceat(doc[order], edges)[group]
-            largest = np.maximum.reduceat(doc[order], edges)[group]
-            repeats = np.empty(len(order), bool)
-            repeats[order] = doc[order] > smallest if last else largest > smallest
-            flag[~done] = repeats
+        entries = [len(places) // 4 for places in bytes_of(table["places"])]
+        n, done = sum(entries), np.repeat(table["settled"].to_numpy(), entries)
+        key, place, code = np.empty(n, np.int64), np.empty(n, np.uint32), np.zeros((n, 8), np.uint8)
+        doc = np.empty(n, np.int64) if last else key
+        at = 0
+        for counts, keys, docs_, codes, places, size in zip(*(bytes_of(table[c]) for c in ("counts", "keys", "docs", "codes", "places")), entries):
+            runs, to = np.frombuffer(counts, "<u4"), at + size
+            key[at:to] = np.repeat(np.frombuffer(keys, np.int64), runs)
+            place[at:to] = np.frombuffer(places, "<u4")
+            if codes:
+                code[at:to, :width] = np.frombuffer(codes, np.uint8).reshape(-1, width)
+                if last:
+                    doc[at:to] = np.repeat(np.frombuffer(docs_, np.int64), runs)
+            at = to
+        code, flag = code.view("<u8").ravel(), done.copy()
+        slice_of = (code & np.uint64(7)).astype(np.uint8)
+        for k in range(8):  # a share of the hashes at a time bounds what sorting needs
+            chosen = np.flatnonzero((slice_of == k) & ~done)
+            if not len(chosen):
+                continue
+            chosen = chosen[np.argsort(code[chosen], kind="stable")]
+            edges = np.flatnonzero(np.append(True, np.diff(code[chosen]) != 0))
+            ranked, runs = doc[chosen], np.diff(np.append(edges, len(chosen)))
+            smallest = np.repeat(np.minimum.reduceat(ranked, edges), runs)
+            other = ranked if last else np.repeat(np.maximum.reduceat(ranked, edges), runs)
+            flag[chosen] = other > smallest
         key, place = key[flag], place[flag]
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
