@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 
 from stridelake.llm import words as W
 from stridelake.llm.graph import components
-from stridelake.llm.store import Kept, kept_table
+from stridelake.llm.store import Kept, bytes_of, kept_table
 
 #: Sets of a row block, and the n-grams of all sets of a block (about).
 BLOCK_ROWS, BLOCK_ITEMS = 384, 1 << 20
 #: Columns of a strip of the product.
 STRIP = 4096
 #: Bytes of text per part of the hash space when columns are counted, and of text settled at a time.
-COUNT_BYTES = 128 << 20
+COUNT_BYTES = 64 << 20
 
 
 def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -129,11 +129,11 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
 def _lone(docs: DataFrame, n: int) -> DataFrame:
     """``code, lone``: counted columns that a set has alone; sets without any have no row.
 
-    Hashes go out in packed arrays, a row per batch and part of the hash space, five bytes each: columns that agree by
+    Hashes go out in packed arrays, a row per batch and part of the hash space, four bytes each: columns that agree by
     chance only hide a lone one.
     """
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4, -(-size // COUNT_BYTES))
+    parts = max(8, -(-size // COUNT_BYTES))
 
     def send(batches):
         seen = set()
@@ -157,23 +157,28 @@ def _lone(docs: DataFrame, n: int) -> DataFrame:
             for p in np.flatnonzero(np.diff(edges)):
                 one = order[edges[p] : edges[p + 1]]
                 runs = np.flatnonzero(np.append(True, owner[one][1:] != owner[one][:-1]))
-                raw = (gram[one] >> np.uint64(1)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                raw = (gram[one] >> np.uint64(1)).astype("<u4").tobytes()
                 rows.append((int(p), code[owner[one][runs]].tobytes(), np.diff(np.append(runs, len(one))).astype("<u4").tobytes(), raw))
             columns = list(zip(*rows)) or [()] * 4
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "codes", "counts", "grams"])
 
     def settle(table: pa.Table) -> pa.Table:
-        code = np.concatenate([np.repeat(np.frombuffer(c, np.int64), np.frombuffer(k, "<u4")) for c, k in zip(table["codes"].to_pylist(), table["counts"].to_pylist())])
-        wide = np.zeros((len(code), 8), np.uint8)
-        wide[:, :5] = np.concatenate([np.frombuffer(g, np.uint8) for g in table["grams"].to_pylist()]).reshape(-1, 5)
-        gram = wide.view("<u8").ravel()
-        order = np.argsort(gram, kind="stable")
-        code, gram = code[order], gram[order]
-        edges = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        least, most = np.minimum.reduceat(code, edges), np.maximum.reduceat(code, edges)
-        found, counts = np.unique(least[least == most], return_counts=True)
-        return pa.table({"code": found, "lone": counts})
+        names, entries = np.unique(np.concatenate([np.frombuffer(c, np.int64) for c in bytes_of(table["codes"])])), [len(g) // 4 for g in bytes_of(table["grams"])]
+        owner, gram, at = np.empty(sum(entries), np.int32), np.empty(sum(entries), np.uint32), 0
+        for codes, counts, grams, size in zip(*(bytes_of(table[c]) for c in ("codes", "counts", "grams")), entries):
+            owner[at : at + size] = np.repeat(np.searchsorted(names, np.frombuffer(codes, np.int64)).astype(np.int32), np.frombuffer(counts, "<u4"))
+            gram[at : at + size] = np.frombuffer(grams, "<u4")
+            at += size
+        lone, slice_of = np.zeros(len(names), np.int64), (gram & np.uint32(15)).astype(np.uint8)
+        for k in range(16):  # a share of the columns at a time bounds what sorting needs
+            chosen = np.flatnonzero(slice_of == k)
+            if len(chosen):
+                chosen = chosen[np.argsort(gram[chosen], kind="stable")]
+                edges = np.flatnonzero(np.append(True, np.diff(gram[chosen]) != 0))
+                least, most = np.minimum.reduceat(owner[chosen], edges), np.maximum.reduceat(owner[chosen], edges)
+                lone += np.bincount(least[least == most], minlength=len(names))
+        return pa.table({"code": names[lone > 0], "lone": lone[lone > 0]})
 
     sent = docs.select("text").mapInArrow(send, "part int, codes binary, counts binary, grams binary")
     return sent.groupBy("part").applyInArrow(settle, "code long, lone long").groupBy("code").agg(F.sum("lone").alias("lone"))
