@@ -142,10 +142,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     model = fit_label_model(voters, matrix, np.array([r["n"] for r in patterns], float), anchor=0)
     posterior = [(list(r["__fired"]), float(p)) for r, p in zip(patterns, model.posterior(matrix))]
     soft = voted.join(docs.sparkSession.createDataFrame(posterior, "__fired array<string>, p double"), "__fired")
-    # A soft label is two weighted rows.
-    sides = soft.select("__terms", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("s"))
+    # A soft label is two weighted rows; the rarer toxic side counts more, by the root of what would balance the classes.
+    weight = float(np.sqrt((1 - model.prior) / model.prior))
+    sides = soft.select("__terms", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (weight * F.col("p")).alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("s"))
     rows_ = _features(sides.select("__terms", "s.label", "s.w").where("w > 0.01")).select("__features", "label", "w")
-    fitted = LogisticRegression(featuresCol="__features", labelCol="label", weightCol="w", regParam=0.0001, elasticNetParam=0.8, maxIter=80, standardization=False).fit(rows_)
+    fitted = LogisticRegression(featuresCol="__features", labelCol="label", weightCol="w", regParam=0.00002, elasticNetParam=0.8, maxIter=80, standardization=False).fit(rows_)
     return Toxicity(fitted, model, positive / n)
 
 
