@@ -151,6 +151,20 @@ def r7(spark, d):
     return rounded(out, "value", "k")
 
 
+@query(
+    "r7_downsample_given_rate",
+    f"""with {EVN}, x as (select *, 2667 as p, (seq * 1000 + 999) // 2667 as block from evn)
+        select user_id, block, count(*) as n_rows, cast(sum(t_us) // count(*) as bigint) as t_us, {BLOCKS}
+        from x where (block * p) // 1000 + p // 1000 + 1 < n group by 1, 2""",
+)
+def r7_given(spark, d):
+    """The source's rate is known: 8 a day to 3 a day, a ratio of 2.667."""
+    out = R.downsample_if_needed(
+        events(spark, d), EVENTS, ["value", "k"], hz_target=3.0, hz_source=8.0, units_per_second=24 * HOUR
+    )
+    return rounded(out, "value", "k")
+
+
 @query(
     "r8_resample_report",
     f"""with {EV},

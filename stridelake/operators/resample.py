@@ -152,22 +152,28 @@ def resample_nearest(df: DataFrame, stream: Stream, hz: float | None = None, ste
     )
 
 
-def interval_counts(df: DataFrame, stream: Stream) -> DataFrame:
-    """How often each positive time step occurs in a recording."""
+def _step_counts(df: DataFrame, stream: Stream) -> DataFrame:
+    """How often each time step occurs; those that are not positive, and the first row's, count as null."""
     rows = with_neighbours(df.select(*stream.columns), stream, [stream.time])
     step = F.col(stream.time) - F.col(f"prev_{stream.time}")
-    return rows.select(*stream.keys, step.alias("dt")).filter("dt > 0").groupBy(*stream.keys, "dt").agg(
+    return rows.select(*stream.keys, F.when(step > 0, step).alias("dt")).groupBy(*stream.keys, "dt").agg(
         F.count(F.lit(1)).alias("times")
     )
 
 
+def interval_counts(df: DataFrame, stream: Stream) -> DataFrame:
+    """How often each positive time step occurs in a recording."""
+    return _step_counts(df, stream).filter("dt is not null")
+
+
 def infer_rate(df: DataFrame, stream: Stream, units_per_second: int = 1_000_000, bucket: int = 4096) -> DataFrame:
     """``keys, median_dt, rate_hz``: one over the exact median of the positive steps, else 0.
 
     Equal steps are counted first; a bucket then holds at most ``bucket``
     different steps, so the ranks need no sort of a whole recording.
     """
-    counts = interval_counts(df, stream)
+    all_counts = _step_counts(df, stream)
+    counts = all_counts.filter("dt is not null")
     steps = Stream(stream.keys, "dt", (), bucket)
     per_bucket = steps.sliced(counts).groupBy(*steps.slice_keys).agg(F.sum("times").alias("_times"))
     earlier = steps.across_slices().rowsBetween(Window.unboundedPreceding, -1)
@@ -193,7 +199,8 @@ def infer_rate(df: DataFrame, stream: Stream, units_per_second: int = 1_000_000,
         F.avg("dt").alias("median_dt")
     )
     # A rank that both middles share is one row, two different rows are averaged.
-    every = df.select(*stream.keys).distinct()
+    # Every recording has a first row, so the counts name all of them.
+    every = all_counts.select(*stream.keys).distinct()
     return every.join(middle, list(stream.keys), "left").select(
         *stream.keys,
         "median_dt",

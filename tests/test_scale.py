@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import queries as registry
 from stridelake import Stream
 from stridelake.operators import joins as J
 from stridelake.operators import ordered as O
@@ -17,7 +18,7 @@ from stridelake.stream import fit_slices
 
 # Run over files or fitted models while they are built; their parts are covered elsewhere.
 EAGER = {"m7_fit_classifier", "m8_select_best", "e8_pca_project", "t8_prepare_event_windows"}
-LAZY = sorted(n for n in entry.queries() if n not in EAGER and not re.match(r"[sx]\d", n))
+LAZY = sorted(n for n in registry.QUERIES if n not in EAGER and not re.match(r"[sx]\d", n))
 
 
 def plan_of(df) -> str:
