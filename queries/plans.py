@@ -10,8 +10,17 @@ from stridelake.functions import nets
 from stridelake.operators.columns import preset_channels
 from stridelake.operators.labels import encode_sorted
 from stridelake.operators.metrics import prediction_distribution
+from stridelake.operators.ordered import number_rows
 from stridelake.plans.log_scoring import predict_log, predict_log_with
-from stridelake.plans.recordings import fused_windows, gap_free_windows, nearest_windows, recording_windows, resampled_with_labels
+from stridelake.plans.recordings import (
+    fused_windows,
+    gap_free_windows,
+    nearest_windows,
+    position_windows,
+    recording_windows,
+    resampled_with_labels,
+    segment_windows,
+)
 
 NAMES = ["rest", "move"]
 
@@ -108,6 +117,51 @@ def right_side(spark, d):
     return scored.select("user_id", "window_no", "predicted", "name")
 
 
+@query(
+    "plan_segment_windows",
+    f"""with {EVN}, seg as (
+          select user_id, t_us // {10 * DAY} as part, min(seq) as start_idx, max(seq) + 1 as end_idx, cast(t_us // {10 * DAY} % 8 as integer) + 1 as activity
+          from evn group by 1, 2, 5),
+        r as (select user_id, start_idx, activity, seq - start_idx as i, end_idx - start_idx as len, value, k
+              from evn join seg using (user_id) where seq >= start_idx and seq < end_idx and activity <= 6),
+        b as (select user_id, start_idx, activity, (i * 2 + 1) // 5 as block, avg(value) as value, avg(k) as k
+              from r where (((i * 2 + 1) // 5) * 5) // 2 + 3 < len group by 1, 2, 3, 4),
+        c as (select *, count(*) over (partition by user_id, start_idx, activity) as n_blocks from b)
+        select user_id, start_idx, activity, block // 3 as window_no, block % 3 as step, ch.i as ch,
+               round(cast(case ch.i when 0 then value else k end as float)::double, 3) as v
+        from c, range(2) ch(i) where n_blocks > 3 and (block // 3 + 1) * 3 <= n_blocks""",
+)
+def by_segment(spark, d):
+    rows = number_rows(events(spark, d), EVENTS)
+    part = F.expr(f"t_us div {10 * DAY}")
+    segments = rows.groupBy("user_id", part.alias("part")).agg(
+        F.min("seq").alias("start_idx"), (F.max("seq") + 1).alias("end_idx"), (F.first(part % 8) + 1).cast("int").alias("activity"))
+    made = segment_windows(rows.drop("n"), segments, ["user_id"], ["value", "k"], "activity", 5, 2, size=3, at_most=6)
+    return tall(made, ["user_id", "start_idx", "activity", "window_no"]).withColumn("v", F.round(F.col("v").cast("double"), 3))
+
+
+@query(
+    "plan_position_windows",
+    f"""with {EV}, codes as (select * from (values ('click', 0), ('view', 1), ('purchase', 2), ('signup', 3)) t(event_type, label)),
+        s as (select user_id, label, value, k, row_number() over w - 1 as seq, count(*) over (partition by user_id, label) as n
+              from ev join codes using (event_type) window w as (partition by user_id, label order by t_us, event_id)),
+        l as (select user_id, label, 0 as position, value as x, k as y, seq, n from s
+              union all select user_id, label, 1, k, value, seq, n from s),
+        b as (select user_id, label, position, (seq * 2 + 1) // 5 as block, avg(x) as x, avg(y) as y
+              from l where (((seq * 2 + 1) // 5) * 5) // 2 + 3 <= n group by 1, 2, 3, 4),
+        c as (select *, count(*) over (partition by user_id, label, position) as n_blocks from b)
+        select user_id, label, position, block // 2 as window_no, block % 2 as step, ch.i as ch,
+               round(cast(case ch.i when 0 then x else y end as float)::double, 3) as v
+        from c, range(2) ch(i) where (block // 2 + 1) * 2 <= n_blocks""",
+)
+def by_position(spark, d):
+    made = position_windows(
+        events(spark, d), ["user_id"], EVENTS, [["value", "k"], ["k", "value"]], ["x", "y"], "event_type",
+        ["click", "view", "purchase", "signup"], 5, 2, size=2,
+    )
+    return tall(made, ["user_id", "label", "position", "window_no"]).withColumn("v", F.round(F.col("v").cast("double"), 3))
+
+
 @query(
     "plan_gap_free_windows",
     f"""with {EV}, lab as (select user_id, t_us, cast(k as integer) % 3 + 1 as label from ev),

@@ -21,15 +21,19 @@ def join_labels_exact(samples: DataFrame, labels: DataFrame, on: Sequence[str])
 
 def join_labels_segments(
     samples: DataFrame, segments: DataFrame, keys: Sequence[str], seq: str = "seq",
-    start: str = "start_idx", end: str = "end_idx", bucket: int = 65536,
+    start: str = "start_idx", end: str = "end_idx", bucket: int | None = None,
 ) -> DataFrame:
     """Rows with ``start <= seq < end`` of the same recording, once per segment that holds them.
 
     Both sides meet on a bucket of row numbers, so a long recording is spread
-    and a row is compared with the segments near it only.
+    and a row is compared with the segments near it only.  Without ``bucket``, it is
+    the mean length of the segments (one small job now): a row then meets about two.
     """
     require_columns(samples, [*keys, seq])
     require_columns(segments, [*keys, start, end])
+    if bucket is None:
+        length = segments.agg(F.avg((F.col(end) - F.col(start)).cast("double"))).first()[0]
+        bucket = min(max(int(length or 0), 64), 65_536)
     spread = segments.filter(F.col(start) < F.col(end)).withColumn(
         "_bucket", F.explode(F.sequence(_div(F.col(start).cast("bigint"), bucket), _div(F.col(end).cast("bigint") - 1, bucket)))
     )

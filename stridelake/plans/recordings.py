@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.operators.columns import drop_incomplete, filter_labels
-from stridelake.operators.joins import fuse_sensors, join_labels_exact, tick_runs
-from stridelake.operators.labels import encode_sorted
+from stridelake.operators.columns import drop_incomplete, filter_labels, unpivot_positions
+from stridelake.operators.joins import fuse_sensors, join_labels_exact, join_labels_segments, tick_runs
+from stridelake.operators.labels import encode_sorted, encode_vocab
 from stridelake.operators.ordered import number_rows
-from stridelake.operators.resample import block_ids, resample_nearest
+from stridelake.operators.resample import block_ids, block_mean, resample_nearest
 from stridelake.operators.windows import (
     any_label,
     assemble_windows,
@@ -112,3 +112,46 @@ def gap_free_windows(
     whole = drop_incomplete(samples.select(*dict.fromkeys([*stream.columns, *on, *channels])), channels)
     kept = filter_labels(join_labels_exact(whole, labels, on), label, wanted)
     return contiguous_windows(stored(kept, "labelled"), stream, size, hop, gap, label, channels)
+
+
+def _block_windows(blocks: DataFrame, keys: Sequence[str], channels: Sequence[str], size: int, min_rows: int | None, first: Sequence[str]) -> DataFrame:
+    """Windows of consecutive blocks in array form; a slice holds a hundred thousand blocks at most."""
+    long = tumbling_windows(stored(blocks, "blocks"), Stream(tuple(keys), "block", (), 100_000), size, min_rows)
+    return assemble_windows(long, [*keys, "window_no"], channels, first=first)
+
+
+def segment_windows(
+    samples: DataFrame, segments: DataFrame, keys: Sequence[str], channels: Sequence[str], activity: str, p: int, q: int,
+    size: int, at_most: int | None = None, seq: str = "seq",
+) -> DataFrame:
+    """Numbered samples and labelled segments of row numbers: each segment resampled by itself, cut into windows.
+
+    ``samples`` carry their row number ``seq``; ``segments`` have ``start_idx`` and
+    ``end_idx`` (not included) and an activity, of which those above ``at_most`` are
+    left out.  A segment needs more blocks than one window has.  Row numbers within a
+    segment are arithmetic, so samples are shuffled to their segments only.
+    """
+    kept = filter_labels(segments.select(*keys, activity, "start_idx", "end_idx"), activity, at_most=at_most)
+    rows = join_labels_segments(samples.select(*keys, seq, *channels), kept, keys, seq)
+    placed = rows.withColumn("n", (F.col("end_idx") - F.col("start_idx")).cast("bigint")).withColumn("seq", (F.col(seq) - F.col("start_idx")).cast("bigint"))
+    segment = (*keys, "start_idx", activity)
+    blocks = block_mean(placed, Stream(segment, "seq"), channels, p, q, tail="drop_last").drop("n_rows")
+    return _block_windows(blocks, segment, channels, size, size + 1, [])
+
+
+def position_windows(
+    df: DataFrame, keys: Sequence[str], order: Stream, groups: Sequence[Sequence[str]], channels: Sequence[str], label: str,
+    vocabulary: Sequence[str], p: int, q: int, size: int, code: str = "label",
+) -> DataFrame:
+    """A table with sensor positions side by side: one recording per activity and position, resampled and cut into windows.
+
+    ``order`` gives time and ties of the rows of ``keys``.  Rows whose label is not in
+    the vocabulary are left out (``unknown_labels`` counts them).
+    """
+    used = dict.fromkeys([*keys, order.time, *order.ties, label, *[c for g in groups for c in g]])
+    coded = encode_vocab(df.select(*used), label, vocabulary, out=code).filter(F.col(code).isNotNull()).drop(label)
+    long = unpivot_positions(coded, groups, channels)
+    recording = (*keys, code, "position")
+    stream = Stream(recording, order.time, order.ties, order.slice_width)
+    blocks = block_mean(long, stream, channels, p, q, guard="le").drop("n_rows")
+    return _block_windows(blocks, recording, channels, size, None, [])
