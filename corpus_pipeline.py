@@ -36,11 +36,8 @@ def mark_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, the byte span of every piece in the text, and the text decoded from the ids."""
-    model = tokenizer_file("piece_bpe_32k.model")
-    encoded = docs.select("doc_id", pieces.encode_pieces("text", model).alias("__pieces"))
-    named = encoded.select("doc_id", *(F.col("__pieces")[c].alias(c) for c in ("ids", "starts", "ends")))
-    return named.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded", pieces.decode_pieces("ids", model))
+    """doc_id, ids, the byte span of every piece in the text (starts, ends), n_tokens, and the text decoded from the ids."""
+    return pieces.encoded(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import pyspark.sql.types as T
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 
+#: Characters of text whose pieces are in memory together.
+TOGETHER = 1 << 20
 SPACE = "▁"  # fixed value: the library's mark for a space
 
 
@@ -51,8 +53,11 @@ class Normalizer:
 
     def __init__(self, prefixes: dict[str, str], dummy_prefix: bool, squeeze_spaces: bool):
         self.prefixes, self.dummy_prefix, self.squeeze_spaces = prefixes, dummy_prefix, squeeze_spaces
-        keys = sorted(prefixes, key=lambda k: (-len(k), k))
-        self.pattern = re.compile("|".join(map(re.escape, keys))) if keys else None
+        self.longest: dict[str, int] = {}
+        for key in prefixes:
+            self.longest[key[0]] = max(self.longest.get(key[0], 0), len(key))
+        # Places where some prefix may begin; most text has none.
+        self.begins = re.compile(f"[{''.join(map(re.escape, sorted(self.longest)))}]") if prefixes else None
 
     def __call__(self, text: str) -> tuple[str, np.ndarray]:
         out, source = self._mapped(text)
@@ -66,16 +71,25 @@ class Normalizer:
             marked, source = SPACE + marked, np.concatenate([np.repeat(source[:1], 3), source])
         return marked, source
 
+    def _prefix(self, text: str, i: int) -> str | None:
+        """The longest known prefix at a place."""
+        for length in range(self.longest[text[i]], 0, -1):
+            if text[i : i + length] in self.prefixes:
+                return text[i : i + length]
+        return None
+
     def _mapped(self, text: str) -> tuple[str, np.ndarray]:
-        if self.pattern is None or not self.pattern.search(text):
+        if self.begins is None or not self.begins.search(text):
             return text, np.arange(len(text.encode()) + 1)
         parts, source, at, done = [], [], 0, 0
-        for match in self.pattern.finditer(text):
-            plain, new = text[done : match.start()], self.prefixes[match[0]]
+        for match in self.begins.finditer(text):
+            if match.start() < done or (old := self._prefix(text, match.start())) is None:
+                continue
+            plain, new = text[done : match.start()], self.prefixes[old]
             n = len(plain.encode())
             parts += [plain, new]
             source += [np.arange(at, at + n), np.full(len(new.encode()), at + n)]
-            at, done = at + n + len(match[0].encode()), match.end()
+            at, done = at + n + len(old.encode()), match.start() + len(old)
         n = len(text[done:].encode())
         return "".join([*parts, text[done:]]), np.concatenate([*source, np.arange(at, at + n + 1)])
 
@@ -148,6 +162,38 @@ def encode_pieces(text: Column | str, model: str) -> Column:
     return encode(F.col(text) if isinstance(text, str) else text)
 
 
+def encoded(docs: DataFrame, model: str) -> DataFrame:
+    """Per row of ``doc_id, text``: doc_id, ids, starts, ends, n_tokens and the text decoded from the ids.
+
+    Encoding and decoding in one pass, some texts at a time, so a task holds the numbers of few documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PieceEncoder(model)
+        for batch in batches:
+            made, characters = [], 0
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                text = text.as_py() or ""
+                ids, starts, ends = encoder.encode(text)
+                made.append((doc_id.as_py(), np.asarray(ids, np.int32), starts.astype(np.int32), ends.astype(np.int32), encoder.library.decode(ids)))
+                characters += len(text)
+                if characters >= TOGETHER:
+                    yield _rows(made)
+                    made, characters = [], 0
+            if made:
+                yield _rows(made)
+
+    def _rows(made: list[tuple]) -> pa.RecordBatch:
+        ids, numbers, decoded = [m[0] for m in made], [[m[k] for m in made] for k in (1, 2, 3)], [m[4] for m in made]
+        offsets = pa.array(np.cumsum([0, *map(len, numbers[0])]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(n))) for n in numbers]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists, pa.array([len(n) for n in numbers[0]], pa.int64()), pa.array(decoded, pa.string())],
+                                          names=["doc_id", "ids", "starts", "ends", "n_tokens", "decoded"])
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>, n_tokens long, decoded string")
+
+
 def decode_pieces(ids: Column | str, model: str) -> Column:
     """Texts of id arrays by the library's decoder; null gives an empty text."""
 

@@ -362,6 +362,12 @@ def test_pieces(spark, documents, awkward, nothing):
         raw = (r.text or "").encode()
         assert b"".join(raw[a:b] for a, b in zip(r.p.starts, r.p.ends)) == raw and r.back == library.decode(library.encode(r.text or ""))
     assert nothing.select(pieces.piece_digest("text", path).alias("p")).count() == 0
+    rows = {(r.doc_id, r.decoded): r for r in pieces.encoded(awkward, path).collect()}
+    for doc_id, text in AWKWARD:
+        ids = library.encode(text or "")
+        r = rows[(doc_id, library.decode(ids))]
+        assert r.ids == ids and r.n_tokens == len(ids) == len(r.starts) == len(r.ends)
+    assert pieces.encoded(awkward, path).count() == len(AWKWARD) and pieces.encoded(nothing, path).count() == 0
 
 
 def test_normalizer_takes_the_longest_prefix():
@@ -373,6 +379,24 @@ def test_normalizer_takes_the_longest_prefix():
     assert raw[source[at] : source[at + 1]].decode() == "ab" and raw[source[3] : source[5]].decode() == "ﬁ"
 
 
+def test_normalizer_follows_a_compiled_map():
+    """The library's own rule set, as a compiled map: the same normalised text, with every byte traced to its source."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    spec = sentencepiece_model_pb2.ModelProto.FromString(library.serialized_model_proto()).normalizer_spec
+    prefixes = pieces.character_map(spec.precompiled_charsmap)
+    assert len(prefixes) > 1000 and prefixes["ﬁ"] == "fi"
+    normal = pieces.Normalizer(prefixes, spec.add_dummy_prefix, spec.remove_extra_whitespaces)
+    letters = list("abcABC  ﬁ①Ⅷｱﾞｶﾞé\u0301é \t\n\u3000ﷺ㎏½…日本🙂\u200b\u00ad")
+    for _ in range(1500):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 20)))
+        made, source = normal(text)
+        assert made == library.normalize(text)
+        assert len(source) == len(made.encode()) + 1 and (np.diff(source) >= 0).all() and (not len(source) or source[-1] <= len(text.encode()))
+
+
 # 9
 
 
