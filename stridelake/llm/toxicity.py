@@ -31,6 +31,8 @@ TRAINING_ROWS = 12_000
 LEXICON, LEAST_TEXTS, LEAST_SHARE = 80, 4, 0.8
 #: Lengths of word beginnings that are terms, and positions of the classifier's features.
 BEGINNINGS, FEATURES = (4, 5), 1 << 16
+#: Partitions of the training rows, whose number is bounded: every step of the fit sends a vector of FEATURES numbers per partition.
+TRAINING_PARTITIONS = 8
 #: The voter that repeats the given label; it has an accuracy like any other.
 LABEL = "label:given"
 #: Pattern voters: names and Java patterns.
@@ -145,7 +147,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     # A soft label is two weighted rows; the rarer toxic side counts more, by the root of what would balance the classes.
     weight = float(np.sqrt((1 - model.prior) / model.prior))
     sides = soft.select("__terms", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (weight * F.col("p")).alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("s"))
-    rows_ = _features(sides.select("__terms", "s.label", "s.w").where("w > 0.01")).select("__features", "label", "w")
+    rows_ = _features(sides.select("__terms", "s.label", "s.w").where("w > 0.01")).select("__features", "label", "w").coalesce(TRAINING_PARTITIONS)
     fitted = LogisticRegression(featuresCol="__features", labelCol="label", weightCol="w", regParam=0.00002, elasticNetParam=0.8, maxIter=80, standardization=False).fit(rows_)
     return Toxicity(fitted, model, positive / n)
 
