@@ -21,8 +21,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_VALUE = 6
 BASE = ("assign", "access", "hex")
-#: Weak parts.
-IDENTIFIER = r"""(?i)\b(access_?key_?id|client_?id|account_?sid|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
+#: Weak parts.  An identifier's name may follow a prefix that ends in another sign than a letter or digit, as in AZURE_CLIENT_ID.
+IDENTIFIER = r"""(?i)(?<![A-Za-z0-9])(access_?key_?id|client_?id|account_?sid|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
 #: Tokens may be of any length and stand right after "=", which only at their end belongs to them; taken whole, so the search stays linear.
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"""(?i)\b(https?|ftp|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s"'<>]+"""

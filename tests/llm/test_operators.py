@@ -459,6 +459,17 @@ def test_secrets_of_key_value_files_and_long_ones(spark):
     assert all(aws not in clean[i] for i in (1, 4, 5)) and "aB3" not in clean[2] + clean[3]
 
 
+def test_prefixed_names_are_identifiers(spark):
+    names = ["AZURE_CLIENT_ID", "TWILIO_ACCOUNT_SID", "DB_USER_NAME", "AWS_ACCESS_KEY_ID", "azure-client_id", "spring.login", "_login", "login", "账号login"]
+    rows = [(i, f"{name}: app-1234\nkey: {KEY}") for i, name in enumerate(names)] + [(50, f"weblogin: app-1234\nkey: {KEY}"), (51, f"2login: app-1234\nkey: {KEY}")]
+    got = linked(spark, rows)
+    for i in range(len(names)):
+        (kind, name), secret = got[i]
+        assert kind == "link_id" and names[i].endswith(name.split(":")[0]) and name.endswith("app-1234") and secret == ("link_secret", KEY)
+    assert got[50] == got[51] == []
+    assert all(KEY not in r.text and "app-1234" not in r.text for r in secrets.redact(text_table(spark, rows)).collect() if r.doc_id < 50)
+
+
 # 10
 
 
