@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 
 from stridelake.llm import words as W
-from stridelake.llm.samples import bounded, id_remainder
+from stridelake.llm.samples import id_remainder, stratified
 from stridelake.llm.store import kept_table
 
 #: Families of language codes.
@@ -36,8 +36,8 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
     "indic": ("hi", "ur", "bn", "mr", "gu", "pa", "ne"),
 }
-#: Rows that train (about, at most), and positions of trigrams.
-TRAINING_ROWS, FEATURES = 3000, 2048
+#: Rows that train (about, at most, unless languages are many), rows that a language may always have, and positions of trigrams.
+TRAINING_ROWS, LANGUAGE_ROWS, FEATURES = 3000, 100, 2048
 _PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -108,7 +108,11 @@ def _machine(rows: DataFrame, first: str, second: str, is_first: Column) -> Mach
 
 
 def fit_languages(docs: DataFrame, rows: int = TRAINING_ROWS) -> LanguageModel:
-    """Fit on ``text`` and ``lang`` of rows whose id has a crc32 remainder other than 1 by 3, about ``rows`` of them."""
+    """Fit on ``text`` and ``lang`` of rows whose id has a crc32 remainder other than 1 by 3.
+
+    Every language of these rows is learned.  About ``rows`` of them train: each language has all its rows or an equal
+    number picked by hash, ``LANGUAGE_ROWS`` at least.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & (id_remainder(3) != 1))
 
     def numbers(batches):
@@ -118,10 +122,10 @@ def fit_languages(docs: DataFrame, rows: int = TRAINING_ROWS) -> LanguageModel:
             arrays = pa.ListArray.from_arrays(np.arange(0, values.size + 1, FEATURES, dtype=np.int32), values.ravel())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), arrays], names=["lang", "x"])
 
-    sample = bounded(labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "doc_id", rows)
+    chosen = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    langs, sample = stratified(chosen, "lang", rows, LANGUAGE_ROWS)
     sample = kept_table(sample.select("lang", "text").mapInArrow(numbers, "lang string, x array<float>"), "trigrams")
     train = sample.select("lang", array_to_vector(F.col("x")).alias("x"))
-    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
     members: dict[str, list[str]] = {}
     for lang in langs:
         members.setdefault(family(lang), []).append(lang)

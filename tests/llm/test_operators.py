@@ -16,7 +16,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from stridelake.llm import decontaminate, jaccard, language, pieces, quality, secrets, substrings, tokens, toxicity, urls  # noqa: E402
+from stridelake.llm import decontaminate, jaccard, language, pieces, quality, samples, secrets, substrings, tokens, toxicity, urls  # noqa: E402
 from stridelake.llm import words as W  # noqa: E402
 from stridelake.llm.graph import components  # noqa: E402
 from stridelake.llm.segments import Encoder  # noqa: E402
@@ -204,6 +204,29 @@ def test_languages(spark, documents, nothing):
     assert {r.lang_pred for r in language.languages(unlabelled).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    words = {"en": "the cat sat on a mat", "lt": "žąsis ąžuolas ėjo čia", "lv": "ķēniņš ģērbās šūpolēs", "fi": "yötyö hääyöaie äiti pöllö"}
+    rare = [1_000_001, 1_000_002, 1_000_004, 1_000_005, 1_000_007]
+    rows = [(i, f"{words['en']} {i}", "en") for i in range(4000)] + [(3 * i + k, words[lang], lang) for k, lang in enumerate(("lt", "lv", "fi")) for i in rare]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs, 300)
+    assert model.members == {"germanic": ["en"], "baltic": ["lt", "lv"], "uralic": ["fi"]}
+    found = language.with_language(docs.where("lang != 'en' or doc_id < 50"), model, "__l").select("lang", F.col("__l.lang").alias("got")).collect()
+    assert len(found) == 65 and all(r.lang == r.got for r in found)
+
+
+def test_stratified_samples(spark):
+    df = spark.range(10_500).selectExpr("if(id < 10000, 'a', if(id < 10480, 'b', if(id < 10499, 'c', 'd'))) as lang", "if(id < 5000, null, id) as doc_id", "cast(id as string) as text")
+    for bound, least, wanted in ((400, 10, (190, 190, 19, 1)), (20, 50, (50, 50, 19, 1)), (20_000, 10, (10_000, 480, 19, 1))):
+        values, some = samples.stratified(df, "lang", bound, least)
+        n = {r.lang: r["count"] for r in some.groupBy("lang").count().collect()}
+        assert values == ["a", "b", "c", "d"] and n["c"] == 19 and n["d"] == 1
+        assert all(abs(n[v] - w) <= 5 * w**0.5 * (w not in (10_000, 480)) for v, w in zip(values, wanted))
+        assert some.exceptAll(samples.stratified(df.repartition(3), "lang", bound, least)[1]).count() == 0
+    values, none = samples.stratified(df.limit(0), "lang", 5, 5)
+    assert values == [] and none.count() == 0
+
+
 # 4
 
 
