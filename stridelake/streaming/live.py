@@ -71,14 +71,18 @@ def stream_sessions(df: DataFrame, keys: Sequence[str], time: str, gap_us: int,
 
 
 def stream_windows(
-    df: DataFrame, key: str, order: str, channels: Sequence[str], size: int, hop: int, out: str = "data"
+    df: DataFrame, key: str, order: str, channels: Sequence[str], size: int, hop: int, out: str = "data",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Every full window of ``size`` rows per recording, as soon as its last row is there.
 
     Rows count in the order in which triggers bring them; those of one trigger are
-    sorted by ``order``.  A row behind the last one taken is late: it is left out
-    and counted in ``late_rows`` of the recording's next window.  The state of a
-    recording holds fewer than ``size`` rows.
+    sorted by ``order``, equal ones by ``ties``.  A row behind the last one taken is
+    late (one of equal ``order`` is not): it is left out and counted in ``late_rows``
+    of the next window that its trigger makes for the recording.  Where it makes none,
+    a row comes out at once that is null but for the recording and ``late_rows``;
+    filter on ``window_no`` to have windows only.  The state of a recording holds
+    fewer than ``size`` rows.
 
     Counting arrivals ties a recording to one task, which holds what a trigger
     brings of it (``maxFilesPerTrigger`` bounds that).  Where rows carry a number,
@@ -86,7 +90,7 @@ def stream_windows(
     """
     if size <= 0 or hop <= 0:
         raise ValueError("size and hop must be positive")
-    require_columns(df, [key, order, *channels])
+    require_columns(df, [key, order, *ties, *channels])
     width = len(channels)
     key_type = df.schema[key].dataType
     schema = T.StructType(
@@ -106,9 +110,9 @@ def stream_windows(
             orders, cells = list(orders), list(cells)
         else:
             last, skip, window_no, late, orders, cells = None, 0, 0, 0, [], []
-        fresh = pd.concat(list(frames)).sort_values(order, kind="stable")
+        fresh = pd.concat(list(frames)).sort_values([order, *ties], kind="stable")
         if last is not None:
-            in_time = fresh[order] > last
+            in_time = fresh[order] >= last
             late += int((~in_time).sum())
             fresh = fresh[in_time]
         if len(fresh):
@@ -126,10 +130,15 @@ def stream_windows(
             window_no, late, start = window_no + 1, 0, start + hop
             if start > len(at):
                 skip, start = start - len(at), len(at)
+        if late:  # a recording may end here, so the count does not wait for a window
+            made.append((keys[0], None, None, late, None))
+            late = 0
         state.update((last, skip, window_no, late, at[start:].tolist(), values[start:].ravel().tolist()))
-        yield pd.DataFrame(made, columns=schema.names)
+        frame = pd.DataFrame(made, columns=schema.names)
+        yield frame.astype({"window_no": "Int64", "first_order": "Int64"})
 
-    return df.select(key, F.col(order).cast("bigint").alias(order), *channels).groupBy(key).applyInPandasWithState(
+    extra = [c for c in dict.fromkeys(ties) if c not in (key, order, *channels)]
+    return df.select(key, F.col(order).cast("bigint").alias(order), *extra, *channels).groupBy(key).applyInPandasWithState(
         advance, schema, state_schema, "append", GroupStateTimeout.NoTimeout
     )
 

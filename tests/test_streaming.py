@@ -62,6 +62,18 @@ def test_late_rows_are_counted_and_left_out(spark, tmp_path):
     assert [(r.first_order, r.late_rows, r.data) for r in rows] == [(0, 0, [[0.0], [4.0]]), (5, 1, [[5.0], [6.0]])]
 
 
+def test_rows_of_equal_order_are_kept_over_triggers(spark, tmp_path):
+    df = feed(spark, tmp_path, [[(1, 0, 0.0), (1, 4, 9.0), (1, 4, 4.0)], [(1, 4, 5.0), (1, 6, 6.0), (1, 6, 2.0)]])
+    rows = drain(spark, S.stream_windows(df, "s", "i", ["x"], 2, 2, ties=["x"]), tmp_path).orderBy("window_no").collect()
+    assert [(r.first_order, r.late_rows, r.data) for r in rows] == [(0, 0, [[0.0], [4.0]]), (4, 0, [[9.0], [5.0]]), (6, 0, [[2.0], [6.0]])]
+
+
+def test_late_rows_are_counted_without_a_next_window(spark, tmp_path):
+    df = feed(spark, tmp_path, [[(1, 0, 0.0), (1, 4, 4.0)], [(1, 2, 2.0), (1, 3, 3.0)], [(1, 1, 1.0), (1, 7, 7.0)]])
+    rows = drain(spark, S.stream_windows(df, "s", "i", ["x"], 2, 2), tmp_path).orderBy("late_rows").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, 0, 0, [[0.0], [4.0]]), (1, None, None, 1, None), (1, None, None, 2, None)]
+
+
 def test_rows_behind_the_watermark_are_dropped_from_buckets(spark, tmp_path):
     schema = "s int, at bigint, x double"
     df = feed(spark, tmp_path, [[(1, 0, 1.0), (1, 100, 2.0)], [(1, 101, 4.0)], [(1, 1, 9.0), (1, 300, 5.0)], [(1, 600, 5.0)]], schema)
