@@ -8,7 +8,7 @@ from fractions import Fraction
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.llm import decontaminate, jaccard, language, pieces, quality, secrets, statements, substrings, tokens, toxicity, urls
+from stridelake.llm import decontaminate, jaccard, language, pieces, quality, ranked, secrets, simhash, statements, substrings, tokens, toxicity, urls, whitening
 from stridelake.sources.folders import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_secret_scan")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_spans(table(spark, folder, "documents"))
+
+
+@query("op11_simhash_pivots")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, folder, "documents"), n=3)
+
+
+@query("op12_ranked_search", statements.RANKED)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=20)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"), components=16, scale=64, offset=1_000_000)

@@ -68,3 +68,17 @@ QUALITY = rf"""with t as (select doc_id, coalesce(text, '') as text from documen
         from sized left join inside using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
        passes and not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as kept, kept_chars from m"""
+
+RANKED = f"""with d as (select row_number() over () as r, doc_id, {ALNUM.format(LOWER)} as ws from documents),
+  size as (select r, doc_id, len(ws)::bigint as n from d where len(ws) > 0),
+  total as (select count(*)::bigint as docs, sum(n)::bigint as terms from size),
+  tf as (select r, t, count(*)::bigint as tf from (select r, unnest(ws) as t from d) group by 1, 2),
+  held as (select t, count(*)::bigint as df from tf group by 1),
+  item as (select i, item_id, t, count(*)::bigint as c
+           from (select i, item_id, unnest({ALNUM.format(LOWER)}) as t from (select row_number() over () as i, item_id, text from (select distinct item_id, text from benchmark)))
+           group by 1, 2, 3),
+  score as (select i, item_id, r, doc_id, sum(c * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint
+                   * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::bigint as score
+            from item join held using (t) join tf using (t) join size using (r), total group by 1, 2, 3, 4),
+  ranked as (select item_id, doc_id, score, row_number() over (partition by i order by score desc, doc_id nulls last)::integer as rank from score where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 20"""
