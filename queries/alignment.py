@@ -6,6 +6,7 @@ from queries import query
 from queries.views import DAY, EV, EVENTS, EVN, HOUR, ITEMS, LIN, WIN, events, items, tall, windows
 from stridelake import Stream
 from stridelake.operators import joins as J
+from stridelake.operators.fusion import fuse_sequential
 from stridelake.operators import ordered as O
 from stridelake.operators import windows as W
 from stridelake.stream import fit_slices
@@ -177,6 +178,53 @@ def j5_windows(spark, d):
     ).drop("run_id")
 
 
+JITTER = f"t_us + (event_id * 7919 % 25 - 12) * {HOUR}"
+
+
+def sequential_scan(order: str, first_row: str) -> str:
+    """The scan as a recursion with state (tag, rows taken of both sensors): a tick per step and user."""
+    step = 12 * HOUR
+    end = f"{{0}} + coalesce(list_position(list_transform(t{{1}}[{{0}} + 1:], lambda x: abs(x - tag) >= {step}), true) - 1, len(t{{1}}) - {{0}})"
+    return f"""with recursive {EV},
+h as (select user_id, event_id % 2 as sensor, list(t_us order by {order}) as t, list(event_type order by {order}) as l,
+             list(value order by {order}) as v, list(file_row order by {order}) as f
+      from (select *, {first_row} as file_row from (select *, {JITTER} as jittered from ev)) group by 1, 2),
+n as (select a.user_id, a.t as t0, a.l as l0, a.v as v0, a.f as f0, b.t as t1, b.l as l1, b.v as v1
+      from h a join h b on a.user_id = b.user_id and a.sensor = 0 and b.sensor = 1),
+scan as (
+  select user_id, least(t0[1], t1[1]) as tag, true as fresh, 0::bigint as a, 0::bigint as b,
+         null::struct(tick_t bigint, event_type varchar, fresh boolean, first_row bigint, acc_value double, gyro_value double) as tick from n
+  union all
+  select user_id, case when good then tag + {step} else least(t0[a1 + 1], t1[b1 + 1]) end, not good, a1, b1,
+         case when good then {{{{'tick_t': tag, 'event_type': l0[a + 1], 'fresh': fresh, 'first_row': f0[a + 1],
+                               'acc_value': list_avg(v0[a + 1:a1]), 'gyro_value': list_avg(v1[b + 1:b1])}}}} end
+  from (select *, a1 > a and b1 > b and len(list_distinct(l0[a + 1:a1] || l1[b + 1:b1])) = 1 as good
+        from (select *, {end.format("a", 0)} as a1, {end.format("b", 1)} as b1
+              from scan join n using (user_id) where a < len(t0) and b < len(t1))))
+select user_id, tick.tick_t as tick_t, tick.event_type as event_type, tick.fresh as fresh, tick.first_row as first_row,
+       round(tick.acc_value, 6) as acc_value, round(tick.gyro_value, 6) as gyro_value from scan where tick is not null""".replace("{{", "{").replace("}}", "}")
+
+
+def sequential(spark, d, **options):
+    ev = events(spark, d).select("user_id", "event_id", "t_us", "value", "event_type")
+    jittered = ev.withColumns({"jittered": F.expr(JITTER), "sensor": F.col("event_id") % 2})
+    rows = O.number_rows(jittered, Stream(("user_id", "sensor"), "jittered", ("event_id",), 7 * DAY), seq="file_row").drop("n", "jittered")
+    ticks = fuse_sequential(*(rows.filter(F.col("sensor") == i) for i in (0, 1)), EVENTS, ["value"], "event_type", 12 * HOUR, **options)
+    return ticks.withColumns({c: F.round(c, 6) for c in ("acc_value", "gyro_value")})
+
+
+@query("j5_fuse_sequential", sequential_scan("t_us, event_id", "t_us"))
+def j5_sequential(spark, d):
+    """Tick by tick in the order of time: the anchor moves after every void tick."""
+    return sequential(spark, d)
+
+
+@query("j5_fuse_file_order", sequential_scan("jittered, event_id", "row_number() over (partition by user_id, event_id % 2 order by jittered, event_id) - 1"))
+def j5_file_order(spark, d):
+    """The same for files whose times go back: ticks hold rows from before their tag."""
+    return sequential(spark, d, row="file_row")
+
+
 HALVES = f"""{EV},
 h as (select *, event_id % 2 as sensor,
              row_number() over (partition by user_id, event_id % 2 order by t_us, event_id) - 1 as seq,

@@ -196,3 +196,27 @@ def mark_runs(
         F.coalesce(F.col("_start_here.t"), F.col("_start.t")).alias("run_start_t"),
         (seq - start).alias("run_pos"),
     )
+
+
+def with_running(
+    df: DataFrame, stream: Stream, running: dict[str, tuple[Callable[[str], Column], str]], backwards: bool = False,
+    before: bool = False,
+) -> DataFrame:
+    """Add running values of a recording: ``{name: (F.min or F.max, column)}`` over the rows up to each one.
+
+    ``backwards`` runs from the last row; ``before`` leaves the row itself out.  Values of other slices arrive through
+    the slice summary.
+    """
+    require_columns(df, [c for _, c in running.values()])
+    sliced = stream.sliced(df)
+    summary = sliced.groupBy(*stream.slice_keys).agg(*[f(c).alias(f"_in_{name}") for name, (f, c) in running.items()])
+    toward = F.desc if backwards else F.asc
+    order = Window.partitionBy(*stream.keys).orderBy(toward(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(*stream.slice_keys, *[f(f"_in_{name}").over(order).alias(f"_from_{name}") for name, (f, _) in running.items()])
+    here = Window.partitionBy(*stream.slice_keys).orderBy(*[toward(c) for c in (stream.time, *stream.ties)])
+    here = here.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    joined = sliced.withColumns({f"_here_{name}": f(c).over(here) for name, (f, c) in running.items()}).join(carried, stream.slice_keys)
+    # Both aggregates ignore nulls, as greatest and least do.
+    both = {F.max: F.greatest, F.min: F.least}
+    kept = [c for c in df.columns if c not in (*running, SLICE)]
+    return joined.select(*kept, *[both[f](f"_here_{name}", f"_from_{name}").alias(name) for name, (f, _) in running.items()])

@@ -23,6 +23,19 @@ def shared_folder(spark: SparkSession, name: str = "work") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Stored:
+    """A table in the shared folder: ``df`` reads it, ``release`` deletes it once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, name: str = "stage"):
+        self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def release(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written to a shared folder and read back.
 
@@ -30,6 +43,4 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     outlives executors instead of repeating the work behind it.  The table stays;
     the folder's own retention removes it.
     """
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Stored(df, name).df
