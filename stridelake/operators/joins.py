@@ -67,7 +67,7 @@ def join_nearest(
         F.lit(None).cast(merged_labels.schema["_label"].dataType).alias("_label"), F.lit(1).alias("_kind"),
         F.struct(*samples.columns).alias("_row"),
     )
-    by_time = stream.ordered_by("_t")
+    by_time = stream.ordered_by("_t").whole_times()
     merged = by_time.sliced(merged_labels.unionByName(merged_samples))
 
     # Labels of a slice: its last, with the first of that time, and its first.

@@ -4,47 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stridelake.operators.ranges import rank_by_ranges
 from stridelake.stream import require_columns
 
-# Entries of a vocabulary that are numbered in one task (about), and most pieces that one is cut into.
-PIECE, MAX_PIECES = 50_000, 4096
-# A vocabulary up to this size is broadcast; a larger one is joined by shuffling.
+
+#: A vocabulary up to this size is broadcast; a larger one is joined by shuffling.
 MAX_BROADCAST = 100_000
 
 
-def _codes(vocabulary: DataFrame, order: Sequence[str], out: str, start: int) -> DataFrame:
-    """Number a vocabulary of any size in an order.
+def _sized(codes: DataFrame, vocabulary: DataFrame, small: bool | None) -> DataFrame:
+    """A hint for a vocabulary that is known to be small; without a word from the caller, one small job counts up to the bound."""
+    if small is None:
+        small = vocabulary.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return F.broadcast(codes) if small else codes
+
+
+def encode_sorted(df: DataFrame, column: str, out: str | None = None, small: bool | None = None) -> DataFrame:
+    """Codes 0, 1, ... in the lexicographic order of the label text, for a vocabulary of any size.
 
-    Entries picked by hash cut the order into pieces of about ``PIECE`` entries, whatever
-    the entries look like; a code is the place in the piece plus the entries before it.
+    ``small`` says whether it has ``MAX_BROADCAST`` entries at most; nothing runs while the plan is built if it is given.
     """
-    n = vocabulary.count()
-    value = F.struct(*order)
-    wanted = min(MAX_PIECES, n // PIECE)
-    if wanted:
-        picked = vocabulary.where(F.pmod(F.xxhash64(*order), F.lit(1_000_000_000)) < int(1_000_000_000 * wanted / n))
-        cuts = picked.agg(F.array_sort(F.collect_list(value))).scalar()
-        placed = vocabulary.withColumn("_cuts", cuts).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c <= value))).drop("_cuts")
-        sizes = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rows"))
-        earlier = Window.partitionBy().orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
-        base = sizes.select("_piece", F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("bigint")).alias("_base"))
-        local = F.row_number().over(Window.partitionBy("_piece").orderBy(*order))
-        coded = placed.withColumn("_local", local).join(base, "_piece").withColumn(out, F.col("_base") + F.col("_local") - 1 + start)
-        coded = coded.drop("_piece", "_local", "_base")
-    else:
-        coded = vocabulary.withColumn(out, F.row_number().over(Window.partitionBy().orderBy(*order)).cast("bigint") - 1 + start)
-    return F.broadcast(coded) if n <= MAX_BROADCAST else coded
-
-
-def encode_sorted(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Codes 0, 1, ... in the lexicographic order of the label text, for a vocabulary of any size."""
     out = out or f"{column}_id"
     require_columns(df, [column])
     vocabulary = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return df.join(_codes(vocabulary, [column], out, 0), column, "left")
+    return df.join(_sized(rank_by_ranges(vocabulary, [column], out), vocabulary, small), column, "left")
 
 
 def encode_vocab(
@@ -66,15 +52,16 @@ def unknown_labels(df: DataFrame, column: str, code: str | None = None) -> DataF
     return df.filter(F.col(code or f"{column}_id").isNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def encode_first_seen(df: DataFrame, column: str, order: Sequence[str], out: str | None = None) -> DataFrame:
+def encode_first_seen(df: DataFrame, column: str, order: Sequence[str], out: str | None = None, small: bool | None = None) -> DataFrame:
     """Codes 1, 2, ... in the order in which labels first occur, for a vocabulary of any size.
 
-    Labels that first occur at equal values of ``order`` follow their text.
+    Labels that first occur at equal values of ``order`` follow their text.  ``small`` as in :func:`encode_sorted`.
     """
     out = out or f"{column}_id"
     require_columns(df, [column, *order])
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
-    return df.join(_codes(first, ["_first", column], out, 1).drop("_first"), column, "left")
+    codes = rank_by_ranges(first, ["_first", column], out, 1).drop("_first")
+    return df.join(_sized(codes, first.select(column), small), column, "left")
 
 
 def zero_base(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stridelake.operators.ranges import sums_by_ranges
 
-# Distinct scores of one bucket of a ROC curve (about), and buckets at most: their sums meet in one task.
-BUCKET_SCORES, MAX_BUCKETS = 1_000_000, 100_000
 # Classes of a dense confusion grid, whose cells are their square.
 MAX_GRID_CLASSES = 2000
 
@@ -144,44 +142,24 @@ def multitask_metrics(
     return accuracy_and_f1(multitask_outcomes(df, tasks, threshold, label, scores))
 
 
-def _cumulative(df: DataFrame, score: str, label: str, buckets: int) -> DataFrame:
-    """Per distinct score: positives and negatives at it and strictly above it.
+def _cumulative(df: DataFrame, score: str, label: str, ranges: int | None) -> DataFrame:
+    """Per distinct score: positives and negatives at it and strictly above it, and of all scores.
 
-    Scores are counted first; equal-depth cut points of the distinct scores then
-    spread the running sums over buckets, of which there is one per
-    ``BUCKET_SCORES`` distinct scores, ``buckets`` at least.  Rows whose score is null
-    or NaN, or whose label is null, have no place in the order and are left out.
+    Scores are counted first, and the counts ordered by ranges.  Rows whose score is null or NaN, or whose label is
+    null, have no place in the order and are left out.
     """
     counts = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull()).groupBy(
         F.col(score).cast("double").alias("score")
     ).agg(
         F.sum((F.col(label) > 0).cast("bigint")).alias("pos"), F.sum((F.col(label) <= 0).cast("bigint")).alias("neg")
     )
-    buckets = max(buckets, min(MAX_BUCKETS, counts.count() // BUCKET_SCORES))
-    cuts = sorted(set(counts.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="score", outputCol="_bucket").transform(counts)
-    sums = placed.groupBy("_bucket").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
-    higher = Window.partitionBy().orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("bigint")
-    above = sums.select(
-        "_bucket",
-        *[F.coalesce(F.sum(f"_{c}").over(higher), zero).alias(f"_{c}_above") for c in ("pos", "neg")],
-        *[F.sum(f"_{c}").over(Window.partitionBy()).alias(f"{c}_total") for c in ("pos", "neg")],
-    )
-    w = Window.partitionBy("_bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumns(
-        {f"_{c}_here": F.coalesce(F.sum(c).over(w), zero) for c in ("pos", "neg")}
-    ).join(above, "_bucket").select(
-        "score", "pos", "neg",
-        *[(F.col(f"_{c}_here") + F.col(f"_{c}_above")).alias(f"{c}_above") for c in ("pos", "neg")],
-        "pos_total", "neg_total",
-    )
+    sums = sums_by_ranges(counts, ["score"], {"pos": "pos", "neg": "neg"}, descending=True, ranges=ranges)
+    return sums.withColumnsRenamed({"pos_before": "pos_above", "neg_before": "neg_above"})
 
 
-def roc_curve(df: DataFrame, score: str = "score", label: str = "label", buckets: int = 256) -> DataFrame:
+def roc_curve(df: DataFrame, score: str = "score", label: str = "label", ranges: int | None = None) -> DataFrame:
     """``threshold, fpr, tpr`` for every distinct score, the rate at or above it."""
-    c = _cumulative(df, score, label, buckets)
+    c = _cumulative(df, score, label, ranges)
     return c.select(
         F.col("score").alias("threshold"),
         F.try_divide(F.col("neg_above") + F.col("neg"), "neg_total").alias("fpr"),
@@ -189,9 +167,9 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label", buckets
     )
 
 
-def roc_auc(df: DataFrame, score: str = "score", label: str = "label", buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, score: str = "score", label: str = "label", ranges: int | None = None) -> DataFrame:
     """Chance that a positive scores above a negative, ties one half; null with one class only."""
-    c = _cumulative(df, score, label, buckets)
+    c = _cumulative(df, score, label, ranges)
     pairs = F.col("neg").cast("double") * (F.col("pos_above") + F.col("pos") / 2)
     total = F.max("pos_total").cast("double") * F.max("neg_total")
     return c.agg(F.when(total > 0, F.sum(pairs) / total).alias("auc"))

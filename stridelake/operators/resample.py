@@ -102,8 +102,9 @@ def keep_increasing(df: DataFrame, stream: Stream, t: str) -> DataFrame:
 def dedup_times(df: DataFrame, stream: Stream) -> DataFrame:
     """The first row, in order, of every time of a recording.
 
-    Equal times share a slice, so nothing outside the slice is needed.
+    Equal times share a slice here, so nothing outside the slice is needed.
     """
+    stream = stream.whole_times()
     first = F.row_number().over(Window.partitionBy(*stream.slice_keys, stream.time).orderBy(*stream.ties))
     if not stream.ties:
         raise ValueError("give ties: equal times need an order")
@@ -121,6 +122,7 @@ def resample_nearest(df: DataFrame, stream: Stream, hz: float | None = None, ste
     if (hz is None) == (step is None):
         raise ValueError("give hz or step")
     dt = F.lit(step if step is not None else round(1_000_000 / hz)).cast("bigint")
+    stream = stream.whole_times()  # a row of the grid is the first of its time
     sliced = stream.sliced(df)
     w = stream.in_slice()
     edges = slice_edges(sliced, stream).select(

@@ -10,17 +10,16 @@ row per slice, which a map-side aggregation makes small before it is shuffled.
 
 A sensor has a bounded rate, so ``rate x slice_width`` bounds the rows of a
 slice.  For data without such a bound, ``largest_slices`` measures and
-``fit_slices`` cuts the long recordings, and only those, at quantiles of their
-own times, so that a burst gets as many slices as it has rows for.
+``fit_slices`` cuts the long recordings, and only those, each at places of its
+own order.  A place is a time with its ties, so a burst gets as many slices as it
+has rows for, even if all of them have one time.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -44,15 +43,16 @@ class Stream:
     time         BIGINT column that leads the order (a time, or a file row number)
     ties         columns that make the order total
     slice_width  length of a slice, in the unit of ``time``
-    cuts, long   set by :func:`fit_slices`: bounds of slices, and the recordings they apply to
+    cuts         set by :func:`fit_slices`: first places of slices per long recording (empty without any)
+    cut_ties     the ties that the cuts were made with; under other ties, equal times share a slice
     """
 
     keys: tuple[str, ...]
     time: str
     ties: tuple[str, ...] = ()
     slice_width: int = 3_600_000_000
-    cuts: tuple[float, ...] | None = None
-    long: DataFrame | None = field(default=None, compare=False, repr=False)
+    cuts: DataFrame | tuple | None = field(default=None, compare=False, repr=False)
+    cut_ties: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.slice_width <= 0:
@@ -75,15 +75,21 @@ class Stream:
             t, width = F.col(self.time), F.lit(self.slice_width).cast("bigint")
             return df.withColumn(SLICE, ((t - F.pmod(t, width)) / width).cast("bigint"))
         whole = F.when(F.col(self.time).isNotNull(), F.lit(0).cast("bigint"))
-        if not self.cuts:
+        if not isinstance(self.cuts, DataFrame):
             return df.withColumn(SLICE, whole)
-        marked = df.join(F.broadcast(self.long.withColumn("_long", F.lit(True))), list(self.keys), "left")
-        bounds = [float("-inf"), *self.cuts, float("inf")]
-        placed = Bucketizer(splits=bounds, inputCol="_time", outputCol="_bucket").transform(
-            marked.withColumn("_time", F.col(self.time).cast("double"))
-        )
-        place = F.when(F.col("_long"), F.col("_bucket").cast("bigint")).otherwise(whole)
-        return placed.select(*df.columns, place.alias(SLICE))
+        places = F.transform("_cuts", lambda c: c["c0"]) if self.ties != self.cut_ties else F.col("_cuts")
+        place = F.when(F.col("_cuts").isNull(), whole).otherwise(_not_above(places, self.place()))
+        return df.join(self.cuts, list(self.keys), "left").select(*df.columns, F.when(F.col(self.time).isNotNull(), place).alias(SLICE))
+
+    def place(self) -> Column:
+        """What the cuts are compared with: the time, with its ties where those are the ones that made the cuts."""
+        if self.ties != self.cut_ties:
+            return F.col(self.time)
+        return F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate((self.time, *self.ties))])
+
+    def whole_times(self) -> Stream:
+        """The same recordings with slices that never part rows of one time."""
+        return self if self.cuts is None or not self.cut_ties else replace(self, cut_ties=("",))
 
     def in_slice(self) -> WindowSpec:
         return Window.partitionBy(*self.slice_keys).orderBy(self.time, *self.ties)
@@ -108,27 +114,46 @@ def largest_slices(df: DataFrame, stream: Stream, k: int = 10) -> DataFrame:
     )
 
 
-MAX_SLICES = 10_000
+def _not_above(sorted_: Column, value: Column) -> Column:
+    """How many entries of a sorted array are no greater than ``value``, by halving."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(sorted_) + F.lit(1))).cast("int"))
+    start = F.struct(F.lit(0).cast("bigint").alias("low"), F.size(sorted_).cast("bigint").alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        done, goes = s["low"] >= s["high"], F.get(sorted_, middle) <= value
+        low = F.when(done | ~goes, s["low"]).otherwise(middle + 1)
+        high = F.when(done | goes, s["high"]).otherwise(middle)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    return F.aggregate(steps, start, halve, lambda s: s["low"])
+
+
+#: Rows picked for each slice that a long recording is cut into.
+PICKS = 32
 
 
 def fit_slices(df: DataFrame, stream: Stream, max_rows: int = 5_000_000) -> Stream:
-    """``stream`` with slices cut so that a slice holds about ``max_rows`` rows at most.
+    """``stream`` with slices cut so that a slice holds about ``max_rows`` rows, whatever the times.
 
-    Recordings of up to ``max_rows`` rows stay whole.  The longer ones, of which
-    there are at most ``rows / max_rows``, are cut at quantiles of their times, up
-    to MAX_SLICES.  Runs jobs now; what it finds is fixed in the result.
+    Recordings of up to ``max_rows`` rows stay whole.  Of the longer ones, of which there are at most
+    ``rows / max_rows``, rows picked by a hash of their place sample the order, ``PICKS`` for each slice of half that size;
+    every ``PICKS``-th is a cut.  The order is that of time and ties: only rows that agree in both stay together.
+    Runs jobs now; what it finds is a table that the result refers to.
     """
     require_columns(df, stream.columns)
     if max_rows < 1:
         raise ValueError("max_rows must be positive")
-    sizes = df.groupBy(*stream.keys).agg(F.count(stream.time).alias("_rows")).filter(F.col("_rows") > max_rows)
-    long = stored(sizes, "long-recordings")
-    total = long.agg(F.sum("_rows")).first()[0] or 0
-    long = long.select(*stream.keys)
-    slices = min(2 * math.ceil(total / max_rows), MAX_SLICES)
-    cuts: list[float] = []
-    if slices > 1:
-        times = df.join(F.broadcast(long), list(stream.keys), "left_semi")
-        shares = [i / slices for i in range(1, slices)]
-        cuts = times.withColumn("_time", F.col(stream.time).cast("double")).approxQuantile("_time", shares, 0.25 / slices)
-    return replace(stream, cuts=tuple(sorted(set(cuts))), long=long)
+    sizes = df.filter(F.col(stream.time).isNotNull()).groupBy(*stream.keys).agg(F.count(F.lit(1)).alias("_rows"))
+    long = stored(sizes.filter(F.col("_rows") > max_rows).select(*stream.keys), "long-recordings")
+    if long.isEmpty():
+        return replace(stream, cuts=(), cut_ties=stream.ties)
+    share = min(1.0, 2 * PICKS / max_rows)
+    place = F.pmod(F.xxhash64(*stream.columns), F.lit(1 << 40))
+    picked = df.filter(F.col(stream.time).isNotNull() & (place < int(share * (1 << 40)))).join(long, list(stream.keys), "left_semi")
+    of_recording = Window.partitionBy(*stream.keys).orderBy(stream.time, *stream.ties)
+    every = max(1, round(share * max_rows / 2))
+    named = replace(stream, cut_ties=stream.ties)
+    cuts = picked.select(*stream.keys, named.place().alias("_place"), F.row_number().over(of_recording).alias("_n")).filter(F.col("_n") % every == 0)
+    table = stored(cuts.groupBy(*stream.keys).agg(F.array_sort(F.collect_set("_place")).alias("_cuts")), "cuts")
+    return replace(named, cuts=table)

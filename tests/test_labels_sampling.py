@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from stridelake.operators import labels as L
 from stridelake.operators import sampling as S
+from stridelake.operators.ranges import rank_by_ranges, sums_by_ranges
 
 
 def texts(spark, *values):
@@ -38,21 +40,58 @@ def test_prefix_codes_take_the_first_match(spark):
     assert codes(df) == [0, 2, 1]
 
 
-def test_a_large_vocabulary_is_numbered_in_pieces(spark, monkeypatch):
-    """All labels begin alike and the vocabulary is far above a piece: no piece holds more than a small share."""
-    monkeypatch.setattr(L, "PIECE", 50)
+@pytest.mark.parametrize("small", [None, True, False])
+def test_a_large_vocabulary_is_numbered(spark, monkeypatch, small):
     monkeypatch.setattr(L, "MAX_BROADCAST", 10)
-    seen = []
-    monkeypatch.setattr(L.F, "row_number", lambda f=L.F.row_number: seen.append(1) or f())
     names = [f"Supplier#{i:09d}" for i in range(3000)]
     df = texts(spark, *(names[(7 * i) % 3000] for i in range(3000)), None)
-    got = df.select("i", "y").join(L.encode_sorted(df, "y").select("i", "y_id"), "i").collect()
-    assert all(r.y_id == (None if r.y is None else int(r.y[9:])) for r in got) and len(got) == 3001 and seen
-    first = L.encode_first_seen(df, "y", ["i"]).collect()
+    got = df.select("i", "y").join(L.encode_sorted(df, "y", small=small).select("i", "y_id"), "i").collect()
+    assert all(r.y_id == (None if r.y is None else int(r.y[9:])) for r in got) and len(got) == 3001
+    first = L.encode_first_seen(df, "y", ["i"], small=small).collect()
     assert all(r.y_id == (None if r.y is None else r.i + 1) for r in first)
-    vocabulary = df.select("y").where("y is not null").distinct()
-    pieces = vocabulary.where(L.F.pmod(L.F.xxhash64("y"), L.F.lit(1_000_000_000)) < 1_000_000_000 * 60 // 3000).count()
-    assert 30 < pieces < 100
+
+
+def jobs_of(spark, build):
+    """What ``build`` returns and how many jobs it started."""
+    spark.sparkContext.setJobGroup("built", "")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("built"))
+    made = build()
+    started = set(spark.sparkContext.statusTracker().getJobIdsForGroup("built")) - before
+    spark.sparkContext.setJobGroup("", "")
+    return made, len(started)
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_ranks_and_sums_by_ranges(spark, ranges):
+    """Ties of the first column, nulls, negative numbers; no partition has more than its share; nothing runs while building."""
+    rng = random.Random(ranges)
+    rows = [(rng.choice([None, *range(-3, 9)]), i, rng.randrange(5)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a int, i int, v int")
+    ranked_, jobs = jobs_of(spark, lambda: rank_by_ranges(df, ["a", "i"], "place", start=3, ranges=ranges))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert jobs == 0 and [r.i for r in sorted(ranked_.collect(), key=lambda r: r.place)] == [r[1] for r in order]
+    assert sorted(r.place for r in ranked_.collect()) == list(range(3, 4003))
+    summed, jobs = jobs_of(spark, lambda: sums_by_ranges(df, ["a", "i"], {"v": "v"}, descending=True, ranges=ranges))
+    want, so_far = {}, 0
+    for r in reversed(order):
+        want[r[1]], so_far = so_far, so_far + r[2]
+    assert jobs == 0 and {r.i: r.v_before for r in summed.collect()} == want and {r.v_total for r in summed.collect()} == {so_far}
+    assert "Reused" in ranked_._jdf.queryExecution().executedPlan().toString()
+    sizes = [r["count"] for r in df.repartitionByRange(ranges, "a", "i").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == ranges and max(sizes) < 4000 / ranges * 1.6 + 40
+    assert rank_by_ranges(df.limit(0), ["a"], "place").collect() == []
+
+
+def test_ranges_computed_twice_end_the_query(spark):
+    """Without reuse, bounds are sampled again; rows outside their partition's bounds are not passed on."""
+    from stridelake.operators import ranges as G
+
+    df = spark.createDataFrame([(i,) for i in range(100)], "a int")
+    placed = G._ranged(df, ["a"], False, 4)
+    wrong = spark.createDataFrame([(p, 0, 10, 0) for p in range(4)], "_part long, x int, y int, _base long").withColumn("_sum", F.lit(1))
+    wrong = wrong.select("_part", "_base", "_sum", F.struct(F.col("x").alias("a")).alias("_least"), F.struct(F.col("y").alias("a")).alias("_most"))
+    with pytest.raises(Exception, match="computed twice"):
+        G._with_offsets(placed, wrong, ["a"]).count()
 
 
 def test_resolve_label():

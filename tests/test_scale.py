@@ -111,6 +111,24 @@ def test_a_burst_is_cut_into_many_slices(spark):
     assert sessions[0] == sessions[1]
 
 
+@pytest.mark.parametrize("times", [1, 3])
+def test_a_recording_of_one_time_is_cut(spark, times):
+    """Ties cut what the time cannot: no task gets more than a few hundred of 6,000 rows, and numbers are those of the order."""
+    burst = spark.range(6000).select(F.lit(0).alias("s"), F.pmod(F.col("id") * 7919, F.lit(6000)).alias("i"), (F.col("id") % times + 5).alias("t"), (F.col("id") % 4).cast("int").alias("y"))
+    short = spark.range(300).select((F.col("id") % 3 + 1).cast("int").alias("s"), F.col("id").alias("i"), F.lit(5).cast("bigint").alias("t"), F.lit(0).alias("y"))
+    df = burst.unionByName(short)
+    fitted = fit_slices(df, HOT, max_rows=400)
+    placed = fitted.sliced(df)
+    sizes = placed.filter("s = 0").groupBy("_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 400 and sizes.count() >= 15
+    assert placed.filter("s <> 0").select("s", "_slice").distinct().count() == 3
+    tasks = placed.repartition(64, *fitted.slice_keys).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert tasks <= 1500  # some slices share one of the 64 tasks
+    for build in (lambda x: O.number_rows(df, x), lambda x: W.gap_sessions(df, x, 1), lambda x: O.with_neighbours(df, x, ["t", "y"]), lambda x: W.activity_runs(df, x, "y"),
+                  lambda x: R.dedup_times(df, x), lambda x: R.resample_nearest(df, x, step=1)):
+        assert sorted(map(str, build(HOT).collect())) == sorted(map(str, build(fitted).collect()))
+
+
 def test_fitting_without_long_recordings_keeps_them_whole(spark, skewed):
     fitted = fit_slices(skewed, HOT, max_rows=1_000_000)
     assert fitted.cuts == () and fitted.sliced(skewed).select("_slice").distinct().count() == 1
