@@ -1,17 +1,19 @@
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from queries import query
 from queries.views import CHANNELS, DAY, EV, EVENTS, EVN, PRED, WIN, events, predictions, quality_scores, table, windows
 from stridelake.functions import features as X
-from stridelake.functions import nets
 from stridelake.functions.batch import score
 from stridelake.operators import metrics as E
 from stridelake.operators import quality as Q
 from stridelake.operators import sampling as S
 from stridelake.operators import scoring as M
 from stridelake.operators.columns import flatten_window
+from stridelake.sources.folders import shared_folder
+from stridelake.sources.windows import write_windows
 
 NAMES = ["class a", "class b", "class c", "class d", "class e", "class f"]
 SEED = 5
@@ -40,25 +42,6 @@ def m3_function(spark, d):
     return E.decide(scored).select("window_id", "predicted", F.round(F.array_max("scores"), 9).alias("top"))
 
 
-def weights():
-    return nets.random_weights(SEED, features=6, hidden=24, wide=48, steps=12, recurrent=(20, 20, 10), classes=6)
-
-
-@query("m1_embed_windows")
-def m1(spark, d):
-    return M.embed_windows(windows(spark, d).select("window_id", "data"), weights())
-
-
-@query("m2_classify_windows")
-def m2(spark, d):
-    return M.classify_windows(M.embed_windows(windows(spark, d).select("window_id", "data"), weights()), weights())
-
-
-@query("m3_score_windows")
-def m3(spark, d):
-    return M.score_windows(windows(spark, d), weights(), weights())
-
-
 @query(
     "m5_reconstruction_mse",
     f"with {WIN} select round(avg(case when ch < 3 then (v / 9.8 - v) * (v / 9.8 - v) else 0 end), 9) as mse, count(*) as n_values from win",
@@ -77,24 +60,55 @@ def m6(spark, d):
     return E.prediction_distribution(decided(spark, d), NAMES)
 
 
-def pooled(spark, d):
-    win = windows(spark, d)
-    return S.split(X.mean_pool(win, 6).drop("data"), "window_id", SEED)
+@query("m7_fit_classifier", "select distinct label as class, true as fits from embeddings")
+def m7(spark, d):
+    """At the optimum, the mean probability of a class over the training rows is the share of its labels."""
+    parts = M.features_pooled(windows(spark, d), 6)
+    model = M.fit_classifier(parts, reg=0.01, iterations=100)
+    scored = M.with_predictions(model, parts, "pooled")
+    # A class's score stands at its label.
+    means = scored.select(F.posexplode("scores").alias("class", "p")).groupBy("class").agg(F.avg("p").alias("p"))
+    shares = parts.groupBy(F.col("label").alias("class")).agg((F.count("*") / parts.count()).alias("share"))
+    return means.join(shares, "class").select("class", (F.abs(F.col("p") - F.col("share")) < 0.002).alias("fits"))
+
 
+def centroid_model(train, steps=64):
+    """Scores by closeness to the mean vector of each class, a linear model: x . c - |c|^2 / 2."""
+    cells = train.select("label", F.posexplode("embedding").alias("i", "v"))
+    means = np.zeros((train.agg(F.max("label")).first()[0] + 1, steps))
+    for r in cells.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("c")).collect():  # classes x channels numbers
+        means[r.label, r.i] = r.c
+    return M.LinearModel(means, -(means**2).sum(axis=1) / 2)
 
-@query("m7_fit_classifier")
-def m7(spark, d):
-    parts = pooled(spark, d)
-    model = M.fit_classifier(parts.filter("split = 'train'"), reg=0.01, iterations=20)
-    return M.with_predictions(model, parts, "pooled").select("window_id", "label", "split", "predicted")
+
+CANDIDATES = 3
 
 
-@query("m8_select_best")
+@query(
+    "m8_select_best",
+    f"""with e as (select vec_id, label, ['train', 'vali', 'test'][1 + vec_id % 3] as split, embedding from embeddings),
+        cells as (select vec_id, label, split, t.i as i, cast(embedding[t.i + 1] as double) as v from e, range(64) t(i)),
+        centroids as (select m.m as model, label as class, i, avg(v) as c from cells, range({CANDIDATES}) m(m)
+                      where split = 'train' and vec_id % (4 + m.m) > 0 group by 1, 2, 3),
+        scored as (select model, vec_id, label, split, class, sum(v * c - c * c / 2) as score from cells join centroids using (i) group by 1, 2, 3, 4, 5),
+        pred as (select model, vec_id, label, split, arg_min(class, (-score, class)) as predicted from scored group by 1, 2, 3, 4),
+        accuracies as (select model, avg((label = predicted)::int) as accuracy from pred where split = 'vali' group by 1),
+        best as (select arg_min(model, (-accuracy, model)) as model from accuracies),
+        p as (select * from pred join best using (model)),
+        classes as (select split, c as class, count(*) filter (where label = c and predicted = c) as tp,
+                           count(*) filter (where label = c) as actual, count(*) filter (where predicted = c) as found
+                    from (select *, unnest(list_distinct([label, predicted])) as c from p) group by 1, 2),
+        f as (select split, avg(2 * tp / (actual + found)) as macro_f1 from classes group by 1)
+        select model, split, round(avg((label = predicted)::int), 9) as accuracy, round(any_value(macro_f1), 9) as macro_f1
+        from p join f using (split) group by 1, 2""",
+)
 def m8(spark, d):
-    parts = pooled(spark, d)
-    train = parts.filter("split = 'train'")
-    _, report = M.select_best((M.fit_classifier(train, reg=r, iterations=20) for r in (0.001, 0.1)), parts)
-    return report
+    """The best of three linear models by validation accuracy, and its accuracy and F1 in each part."""
+    split = F.element_at(F.array(F.lit("train"), F.lit("vali"), F.lit("test")), (F.col("vec_id") % 3 + 1).cast("int"))
+    parts = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("split", split)
+    candidates = [centroid_model(parts.filter((F.col("split") == "train") & (F.col("vec_id") % (4 + m) > 0))) for m in range(CANDIDATES)]
+    best, report = M.select_best(candidates, parts, vector="embedding")
+    return nine(report, "accuracy", "macro_f1").select(F.lit(next(i for i, c in enumerate(candidates) if c is best)).cast("bigint").alias("model"), "split", "accuracy", "macro_f1")
 
 
 @query("e1_accuracy", f"with {PRED} select round(avg((label = predicted)::int), 9) as accuracy, count(*) as n_rows from pred")
@@ -221,10 +235,30 @@ def e7(spark, d):
     return nine(E.roc_auc(quality_scores(spark, d)), "auc")
 
 
-@query("e8_pca_project")
+@query("e8_pca_project", "select vec_id as window_id, true as kept, true as falls, true as orthonormal from embeddings")
 def e8(spark, d):
+    """Over all 72 dimensions: a row keeps its squared length, variances fall, directions are orthonormal."""
     flat = flatten_window(windows(spark, d).select("window_id", "data"))
-    return M.pca_project(flat, 2).select("window_id", "projected")
+    model = M.fit_pca(flat, 72)
+    mean = F.array(*[F.lit(float(m)) for m in model.mean])
+    centred = F.zip_with("features", mean, lambda v, m: v - m)
+    squares = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
+    falls = bool((np.diff(model.variance) <= 1e-9).all())
+    orthonormal = bool(np.abs(model.directions.T @ model.directions - np.eye(model.directions.shape[1])).max() < 1e-9)
+    kept = F.abs(squares(F.col("projected")) - squares(centred)) <= 1e-6 * (1 + squares(centred))
+    return M.project(flat, model).select("window_id", kept.alias("kept"), F.lit(falls).alias("falls"), F.lit(orthonormal).alias("orthonormal"))
+
+
+@query(
+    "e8_pca_variances",
+    """with c as (select vec_id, t.i as i, cast(embedding[t.i + 1] as double) as v from embeddings, range(64) t(i)),
+       m as (select i, avg(v) as mean from c group by 1)
+       select round(sum((v - mean) * (v - mean)) / count(distinct vec_id), 6) as total_variance from c join m using (i)""",
+)
+def e8_variances(spark, d):
+    """Variances of all directions add up to those of the cells."""
+    flat = flatten_window(windows(spark, d).select("window_id", "data"))
+    return spark.createDataFrame([(round(float(M.fit_pca(flat, 72).variance.sum()), 6),)], "total_variance double")
 
 
 @query(
@@ -249,11 +283,24 @@ def q1_windows(spark, d):
 @query(
     "q2_summarize_windows",
     """select count(*) as n_windows, 12::bigint as n_steps, 6::bigint as n_channels,
-              array_to_string(list_sort(list(distinct label)), ',') as label_ids from embeddings""",
+              array_to_string(list_sort(list(distinct label)), ',') as label_ids, 0::bigint as label_outside from embeddings""",
 )
 def q2(spark, d):
-    summary = Q.summarize_windows(windows(spark, d), ["label"])
-    return summary.withColumn("label_ids", F.array_join(F.col("label_ids").cast("array<string>"), ","))
+    """The summary of a window set, observed while it is written."""
+    summary = write_windows(windows(spark, d), shared_folder(spark, "summary"), "vectors", 20, 12, 12, labels=["label"])
+    row = [(summary["n_windows"], summary["n_steps"], summary["n_channels"], ",".join(map(str, summary["label_ids"])), summary["label_outside"])]
+    return spark.createDataFrame(row, "n_windows bigint, n_steps bigint, n_channels bigint, label_ids string, label_outside bigint")
+
+
+@query(
+    "q2_label_ids",
+    """select 'l_orderkey' as kind, l_orderkey as id from lineitem group by 2
+       union all select 'l_suppkey', -l_suppkey from lineitem group by 2""",
+)
+def q2_ids(spark, d):
+    """Ids of kinds with many, negative ones too, as bitmaps."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", (-F.col("l_suppkey")).alias("l_suppkey"))
+    return Q.label_ids(rows, ["l_orderkey", "l_suppkey"])
 
 
 @query("q2_first_rows", "select vec_id as window_id, label from embeddings order by vec_id limit 3")

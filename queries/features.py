@@ -47,12 +47,6 @@ def f1_five(spark, d):
     return rounded(X.normalize(plain(spark, d), 5))
 
 
-@query("f2_span_mask")
-def f2(spark, d):
-    masked = X.span_mask(plain(spark, d), "window_id", steps=12, ratio=0.25, max_gram=4, seed=SEED)
-    return masked.select("window_id", F.size("pos").alias("n_masked"), F.array_max("pos").alias("last_masked"), "pos")
-
-
 @query(
     "f2_span_mask_rules",
     """select vec_id as window_id, 3 as n_masked, 3 as n_distinct, true as last_step_free from embeddings""",
@@ -86,6 +80,35 @@ def uniform(*parts: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::bigint / 4294967296.0::double)"
 
 
+def span_draws(what: str, number: str) -> str:
+    return uniform(f"'0:{what}'", "window_id", number)
+
+
+LENGTHS = ", ".join(f"{b!r}::double" for b in X.span_bounds(4, 0.2))
+
+
+@query(
+    "f2_span_mask",
+    f"""with recursive draws as (
+          select vec_id as window_id, 0 as j, []::integer[] as masked from embeddings
+          union all
+          select window_id, j + 1, case when a < b and len(masked) < 3 and not list_contains(masked, a)
+                                        then list_distinct(masked || range(a, b)::integer[]) else masked end
+          from (select *, least(a + least(length, 3 - len(masked)), 11) as b
+                from (select *, floor({span_draws("start", "j")} * 12)::integer as a,
+                             1 + len(list_filter([{LENGTHS}], lambda x: x <= {span_draws("length", "j")})) as length
+                      from draws where j < {X.span_draws(12, 3)}))),
+        last as (select window_id, masked from draws where j = {X.span_draws(12, 3)}),
+        rest as (select window_id, i, row_number() over (partition by window_id order by {span_draws("rest", "i")}, i) as r
+                 from last, range(11) t(i) where not list_contains(masked, i)),
+        pos as (select window_id, list_sort(masked || coalesce((select list(i::integer) from rest where rest.window_id = last.window_id and r <= 3 - len(masked)), [])) as pos from last)
+        select window_id, len(pos)::integer as n_masked, list_max(pos) as last_masked, array_to_string(pos, ',') as pos from pos""",
+)
+def f2(spark, d):
+    masked = X.span_mask(plain(spark, d), "window_id", steps=12, ratio=0.25, max_gram=4, seed=SEED)
+    return masked.select("window_id", F.size("pos").alias("n_masked"), F.array_max("pos").alias("last_masked"), F.array_join(F.col("pos").cast("array<string>"), ",").alias("pos"))
+
+
 @query(
     "f4_apply_mask",
     f"""with {WIN}, {CHOSEN}

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from queries import query
 from queries.alignment import FUSE
 from queries.views import DAY, EV, EVENTS, EVN, HOUR, events, tall
-from stridelake.functions import nets
 from stridelake.operators.columns import preset_channels
 from stridelake.operators.labels import encode_sorted
 from stridelake.operators.metrics import prediction_distribution
@@ -184,14 +183,6 @@ def gap_free(spark, d):
     return tall(made, ["user_id", "window_no", "label", "start_t"]).withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
-@query("plan_network_predictions")
-def network(spark, d):
-    """The same with the bundled networks and six channels of one side."""
-    samples = two_sides(spark, d)
-    weights = nets.random_weights(5, 6, 24, 48, 8, classes=2)
-    return predict_log(samples, EVENTS, NAMES, weights, weights, sensor="average", size=8, hop=8)
-
-
 @query(
     "plan_nearest_windows",
     f"""with {EV},

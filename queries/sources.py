@@ -61,6 +61,20 @@ def s5(spark, d):
     return tall(back, ["window_id", "label"]).withColumn("v", F.round(F.col("v").cast("double"), 6) + F.lit(0.0))
 
 
+@query("s5_window_versions", f"with {WIN} select window_id, label, step, ch, round(case when window_id % 2 = 0 then v * 2 else v end, 5) + 0 as v from win")
+def s5_versions(spark, d):
+    """One version written twice, the second time in two parts, beside another: the first rows are gone, the other set stays."""
+    path = shared_folder(spark, "windows")
+    made = windows(spark, d)
+    doubled = made.withColumn("data", F.transform("data", lambda row: F.transform(row, lambda v: v * 2)))
+    D.write_windows(made, path, "vectors", 20, 12, 12)
+    D.write_windows(windows(spark, d, 8, 9), path, "vectors", 20, 8, 8)
+    D.write_windows(doubled.filter("window_id % 2 = 0"), path, "vectors", 20, 12, 12)
+    D.write_windows(made.filter("window_id % 2 = 1"), path, "vectors", 20, 12, 12, mode="append")
+    back = D.read_windows(spark, path, dataset="vectors", rate_hz=20, window=12)
+    return tall(back, ["window_id", "label"]).withColumn("v", F.round(F.col("v").cast("double"), 5) + F.lit(0.0))
+
+
 @query(
     "s7_write_predictions",
     f"with {PRED} select window_id, label, predicted from pred",

@@ -75,7 +75,9 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 def windows(spark: SparkSession, folder: str, steps: int = 12, channels: int = 6) -> DataFrame:
     """The 64 numbers of each vector, zeros up to 72, as windows."""
-    padded = F.transform(F.sequence(F.lit(0), F.lit(steps * channels - 1)), lambda i: F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0)))
+    size = steps * channels
+    cells = F.col("embedding").cast("array<double>")
+    padded = F.slice(F.concat(cells, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), size - F.size(cells)))), 1, size)
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("window_id"), "label", reshape_vector(padded, steps, channels).alias("data")
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,39 +46,52 @@ def mask_count(steps: int, ratio: float) -> int:
     return max(1, round(steps * ratio))
 
 
+def span_draws(steps: int, goal: int) -> int:
+    """Draws allowed for a mask: twice what single steps would need on average, and some more."""
+    return 30 + math.ceil(2 * steps * math.log(steps / (steps - goal)))
+
+
+def span_bounds(max_gram: int, p: float) -> list[float]:
+    """Upper bounds in [0, 1) of span lengths 1, 2, ...: the geometric law, cut at ``max_gram``."""
+    whole = 1 - (1 - p) ** max_gram
+    return [(1 - (1 - p) ** k) / whole for k in range(1, max_gram)]
+
+
 def span_mask(
     df: DataFrame, key: str, steps: int, ratio: float = 0.15, max_gram: int = 10, p: float = 0.2, seed: int = 0,
     epoch: int = 0, out: str = "pos",
 ) -> DataFrame:
     """Masked positions in spans: ``out`` holds exactly ``mask_count`` sorted steps.
 
-    Span lengths follow a geometric law cut at ``max_gram``; a span starts at a free
-    step and never covers the last one.  The draw depends on seed, epoch and key.
+    Span lengths follow a geometric law cut at ``max_gram``; a span starts at a free step and never covers the last one.
+    Draw number j of a window is a hash of seed, epoch, key and j, so it needs no generator and no order of windows; a
+    draw whose start is masked already is rejected.  Should ``span_draws`` of them not fill the mask, the free steps with
+    the smallest hashes do.  ``key`` is of any type that can be written as text.
     """
     if steps < 2:
         raise ValueError("a window needs two steps: the last is never masked")
     goal = mask_count(steps, ratio)
     if goal > steps - 1:
         raise ValueError("more positions asked for than may be masked")
-    lengths = np.arange(1, max_gram + 1)
-    weights = (1 - p) ** (lengths - 1)
-    bounds = np.cumsum(weights / weights.sum())
+    bounds = F.array(*[F.lit(b) for b in span_bounds(max_gram, p)]) if max_gram > 1 else F.array().cast("array<double>")
 
-    @F.pandas_udf("array<int>")
-    def draw(keys: pd.Series) -> pd.Series:
-        def one(key: int) -> list[int]:
-            rng = np.random.default_rng([seed, epoch, int(key)])
-            masked = np.zeros(steps, dtype=bool)
-            while (left := goal - int(masked.sum())) > 0:
-                span = min(1 + int(np.searchsorted(bounds, rng.random(), side="right")), max_gram, left)
-                start = int(rng.integers(steps))
-                if not masked[start]:
-                    masked[start : min(start + span, steps - 1)] = True
-            return np.flatnonzero(masked).tolist()
+    def draw(what: str, j: Column) -> Column:
+        return hash_uniform(seed, F.lit(f"{epoch}:{what}"), F.col(key), j)
 
-        return keys.map(one)
+    def take(masked: Column, j: Column) -> Column:
+        start = F.floor(draw("start", j) * steps).cast("int")
+        length = F.size(F.filter(bounds, lambda b: b <= draw("length", j))) + 1
+        end = F.least(start + F.least(length, F.lit(goal) - F.size(masked)), F.lit(steps - 1))
+        fits = ~F.array_contains(masked, start) & (end > start)
+        return F.when((F.size(masked) < goal) & fits, F.array_union(masked, F.sequence(start, end - 1))).otherwise(masked)
 
-    return df.withColumn(out, draw(F.col(key)))
+    none = F.array().cast("array<int>")
+    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(span_draws(steps, goal) - 1)), none, take)
+    free = F.filter(F.sequence(F.lit(0), F.lit(steps - 2)), lambda i: ~F.array_contains("_drawn", i))
+    tickets = F.array_sort(F.transform(free, lambda i: F.struct(draw("rest", i).alias("h"), i.alias("i"))))
+    rest = F.transform(F.slice(tickets, F.lit(1), F.lit(goal) - F.size("_drawn")), lambda t: t["i"])
+    full = F.when(F.size("_drawn") < goal, F.concat("_drawn", rest)).otherwise(F.col("_drawn"))
+    return df.withColumn("_drawn", drawn).withColumn(out, F.array_sort(full)).drop("_drawn")
 
 
 def random_mask(df: DataFrame, key: str, steps: int, count: int, seed: int = 0, out: str = "pos") -> DataFrame:
@@ -108,24 +121,24 @@ def apply_mask(
     blank = hash_uniform(seed, F.lit("mask"), key) < mask_prob
     noisy = hash_uniform(seed, F.lit("replace"), key) < replace_prob
 
-    def filled(value: Callable[[Column, Column], Column]) -> Column:
-        if channels is not None:
-            cells = F.arrays_zip(F.col(pos).alias("step"), F.col(channels).alias("channel"))
-            chosen = lambda i, c: F.exists(cells, lambda p: (p["step"] == i) & (p["channel"] == c))
-            return F.transform(
-                data, lambda row, i: F.transform(row, lambda v, c: F.when(chosen(i, c), value(i, c)).otherwise(v.cast("double")))
-            )
-        return F.transform(
-            data,
-            lambda row, i: F.when(
-                F.array_contains(F.col(pos), i), F.transform(row, lambda v, c: value(i, c))
-            ).otherwise(F.transform(row, lambda v: v.cast("double"))),
-        )
-
-    zeros = filled(lambda i, c: F.lit(0.0))
-    noise = filled(lambda i, c: hash_uniform(seed, F.lit("noise"), key, i, c))
-    same = F.transform(data, lambda row: F.transform(row, lambda v: v.cast("double")))
-    return df.withColumn(out, F.when(blank, zeros).when(noisy, noise).otherwise(same))
+    wide = "array<double>"
+
+    def cell(i: Column, c: Column, v: Column) -> Column:
+        return F.when(blank, F.lit(0.0)).when(noisy, hash_uniform(seed, F.lit("noise"), key, i, c)).otherwise(v.cast("double"))
+
+    if channels is None:
+        # A step that is not masked goes through whole; only the cells of masked ones are looked at.
+        changed = F.transform(data, lambda row, i: F.when(
+            F.array_contains(F.col(pos), i), F.transform(row, lambda v, c: cell(i, c, v))).otherwise(row.cast(wide)))
+    else:
+        cells = F.arrays_zip(F.col(pos).alias("step"), F.col(channels).alias("channel"))
+
+        def masked_row(row: Column, i: Column) -> Column:
+            own = F.transform(F.filter(cells, lambda p: p["step"] == i), lambda p: p["channel"])
+            return F.transform(row, lambda v, c: F.when(F.array_contains(own, c), cell(i, c, v)).otherwise(v.cast("double")))
+
+        changed = F.transform(data, lambda row, i: F.when(F.array_contains(F.col(pos), i), masked_row(row, i)).otherwise(row.cast(wide)))
+    return df.withColumn(out, F.when(blank | noisy, changed).otherwise(F.col(data).cast(f"array<{wide}>")))
 
 
 def gather(df: DataFrame, data: str = "data", pos: str = "pos", channels: str | None = None, out: str = "target") -> DataFrame:

@@ -9,11 +9,7 @@ import __spark_entry__ as entry
 import queries as registry
 from tools.compare import compare, connect
 
-WITHOUT_SQL = {
-    # Draws of a seeded generator, network weights, fitted models: checked in tests of their own.
-    "f2_span_mask", "m1_embed_windows", "m2_classify_windows", "m3_score_windows", "m7_fit_classifier",
-    "m8_select_best", "e8_pca_project", "plan_network_predictions",
-}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")

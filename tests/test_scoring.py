@@ -150,3 +150,50 @@ def test_pca_equals_the_singular_vectors(spark):
     _, _, directions = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     want = (x - x.mean(axis=0)) @ directions[:2].T
     np.testing.assert_allclose(np.abs(got), np.abs(want), atol=1e-8)
+
+
+def test_pca_of_wide_windows_keeps_the_driver_small(spark, monkeypatch):
+    """8,640 columns of which five directions matter: what is collected is columns x basis, and directions agree with numpy's."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 5)) @ np.diag([50, 30, 20, 10, 5]) @ rng.normal(size=(5, 8640)) + rng.normal(size=(120, 8640)) * 0.01 + 3
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "window_id int, features array<double>").repartition(4)
+    sizes = []
+    sums = M._row_sums
+    monkeypatch.setattr(M, "_row_sums", lambda *a: sizes.append((a[2], a[4])) or sums(*a))
+    model = M.fit_pca(df, 3)
+    assert set(sizes) == {(8640, 1), (8640, 11)}
+    _, lengths, directions = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    np.testing.assert_allclose(model.variance, lengths[:3] ** 2 / len(x), rtol=1e-9)
+    np.testing.assert_allclose(np.abs(model.directions.T @ directions[:3].T), np.eye(3), atol=1e-6)
+    got = np.array([r.projected for r in M.project(df, model).orderBy("window_id").collect()])
+    np.testing.assert_allclose(np.abs(got), np.abs((x - x.mean(axis=0)) @ directions[:3].T), rtol=1e-5, atol=1e-4)
+
+
+def test_null_rows_have_no_projection(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 1.0])], "window_id int, features array<double>")
+    rows = {r.window_id: r.projected for r in M.pca_project(df, 2).collect()}
+    assert rows[1] is None and len(rows[0]) == len(rows[2]) == 2
+    with pytest.raises(ValueError, match="no rows"):
+        M.fit_pca(df.filter("window_id = 1"), 1)
+
+
+def test_models_are_compared_in_one_pass(spark):
+    """One scan in the plan for any number of candidates, and counts as from predictions one by one."""
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.normal(size=3).tolist(), int(rng.integers(3)), ["train", "vali", "test"][i % 3]) for i in range(200)]
+    parts = spark.createDataFrame(rows, "window_id int, pooled array<double>, label int, split string")
+    models = [M.LinearModel(rng.normal(size=(3, 3)), rng.normal(size=3)) for _ in range(4)]
+    cells = M.confusion_of_models(models, parts, "pooled", "label")
+    assert cells._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") == 1
+    want = {}
+    for i, x, label, split in rows:
+        for k, m in enumerate(models):
+            cell = (k, split, label, int((m.coefficients @ x + m.intercepts).argmax()))
+            want[cell] = want.get(cell, 0) + 1
+    assert {tuple(r)[:4]: r.n_rows for r in cells.collect()} == want
+    best, report = M.select_best(models, parts)
+    accuracy = lambda k, part: sum(n for c, n in want.items() if c[0] == k and c[1] == part and c[2] == c[3]) / sum(n for c, n in want.items() if c[0] == k and c[1] == part)
+    chosen = max(range(4), key=lambda k: (accuracy(k, "vali"), -k))
+    assert best is models[chosen] and {r.split: round(r.accuracy, 9) for r in report.collect()} == {p: round(accuracy(chosen, p), 9) for p in ("train", "vali", "test")}
+    with pytest.raises(ValueError, match="no candidate"):
+        M.select_best([], parts)

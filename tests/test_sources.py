@@ -137,3 +137,63 @@ def test_shared_folder_follows_the_setting(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session("spark://host", {}))
     assert stored(spark.range(3)).count() == 3
+
+
+def made_windows(spark, values, label=1):
+    return spark.createDataFrame([(i, [[float(v)]], label) for i, v in enumerate(values)], "window_id int, data array<array<double>>, label int")
+
+
+def test_a_version_is_replaced_and_others_stay(spark, tmp_path):
+    path = f"{tmp_path}/w"
+
+    def read(**chosen):
+        return sorted((r.dataset, r.step, r.data[0][0]) for r in D.read_windows(spark, path, **chosen).collect())
+
+    D.write_windows(made_windows(spark, [1, 2]), path, "a", 20, 1, 1)
+    D.write_windows(made_windows(spark, [3]), path, "a", 20, 1, 2)
+    D.write_windows(made_windows(spark, [4]), path, "b", 20, 1, 1)
+    D.write_windows(made_windows(spark, [1, 2]), path, "a", 20, 1, 1)  # a rerun doubles nothing
+    assert read() == [("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, 4.0)]
+    D.write_windows(made_windows(spark, [5]), path, "a", 20, 1, 1)
+    D.write_windows(made_windows(spark, [6]), path, "a", 20, 1, 1, mode="append")
+    assert read(dataset="a") == [("a", 1, 5.0), ("a", 1, 6.0), ("a", 2, 3.0)]
+    # A write that fails before its manifest row is seen by no reader.
+    (spark.createDataFrame([(9, [[9.0]], 1)], "window_id int, data array<array<float>>, label int").selectExpr("*", "'a' dataset", "20 rate_hz", "1 window", "1 step", "'lost' version")
+     .write.mode("append").partitionBy(*D.PARTITIONS, "version").parquet(path))
+    assert read(dataset="a", step=1) == [("a", 1, 5.0), ("a", 1, 6.0)]
+    assert D.drop_old_versions(spark, path) == 2 and read(dataset="b") == [("b", 1, 4.0)] and len(read()) == 4
+    plan = D.read_windows(spark, path, dataset="b")._jdf.queryExecution().executedPlan().toString()
+    assert "version" in plan.split("PartitionFilters")[1][:300]
+    with pytest.raises(ValueError, match="replace or append"):
+        D.write_windows(made_windows(spark, [1]), path, "a", 20, 1, 1, mode="overwrite")
+
+
+def test_a_summary_comes_with_the_write(spark, tmp_path):
+    df = spark.createDataFrame([(i, [[1.0, 2.0]] * (i % 3), i * 37, None if i == 5 else -1 if i == 6 else 3) for i in range(1000)],
+                               "window_id int, data array<array<double>>, user int, label int")
+    found = D.write_windows(df, f"{tmp_path}/w", "a", 20, 2, 2, labels=["user", "label"])
+    assert (found["n_windows"], found["n_steps"], found["n_channels"]) == (1000, 2, 2)
+    assert found["user_ids"] == [i * 37 for i in range(1000) if i * 37 < 32768] and found["user_outside"] == 1000 - len(found["user_ids"])
+    assert found["label_ids"] == [3] and found["label_outside"] == 1
+    from stridelake.operators.quality import label_ids, summarize_windows
+
+    ids = {(r.kind, r.id) for r in label_ids(df, ["user", "label"]).collect()}
+    assert ids == {("user", i * 37) for i in range(1000)} | {("label", 3), ("label", -1)}
+    row = summarize_windows(df, ["user", "label"]).first()
+    assert (row.n_windows, row.user_count, row.label_count) == (1000, 1000, 2)
+    empty = D.write_windows(df.limit(0), f"{tmp_path}/e", "a", 20, 2, 2, labels=["user"])
+    assert empty["n_windows"] == 0 and empty["user_ids"] == []
+
+
+def test_labels_of_all_steps_are_imported_and_merged(spark, tmp_path):
+    from stridelake.operators.windows import merge_window_labels
+
+    labels = np.array([[[1, 7], [1, 7], [1, 8]], [[0, 9], [2, 9], [2, 9]], [[0, 1], [0, 1], [0, 1]]])
+    np.save(f"{tmp_path}/l3.npy", labels)
+    np.save(f"{tmp_path}/l1.npy", np.array([4, 5]))
+    steps = D.import_label_steps(spark, f"{tmp_path}/l3.npy", slice_rows=2)
+    assert sorted((r.window_no, r.step, r.labels) for r in steps.collect()) == [(w, s, labels[w, s].tolist()) for w in range(3) for s in range(3)]
+    assert sorted((r.window_no, r.step, r.labels) for r in D.import_label_steps(spark, f"{tmp_path}/l1.npy").collect()) == [(0, 0, [4]), (1, 0, [5])]
+    kinds = steps.select("window_no", "step", F.col("labels")[0].alias("activity"))
+    merged = {m: {r.window_no: r.activity for r in merge_window_labels(kinds, ["window_no"], "activity", m).collect()} for m in ("all", "any")}
+    assert merged["all"] == {0: 1, 2: 0} and merged["any"] == {0: 1, 1: 2, 2: 0}
