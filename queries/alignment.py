@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries import query
-from queries.views import DAY, EV, EVENTS, EVN, HOUR, ITEMS, LIN, WIN, events, items, tall, windows
+from queries.views import DAY, EV, EVENTS, EVN, HOUR, ITEMS, LI, LIN, WIN, events, items, tall, windows
 from stridelake import Stream
 from stridelake.operators import joins as J
 from stridelake.operators.fusion import fuse_sequential
@@ -95,19 +95,17 @@ def j3_fitted(spark, d):
 
 @query(
     "j3_join_nearest_ties",
-    f"""with {LIN},
-        s as (select l_suppkey, seq, day, l_orderkey, l_linenumber, l_partkey, l_extendedprice from lin where l_returnflag <> 'R'),
-        l as (select * from (
-                select l_suppkey, day as label_day, l_quantity,
-                       row_number() over (partition by l_suppkey, day
-                                          order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) r
-                from lin where l_returnflag = 'R') where r = 1),
-        b as (select s.l_suppkey, seq, s.day, l.label_day as before from s asof left join l on s.l_suppkey = l.l_suppkey and s.day >= l.label_day),
-        a as (select s.l_suppkey, seq, l.label_day as after from s asof left join l on s.l_suppkey = l.l_suppkey and s.day <= l.label_day),
-        p as (select l_suppkey, seq, case when before is null or after - day <= day - before then after else before end as label_day
-              from b join a using (l_suppkey, seq))
-        select s.l_suppkey, s.day, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, label_day as matched_t
-        from s join p using (l_suppkey, seq) join l using (l_suppkey, label_day)""",
+    f"""with {LI},
+        l as (select l_suppkey, day as label_day, arg_min(l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) as l_quantity
+              from li where l_returnflag = 'R' group by 1, 2),
+        d as (select l_suppkey, day, max(case when l_returnflag = 'R' then day end) as label_day from li group by 1, 2),
+        c as (select l_suppkey, day, last_value(label_day ignore nulls) over (partition by l_suppkey order by day) as before,
+                     first_value(label_day ignore nulls) over (partition by l_suppkey order by day rows between current row and unbounded following) as after
+              from d),
+        p as (select l_suppkey, day, case when before is null or after - day <= day - before then after else before end as matched_t from c)
+        select li.l_suppkey, li.day, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l.l_quantity, matched_t
+        from li join p on li.l_suppkey = p.l_suppkey and li.day = p.day
+                join l on l.l_suppkey = p.l_suppkey and l.label_day = p.matched_t where l_returnflag <> 'R'""",
 )
 def j3_ties(spark, d):
     li = items(spark, d)

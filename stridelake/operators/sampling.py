@@ -70,12 +70,12 @@ def _cut_rows(df: DataFrame, key: str, seed: int, within: Sequence[str], wanted:
     """The row at each wanted rank: ``within, want, cut`` where ``cut`` is its place in the random order.
 
     ``wanted`` has ``within, _piece, want, _offset``, the piece that holds the rank
-    and the place inside it: a row per want and group, which adaptive execution broadcasts or not.  Only
-    those pieces are shuffled and sorted.
+    and the place inside it: a row per want, which is broadcast, or per want
+    and group, which is left to the optimiser.  Only those pieces are shuffled and sorted.
     """
     keyed = df.select(*within, key).withColumn("_order", random_key(seed, key)).withColumn("_piece", _piece(digits))
     local = F.row_number().over(Window.partitionBy(*within, "want").orderBy("_order", key)) - 1
-    return keyed.join(wanted, [*within, "_piece"]).withColumn("_local", local).filter(
+    return keyed.join(wanted if within else F.broadcast(wanted), [*within, "_piece"]).withColumn("_local", local).filter(
         "_local = _offset"
     ).select(*within, "want", F.struct("_order", key).alias("cut"))
 
