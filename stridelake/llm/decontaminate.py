@@ -5,7 +5,8 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 verified against the window's own words, so equal hashes of different words never count.
 
 The item windows are counted first.  Up to ``MAX_BROADCAST`` of them go to every task as a sorted hash array; beyond
-that they are dealt into parts of that size, every part scans the documents, and the hits are united per document.
+that they are dealt into parts of that size.  Each part scans the documents on its own, writes the texts it hits and
+releases its broadcast before the next; the hits are then united per text.
 
 Null and empty texts, in documents or items, have no words and are never hit.  Repeated rows are judged alike.  Items
 without an id count as the item ``null``.
@@ -22,6 +23,7 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
 
 from stridelake.llm import words as W
+from stridelake.llm.store import kept_table
 
 #: Item windows (a few hundred bytes each) that one broadcast holds at most.
 MAX_BROADCAST = 500_000
@@ -106,7 +108,7 @@ def with_hits(docs: DataFrame, items: DataFrame, column: str, size: int = 10, ma
     """``docs`` with a struct ``column``: n_words, n_hit (words inside an occurrence), starts and sizes of the
     occurrences (in words), and items (sorted ids of the items that occur).
 
-    No shuffle of documents, whatever the items' size.
+    Documents are not shuffled but for items of more than ``max_broadcast`` windows, whose hits are joined by text.
     """
     windows = item_windows(items, size)
     n = windows.count()
@@ -115,28 +117,46 @@ def with_hits(docs: DataFrame, items: DataFrame, column: str, size: int = 10, ma
     if parts == 1:
         shared = spark.sparkContext.broadcast([tuple(r) for r in windows.toLocalIterator()])
         return docs.withColumn(column, _find(F.col("text"), lambda: shared.value))
-    # Each part is a column of hits; the union of the parts is made in the row.
-    names = []
+    hit = None
     for part in range(parts):
         rows = windows.where(F.pmod(F.xxhash64("code"), F.lit(parts)) == part)
         shared = spark.sparkContext.broadcast([tuple(r) for r in rows.toLocalIterator()])
-        names.append(f"__{column}_{part}")
-        docs = docs.withColumn(names[-1], _find(F.col("text"), lambda shared=shared: shared.value))
-    starts, sizes = (F.flatten(F.array(*(F.col(n)[f] for n in names))) for f in ("starts", "sizes"))
-    items_ = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(n)["items"] for n in names)))))
-    united = F.struct(F.col(names[0])["n_words"].alias("n_words"), _united(starts, sizes, F.col(names[0])["n_words"]).alias("n_hit"), starts.alias("starts"),
-                      sizes.alias("sizes"), items_.alias("items"))
-    return docs.withColumn(column, united).drop(*names)
+        found = docs.select(_text_key().alias("__key"), _find(F.col("text"), lambda shared=shared: shared.value).alias("found")).where("found.n_hit > 0")
+        table = kept_table(found.select("__key", "found.starts", "found.sizes", "found.items").dropDuplicates(["__key"]), "hits")
+        shared.destroy()
+        hit = table if hit is None else hit.unionByName(table)
+    starts, sizes = (F.flatten(F.collect_list(c)) for c in ("starts", "sizes"))
+    united = hit.groupBy("__key").agg(starts.alias("__starts"), sizes.alias("__sizes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items"))
+    placed = docs.withColumn("__key", _text_key()).join(united, "__key", "left")
+    none = F.array()
+    counted = F.struct(
+        _word_count(F.col("text")).alias("n_words"), _union_size(F.coalesce("__starts", none.cast("array<long>")), F.coalesce("__sizes", none.cast("array<long>"))).alias("n_hit"),
+        F.coalesce("__starts", none.cast("array<long>")).alias("starts"), F.coalesce("__sizes", none.cast("array<long>")).alias("sizes"),
+        F.coalesce("__items", none.cast("array<string>")).alias("items"))
+    return placed.withColumn(column, counted).drop("__key", "__starts", "__sizes", "__items")
 
 
-@F.arrow_udf(T.LongType())
-def _union_size(starts: pa.Array, sizes: pa.Array, n: pa.Array) -> pa.Array:
-    rows = zip(starts.to_pylist(), sizes.to_pylist(), n.to_pylist())
-    return pa.array([int(W.covered(np.array(s, np.int64), np.array(z, np.int64), k).sum()) if s else 0 for s, z, k in rows], pa.int64())
+def _text_key() -> Column:
+    """Hits depend on the text alone, so equal texts share them."""
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+
+
+def _word_count(text: Column) -> Column:
+    @F.arrow_udf(T.LongType())
+    def count(column: pa.Array) -> pa.Array:
+        data, offsets = W.text_bytes(column)
+        found = W.split_words(data, offsets, W.alnum_table(), W.lower_table())
+        return pa.array(np.diff(found.first).astype(np.int64))
 
+    return count(text.cast("string"))
+
+
+@F.arrow_udf(T.LongType())
+def _union_size(starts: pa.Array, sizes: pa.Array) -> pa.Array:
+    def union(s: np.ndarray, z: np.ndarray) -> int:
+        return int(W.covered(s, z, int((s + z).max())).sum()) if len(s) else 0
 
-def _united(starts: Column, sizes: Column, n: Column) -> Column:
-    return _union_size(starts, sizes, n)
+    return pa.array([union(np.array(s, np.int64), np.array(z, np.int64)) for s, z in zip(starts.to_pylist(), sizes.to_pylist())], pa.int64())
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, max_broadcast: int = MAX_BROADCAST) -> DataFrame:

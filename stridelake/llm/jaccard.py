@@ -11,7 +11,9 @@ with itself.  The product is never made whole; bounds derived from sizes pick an
    number of parts follows from the size class (a factor of 1/t wide); a set takes part in its own class and, as the
    larger one, in the class below.  Sets that share a part become candidates of each other: a star per part, never its
    pairs.  A part of few n-grams says little, so there are some more parts, and such thin parts count only for sets that
-   have more of them than that; if all equal parts of a pair are thin, both its sets do.
+   have more of them than that; if all equal parts of a pair are thin, both its sets do.  An empty part says nothing: it
+   counts only for a set that has no more other parts than the n-grams it may differ in, for else one of those is equal.
+   A set too small to differ in one n-gram is equal to another or not linked, so it seeks no candidates.
 4. Candidate groups are cut into row blocks, and blocks are multiplied pair by pair: columns in strips, overlaps
    accumulated strip by strip, pairs discarded as soon as what is left cannot reach the overlap their sizes demand.
    A block pair yields the forest of its links, at most one row per document, not its pairs.
@@ -94,6 +96,10 @@ class SizeBounds:
             found.append((c, int(widest * (1 - self.t) / self.t) + 1 + self.spare))
         return found
 
+    def differences(self, size: int) -> int:
+        """n-grams in which a set of this size may differ from a similar one."""
+        return int(size * (1 - self.t) / self.t)
+
     def overlap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The least overlap of sets of sizes x and y at this similarity."""
         a, b = self.t.numerator, self.t.numerator + self.t.denominator
@@ -110,8 +116,11 @@ def part_codes(grams: np.ndarray, bounds: SizeBounds) -> np.ndarray:
         low = np.bincount(part, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
         high = np.bincount(part, (mixed >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
         codes = W.mix(W.pair(low, high) + W.mix(np.arange(m, dtype=np.uint64) * np.uint64(100_003) + np.uint64(c)))
-        thin = np.bincount(part, minlength=m) < bounds.thin
-        found.append(codes if thin.sum() > bounds.spare else codes[~thin])
+        filled = np.bincount(part, minlength=m)
+        told = filled >= (1 if (filled < bounds.thin).sum() > bounds.spare else bounds.thin)
+        if (filled > 0).sum() <= bounds.differences(len(grams)):
+            told |= filled == 0
+        found.append(codes[told])
     return np.concatenate(found)
 
 
@@ -331,7 +340,8 @@ def _grouped(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     first = described.where("code is not null and doc_id is not null").groupBy("code").agg(
         F.min(F.struct("doc_id", "text_code")).alias("first"), F.first("n_shingles").alias("n_shingles"))
     most = F.floor(F.col("n_shingles") * (bounds.t.denominator - bounds.t.numerator) / bounds.t.denominator)
-    likely = first.join(_lone(chosen, n), "code", "left").where(F.coalesce("lone", F.lit(0)) <= most)
+    differs = F.col("n_shingles") * (bounds.t.denominator - bounds.t.numerator) >= bounds.t.numerator
+    likely = first.where(differs).join(_lone(chosen, n), "code", "left").where(F.coalesce("lone", F.lit(0)) <= most)
     kept = Kept(chosen.join(likely.select("first.doc_id", "first.text_code", "code", "n_shingles"), ["doc_id", "text_code"]).select(
         "code", "n_shingles", "doc_id", "text_code", "text").dropDuplicates(["doc_id", "text_code"]).drop("doc_id", "text_code"), "live")
     live = kept.df

@@ -90,7 +90,6 @@ def _send(docs: DataFrame, length: int, window: int, parts: int) -> DataFrame:
         return (part, settled, keys[owners].tobytes(), docs_[owners].tobytes() if last and not settled else b"", counts.tobytes(), raw, places.astype("<u4").tobytes())
 
     def send(batches):
-        turn = 0
         for batch in batches:
             for rows, found in _blocks(batch):
                 keys, docs_ = (np.asarray(rows.column(c).to_numpy(), np.int64) for c in ("key", "doc_id"))
@@ -120,8 +119,9 @@ def _send(docs: DataFrame, length: int, window: int, parts: int) -> DataFrame:
                 for chosen, settled in ((np.sort(order[known]), True), (np.sort(order[ranked == smallest]), False)):
                     if settled:
                         if len(chosen):
-                            turn += 1
-                            out.append(pack(turn % parts, True, keys, docs_, owner[chosen], None, place[chosen]))
+                            # A key is a hash: blocks of all tasks spread over all parts.
+                            spread = int(keys[owner[chosen[0]]] % parts)
+                            out.append(pack(spread, True, keys, docs_, owner[chosen], None, place[chosen]))
                         continue
                     part = (code[chosen] >> np.uint64(40)) % np.uint64(parts)
                     by_part = np.argsort(part, kind="stable")

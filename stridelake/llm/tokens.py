@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from stridelake.llm.segments import Encoder
 
-#: Documents whose id arrays train the dictionary (about), and the most bytes of them that are used.
-DICTIONARY_DOCUMENTS, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 4000, 8 << 20, 112 << 10
+#: Documents whose id arrays train the dictionary (about), the bytes that one of them and all together give at most.
+DICTIONARY_DOCUMENTS, DICTIONARY_SLICE_BYTES, DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 4000, 4 << 10, 8 << 20, 112 << 10
 #: Uncompressed id bytes after which a block ends.
 BLOCK_BYTES = 4 << 20
 
@@ -37,22 +37,28 @@ _BLOCKS = (
 
 
 def _sample(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> list[bytes]:
+    """Id arrays picked and ordered by a hash of the row, so that every partition has its share; of a long one, the
+    ``DICTIONARY_SLICE_BYTES`` at a place that the hash names."""
     n = docs.count()
-    keep = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < int(1_000_000 * DICTIONARY_DOCUMENTS / max(n, 1)) + 1
+    place = F.xxhash64("doc_id", "text")
+    keep = F.pmod(place, F.lit(1_000_000)) < int(1_000_000 * DICTIONARY_DOCUMENTS / max(n, 1)) + 1
 
     def encode(batches):
         encoder = Encoder(tokenizer)
         for batch in batches:
-            rows = [np.append(ids, end_id).astype(f"<u{width}").tobytes() for ids in encoder(batch.column("text"))]
-            yield pa.RecordBatch.from_pydict({"ids": rows})
-
-    rows = docs.where(keep).select("text").mapInArrow(encode, "ids binary").limit(2 * DICTIONARY_DOCUMENTS)
+            rows = []
+            for ids, at in zip(encoder(batch.column("text")), batch.column("place").to_pylist()):
+                raw, room = np.append(ids, end_id).astype(f"<u{width}"), DICTIONARY_SLICE_BYTES // width
+                start = at % (len(raw) - room + 1) if len(raw) > room else 0
+                rows.append(raw[start : start + room].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("place")], names=["ids", "place"])
+
+    rows = docs.where(keep).select("text", place.alias("place")).mapInArrow(encode, "ids binary, place long").orderBy("place").limit(2 * DICTIONARY_DOCUMENTS)
     sample, total = [], 0
     for row in rows.toLocalIterator():
-        total += len(row.ids)
-        if total > DICTIONARY_SAMPLE_BYTES:
-            break
-        sample.append(bytes(row.ids))
+        if total + len(row.ids) <= DICTIONARY_SAMPLE_BYTES:
+            sample.append(bytes(row.ids))
+            total += len(row.ids)
     return sample
 
 
@@ -69,8 +75,8 @@ def train_dictionary(sample: list[bytes]) -> bytes:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, vocabulary: int = 50257) -> str:
     """Encode ``doc_id, text`` into a store at ``folder``; other columns are left out.  Returns the folder.
 
-    The dictionary is trained on the id arrays of about ``DICTIONARY_DOCUMENTS`` documents picked by hash (it decides
-    sizes only, never contents).  One shuffle by range of ``doc_id``; a repeated id is spread by its text's hash.
+    The dictionary is trained on slices of the id arrays of about ``DICTIONARY_DOCUMENTS`` documents picked by hash (it
+    decides sizes only, never contents).  One shuffle by range of ``doc_id``; a repeated id is spread by its text's hash.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

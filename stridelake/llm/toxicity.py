@@ -13,6 +13,7 @@ counts as toxic if one label says so; repeated rows score alike.
 
 from __future__ import annotations
 
+import heapq
 from typing import NamedTuple
 
 import numpy as np
@@ -27,8 +28,10 @@ from stridelake.llm.store import kept_table
 
 #: Labelled rows that train (about, at most).
 TRAINING_ROWS = 12_000
-#: Lexicon voters; a term needs this many toxic texts and this share of toxic ones among its texts.
-LEXICON, LEAST_TEXTS, LEAST_SHARE = 80, 4, 0.8
+#: A lexicon term needs this many toxic texts and this share of toxic ones among its texts, and a toxic text this many terms.
+LEAST_TEXTS, LEAST_SHARE, COVER = 4, 0.8, 8
+#: Numbers of lexicon terms that are features of their own, whatever the terms: what one language teaches, a rarer one uses.
+LEVELS = (1, 2, 3, 4, 6)
 #: Lengths of word beginnings that are terms, and positions of the classifier's features.
 BEGINNINGS, FEATURES = (4, 5), 1 << 16
 #: Partitions of the training rows, whose number is bounded: every step of the fit sends a vector of FEATURES numbers per partition.
@@ -67,11 +70,42 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, *begins))
 
 
-def _lexicon(labelled: DataFrame) -> list[str]:
+def _counted(labelled: DataFrame) -> DataFrame:
+    """``term, toxic, texts`` of the terms that ``LEAST_TEXTS`` labelled texts have; those of fewer are chance."""
     each = labelled.select("__toxic", F.explode("__terms").alias("term"))
-    counted = each.groupBy("term").agg(F.sum("__toxic").alias("toxic"), F.count("*").alias("texts"))
-    strong = counted.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * F.col("texts")))
-    return [r.term for r in strong.orderBy(F.desc("toxic"), "term").limit(LEXICON).collect()]
+    return each.groupBy("term").agg(F.sum("__toxic").alias("toxic"), F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
+
+
+def _lexicon(labelled: DataFrame, counted: DataFrame) -> list[str]:
+    """Strong terms, the commonest first among the toxic texts that have fewer than ``COVER`` of those chosen before.
+
+    So a term of a few texts is chosen where no common one covers them, whatever language holds most rows.  What is
+    gathered here is the strong terms of the toxic training rows, whose number is bounded.
+    """
+    strong = counted.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * F.col("texts"))).select("term")
+    each = labelled.where("__toxic = 1").select("__row", F.explode("__terms").alias("term"))
+    holding = each.join(strong, "term").groupBy("term").agg(F.collect_list("__row").alias("rows")).orderBy("term").collect()
+    return covering({r["term"]: r["rows"] for r in holding})
+
+
+def covering(rows_of: dict[str, list[int]], cover: int = COVER) -> list[str]:
+    """Terms in the order of how many rows they add to, until each row has ``cover`` of them or no term is left for it."""
+    have: dict[int, int] = {}
+    waiting = [(-len(rows), term) for term, rows in rows_of.items()]
+    heapq.heapify(waiting)
+    chosen = []
+    while waiting:
+        gain, term = heapq.heappop(waiting)
+        now = -sum(have.get(r, 0) < cover for r in rows_of[term])
+        if now == 0:
+            continue
+        if now > gain:  # it adds less than when it was put in; it may still be next
+            heapq.heappush(waiting, (now, term))
+            continue
+        chosen.append(term)
+        for r in rows_of[term]:
+            have[r] = have.get(r, 0) + 1
+    return chosen
 
 
 def fit_label_model(voters: list[str], fired: np.ndarray, count: np.ndarray, anchor: int, rounds: int = 25) -> LabelModel:
@@ -105,17 +139,26 @@ class Toxicity(NamedTuple):
     model: object | None
     label_model: LabelModel | None
     constant: float
+    lexicon: list[str] = []
 
     def scored(self, docs: DataFrame, column: str) -> DataFrame:
         """``docs`` with the score of ``text`` in ``column``; other columns stay."""
         if self.model is None:
             return docs.withColumn(column, F.lit(self.constant))
-        made = _features(docs.withColumn("__terms", terms(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+        own = docs.withColumn("__terms", terms(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        made = _features(own.withColumn("__terms", F.concat("__terms", _levels(F.col("__terms"), self.lexicon))))
         # Only the feature column goes through the model, whose output columns have fixed names.
         probability = self.model.setFeaturesCol("__features").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("__probability").transform(made)
         return probability.withColumn(column, vector_to_array("__probability")[1]).drop("__terms", "__features", "__probability")
 
 
+def _levels(found: Column, lexicon: list[str]) -> Column:
+    """The levels that a text's number of lexicon terms reaches, as terms."""
+    n = F.size(F.array_intersect(found, F.array(*(F.lit(t) for t in lexicon)))) if lexicon else F.lit(0)
+    reached = F.array(*(F.when(n >= k, F.lit(f"lexicon:{k}")) for k in LEVELS))
+    return F.filter(reached, lambda r: r.isNotNull())
+
+
 def _features(df: DataFrame) -> DataFrame:
     return HashingTF(inputCol="__terms", outputCol="__features", numFeatures=FEATURES, binary=True).transform(df)
 
@@ -127,11 +170,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.select("doc_id", text.alias("text")).join(known, "doc_id")
     marks = F.filter(F.array(*(F.when(F.col("text").rlike(p), F.lit(name)) for name, p in PATTERNS.items())), lambda m: m.isNotNull())
-    labelled = kept_table(joined.select("__toxic", terms(F.col("text")).alias("__terms"), marks.alias("__marks")), "labelled")
+    described = joined.select(F.monotonically_increasing_id().alias("__row"), "__toxic", terms(F.col("text")).alias("__terms"), marks.alias("__marks"))
+    labelled = kept_table(described, "labelled")
     n, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("__toxic"), F.lit(0))).first()
     if not 0 < positive < n:
         return Toxicity(None, None, positive / n if n else 0.0)
-    voters = [LABEL, *_lexicon(labelled), *PATTERNS]
+    counted = kept_table(_counted(labelled), "terms")
+    lexicon = _lexicon(labelled, counted)
+    voters = [LABEL, *lexicon, *PATTERNS]
     given = F.when(F.col("__toxic") == 1, F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))
     fired = F.array_sort(F.array_intersect(F.concat(given, "__terms", "__marks"), F.array(*(F.lit(v) for v in voters))))
     voted = labelled.withColumn("__fired", fired)
@@ -143,13 +189,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
         matrix[i, [place[v] for v in row["__fired"]]] = 1
     model = fit_label_model(voters, matrix, np.array([r["n"] for r in patterns], float), anchor=0)
     posterior = [(list(r["__fired"]), float(p)) for r, p in zip(patterns, model.posterior(matrix))]
-    soft = voted.join(docs.sparkSession.createDataFrame(posterior, "__fired array<string>, p double"), "__fired")
+    # Terms of a few texts would let the classifier learn single rows by heart; it sees the others.
+    shared = labelled.select("__row", F.explode("__terms").alias("term")).join(counted.select("term"), "term").groupBy("__row").agg(F.collect_list("term").alias("__shared"))
+    seen = voted.join(shared, "__row", "left").withColumn("__terms", F.concat(F.coalesce("__shared", F.array().cast("array<string>")), _levels(F.col("__terms"), lexicon))).drop("__shared")
+    soft = seen.join(docs.sparkSession.createDataFrame(posterior, "__fired array<string>, p double"), "__fired")
     # A soft label is two weighted rows; the rarer toxic side counts more, by the root of what would balance the classes.
     weight = float(np.sqrt((1 - model.prior) / model.prior))
     sides = soft.select("__terms", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (weight * F.col("p")).alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("s"))
     rows_ = _features(sides.select("__terms", "s.label", "s.w").where("w > 0.01")).select("__features", "label", "w").coalesce(TRAINING_PARTITIONS)
     fitted = LogisticRegression(featuresCol="__features", labelCol="label", weightCol="w", regParam=0.00002, elasticNetParam=0.8, maxIter=80, standardization=False).fit(rows_)
-    return Toxicity(fitted, model, positive / n)
+    return Toxicity(fitted, model, positive / n, lexicon)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
