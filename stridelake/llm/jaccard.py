@@ -118,7 +118,8 @@ def part_codes(grams: np.ndarray, bounds: SizeBounds) -> np.ndarray:
         codes = W.mix(W.pair(low, high) + W.mix(np.arange(m, dtype=np.uint64) * np.uint64(100_003) + np.uint64(c)))
         filled = np.bincount(part, minlength=m)
         told = filled >= (1 if (filled < bounds.thin).sum() > bounds.spare else bounds.thin)
-        if (filled > 0).sum() <= bounds.differences(len(grams)):
+        # In either class the smaller of two similar sets is no larger than its widest, which bounds the differences too.
+        if (filled > 0).sum() <= min(bounds.differences(len(grams)), m - 1 - bounds.spare):
             told |= filled == 0
         found.append(codes[told])
     return np.concatenate(found)

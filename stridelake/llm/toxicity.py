@@ -33,7 +33,7 @@ LEAST_TEXTS, LEAST_SHARE, COVER = 4, 0.8, 8
 #: Numbers of lexicon terms that are features of their own, whatever the terms: what one language teaches, a rarer one uses.
 LEVELS = (1, 2, 3, 4, 6)
 #: Lengths of word beginnings that are terms, and positions of the classifier's features.
-BEGINNINGS, FEATURES = (4, 5), 1 << 16
+BEGINNINGS, FEATURES = (4, 5), 1 << 15
 #: Partitions of the training rows, whose number is bounded: every step of the fit sends a vector of FEATURES numbers per partition.
 TRAINING_PARTITIONS = 8
 #: The voter that repeats the given label; it has an accuracy like any other.
@@ -70,21 +70,17 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, *begins))
 
 
-def _counted(labelled: DataFrame) -> DataFrame:
-    """``term, toxic, texts`` of the terms that ``LEAST_TEXTS`` labelled texts have; those of fewer are chance."""
-    each = labelled.select("__toxic", F.explode("__terms").alias("term"))
-    return each.groupBy("term").agg(F.sum("__toxic").alias("toxic"), F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
-
-
-def _lexicon(labelled: DataFrame, counted: DataFrame) -> list[str]:
+def _lexicon(labelled: DataFrame) -> list[str]:
     """Strong terms, the commonest first among the toxic texts that have fewer than ``COVER`` of those chosen before.
 
     So a term of a few texts is chosen where no common one covers them, whatever language holds most rows.  What is
     gathered here is the strong terms of the toxic training rows, whose number is bounded.
     """
+    each = labelled.select("__toxic", F.explode("__terms").alias("term"))
+    counted = each.groupBy("term").agg(F.sum("__toxic").alias("toxic"), F.count("*").alias("texts"))
     strong = counted.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * F.col("texts"))).select("term")
-    each = labelled.where("__toxic = 1").select("__row", F.explode("__terms").alias("term"))
-    holding = each.join(strong, "term").groupBy("term").agg(F.collect_list("__row").alias("rows")).orderBy("term").collect()
+    toxic = labelled.where("__toxic = 1").select("__row", F.explode("__terms").alias("term"))
+    holding = toxic.join(strong, "term").groupBy("term").agg(F.collect_list("__row").alias("rows")).orderBy("term").collect()
     return covering({r["term"]: r["rows"] for r in holding})
 
 
@@ -145,18 +141,26 @@ class Toxicity(NamedTuple):
         """``docs`` with the score of ``text`` in ``column``; other columns stay."""
         if self.model is None:
             return docs.withColumn(column, F.lit(self.constant))
-        own = docs.withColumn("__terms", terms(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-        made = _features(own.withColumn("__terms", F.concat("__terms", _levels(F.col("__terms"), self.lexicon))))
+        own = terms(F.coalesce(F.col("text").cast("string"), F.lit("")))
+        made = _features(docs.withColumn("__terms", _with_levels(own, self.lexicon)))
         # Only the feature column goes through the model, whose output columns have fixed names.
         probability = self.model.setFeaturesCol("__features").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("__probability").transform(made)
         return probability.withColumn(column, vector_to_array("__probability")[1]).drop("__terms", "__features", "__probability")
 
 
-def _levels(found: Column, lexicon: list[str]) -> Column:
-    """The levels that a text's number of lexicon terms reaches, as terms."""
-    n = F.size(F.array_intersect(found, F.array(*(F.lit(t) for t in lexicon)))) if lexicon else F.lit(0)
-    reached = F.array(*(F.when(n >= k, F.lit(f"lexicon:{k}")) for k in LEVELS))
-    return F.filter(reached, lambda r: r.isNotNull())
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed a single time, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _with_levels(found: Column, lexicon: list[str]) -> Column:
+    """A text's terms, and as terms the levels that its number of lexicon terms reaches."""
+    known = F.array(*(F.lit(t) for t in lexicon)).cast("array<string>")
+
+    def levels(n: Column) -> Column:
+        return F.filter(F.array(*(F.when(n >= k, F.lit(f"lexicon:{k}")) for k in LEVELS)), lambda r: r.isNotNull())
+
+    return _once(found, lambda t: F.concat(t, _once(F.size(F.array_intersect(t, known)), levels)))
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -175,8 +179,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     n, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("__toxic"), F.lit(0))).first()
     if not 0 < positive < n:
         return Toxicity(None, None, positive / n if n else 0.0)
-    counted = kept_table(_counted(labelled), "terms")
-    lexicon = _lexicon(labelled, counted)
+    lexicon = _lexicon(labelled)
     voters = [LABEL, *lexicon, *PATTERNS]
     given = F.when(F.col("__toxic") == 1, F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))
     fired = F.array_sort(F.array_intersect(F.concat(given, "__terms", "__marks"), F.array(*(F.lit(v) for v in voters))))
@@ -189,9 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
         matrix[i, [place[v] for v in row["__fired"]]] = 1
     model = fit_label_model(voters, matrix, np.array([r["n"] for r in patterns], float), anchor=0)
     posterior = [(list(r["__fired"]), float(p)) for r, p in zip(patterns, model.posterior(matrix))]
-    # Terms of a few texts would let the classifier learn single rows by heart; it sees the others.
-    shared = labelled.select("__row", F.explode("__terms").alias("term")).join(counted.select("term"), "term").groupBy("__row").agg(F.collect_list("term").alias("__shared"))
-    seen = voted.join(shared, "__row", "left").withColumn("__terms", F.concat(F.coalesce("__shared", F.array().cast("array<string>")), _levels(F.col("__terms"), lexicon))).drop("__shared")
+    seen = voted.withColumn("__terms", _with_levels(F.col("__terms"), lexicon))
     soft = seen.join(docs.sparkSession.createDataFrame(posterior, "__fired array<string>, p double"), "__fired")
     # A soft label is two weighted rows; the rarer toxic side counts more, by the root of what would balance the classes.
     weight = float(np.sqrt((1 - model.prior) / model.prior))

@@ -29,6 +29,9 @@ def test_unrelated_small_sets_share_no_part(t):
     sets = [s for s in random_sets(20_000, 1, 14, 1) if bounds.differences(len(s))]
     codes = Counter(c for s in sets for c in set(jaccard.part_codes(s, bounds).tolist()))
     assert len(sets) > 5000 and max(codes.values()) <= 25
+    for size in (50, 700, 1500):
+        large = Counter(c for s in random_sets(200, size * 9 // 10, size * 11 // 10, 2) for c in set(jaccard.part_codes(s, bounds).tolist()))
+        assert max(large.values()) <= 10
 
 
 @pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5)])
