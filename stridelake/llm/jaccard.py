@@ -9,8 +9,9 @@ with itself.  The product is never made whole; bounds derived from sizes pick an
 3. Columns of the sets that are left are dealt by hash into parts.  Two sets of sizes x <= y with a similarity of t or
    more differ in at most ``x (1 - t) / t`` n-grams, so with one part more than that, some part of both is equal.  The
    number of parts follows from the size class (a factor of 1/t wide); a set takes part in its own class and, as the
-   larger one, in the class below.  Sets that share a part become candidates of each other: a star per part, never its
-   pairs.  A part of few n-grams says little, so there are some more parts, and such thin parts count only for sets that
+   larger one, in the class below.  Sets that share a part are compared by size and by a sketch (a parity per hashed bit:
+   bits that differ are n-grams that differ, so no similar pair is lost); those that may be similar become candidates:
+   a star per group, never its pairs.  A part of few n-grams says little, so there are some more parts, and such thin parts count only for sets that
    have more of them than that; if all equal parts of a pair are thin, both its sets do.  An empty part says nothing: it
    counts only for a set that has no more other parts than the n-grams it may differ in, for else one of those is equal.
    A set too small to differ in one n-gram is equal to another or not linked, so it seeks no candidates.
@@ -19,7 +20,8 @@ with itself.  The product is never made whole; bounds derived from sizes pick an
    A block pair yields the forest of its links, at most one row per document, not its pairs.
 
 Work is in proportion to the documents but for candidate groups above a block (``BLOCK_ROWS`` sets): of those, all
-pairs of blocks are multiplied, which is exact, and quadratic in the number of blocks of *different* similar sets.
+pairs of blocks are multiplied, which is exact, and quadratic in the number of blocks of *different* similar sets.  Sketches
+of the sets that share one part are compared in blocks too (``SKETCH_ROWS``).
 
 Empty and null texts have no n-grams and link with nothing.  A text of fewer words than ``n`` has its whole word
 sequence as its one n-gram.  Repeated rows are copies of each other.  Rows without ``doc_id`` take part in no group:
@@ -46,6 +48,9 @@ BLOCK_ROWS, BLOCK_ITEMS = 384, 1 << 20
 STRIP = 4096
 #: Bytes of text per part of the hash space when columns are counted, and of text settled at a time.
 COUNT_BYTES = 64 << 20
+#: Sets of a block when sketches are compared, and the longest sketch (2^12 bits: unlike sets of up to some 9,000 n-grams are told
+#: apart; of longer ones more pairs go on to the product).
+SKETCH_ROWS, SKETCH_BITS = 1024, 12
 
 
 def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -194,8 +199,47 @@ def _lone(docs: DataFrame, n: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(settle, "code long, lone long").groupBy("code").agg(F.sum("lone").alias("lone"))
 
 
-def _candidates(live: DataFrame, n: int, bounds: SizeBounds) -> DataFrame:
-    """Stars ``a, b`` of set codes that share a part; each part is a run of sorted rows that streams by."""
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams that fall on each of 2^k bits, about a bit per n-gram; halves of a sketch fold by xor.
+
+    Bits in which two sketches differ are no more than the n-grams in which the sets differ.
+    """
+    bits = 1 << min(max(int(len(grams) - 1).bit_length(), 6), SKETCH_BITS)
+    # A fold keeps the low bits of a place, so places are taken from the low end of the hash.
+    odd = np.bincount((W.mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(parities: np.ndarray, words: int) -> np.ndarray:
+    """A sketch cut to ``words`` words of 64 bits, a power of two."""
+    return np.bitwise_xor.reduce(parities.reshape(-1, words), axis=0)
+
+
+def alike(sketches: list[np.ndarray], sizes: np.ndarray, bounds: SizeBounds) -> np.ndarray:
+    """The smallest row that each row reaches by pairs whose sizes and sketches allow a link."""
+    words = min(len(x) for x in sketches)
+    folded = np.stack([fold(x, words) for x in sketches])
+    near = np.zeros((len(sizes), len(sizes)), bool)
+    step = max(1, (1 << 21) // (len(sizes) * words))
+    for i in range(0, len(sizes), step):
+        differ = np.bitwise_count(folded[i : i + step, None, :] ^ folded[None, :, :]).sum(2, dtype=np.int64)
+        total = sizes[i : i + step, None] + sizes[None, :]
+        need = bounds.overlap(sizes[i : i + step, None], sizes[None, :])
+        near[i : i + step] = (differ <= total - 2 * need) & (need <= np.minimum(sizes[i : i + step, None], sizes[None, :]))
+    head = np.arange(len(sizes))
+    while True:
+        lower = np.minimum(head, np.where(near, head[None, :], len(sizes)).min(1))
+        lower = lower[lower]
+        if (lower == head).all():
+            return head
+        head = lower
+
+
+def _sharing(live: DataFrame, n: int, bounds: SizeBounds) -> DataFrame:
+    """``group, code``: sets that share a part, by part; parts are runs of sorted rows that stream by.
+
+    Parts shared by the same sets are one group where a batch holds them whole.
+    """
 
     def unpack(batches):
         for batch in batches:
@@ -206,22 +250,79 @@ def _candidates(live: DataFrame, n: int, bounds: SizeBounds) -> DataFrame:
             for i in range(0, len(parts), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[i : i + 500])) for x in (parts, codes)], names=["part", "code"])
 
-    def stars(batches):
-        last_part = head = None
+    def shared(batches):
+        before, part, code = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def found(last: bool):
+            """Rows of shared parts, but for the last row unless it is the table's last."""
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            length = np.diff(np.append(starts, len(part)))
+            group = part[starts].copy()
+            whole = np.arange(len(starts)) < len(starts) - 1
+            whole[0] &= before != part[0]
+            members = np.add.reduceat(W.mix(code.view(np.uint64)), starts)
+            group[whole] = W.mix(members[whole] + length[whole].astype(np.uint64)).view(np.int64)
+            many = length > 1
+            many[0] |= before == part[0]
+            rows = np.repeat(many, length)
+            rows[-1] &= last
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(group, length)[rows]), pa.array(code[rows])], names=["group", "code"])
+
         for batch in batches:
-            part, code = (np.asarray(batch.column(c)) for c in ("part", "code"))
-            if not len(part):
-                continue
-            fresh = np.append(True, part[1:] != part[:-1])
-            fresh[0] = part[0] != last_part
-            heads = code[fresh] if fresh[0] else np.append(head, code[fresh])
-            leader = heads[np.cumsum(fresh) - int(fresh[0])]
-            last_part, head = part[-1], leader[-1]
-            found = np.unique(np.stack([leader, code], 1)[leader != code], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            part, code = (np.concatenate([held, np.asarray(batch.column(c))]) for held, c in ((part, "part"), (code, "code")))
+            if len(part) > 1:
+                yield found(last=False)
+                before, part, code = part[-2], part[-1:], code[-1:]
+        if len(part):
+            yield found(last=True)
 
     rows = live.select("code", "text").mapInArrow(unpack, "part long, code long")
-    return rows.repartition("part").sortWithinPartitions("part", "code").mapInArrow(stars, "a long, b long").distinct()
+    return rows.repartition("part").sortWithinPartitions("part", "code").mapInArrow(shared, "group long, code long").distinct()
+
+
+def _candidates(sharing: DataFrame, live: DataFrame, n: int, bounds: SizeBounds) -> DataFrame:
+    """Pairs ``a, b`` of set codes that connect all pairs of sets that share a part and may be linked by their sketches.
+
+    Without the sketches, parts made of passages that many documents share would connect most of a large corpus.
+    """
+
+    def describe(batches):
+        for batch in batches:
+            sketches = [sketch(g).tobytes() for g in ngram_sets(batch.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("code"), batch.column("n_shingles"), pa.array(sketches, pa.binary())], names=["code", "n_shingles", "sketch"])
+
+    def compare(batches):
+        """Rows come sorted by block pair; a pair is compared once its rows are together."""
+        key, held = None, {}
+
+        def pairs():
+            codes = np.array(list(held), np.int64)
+            head = alike([np.frombuffer(s, np.uint64) for _, s in held.values()], np.array([size for size, _ in held.values()]), bounds)
+            tied = head != np.arange(len(head))
+            return codes[head[tied]], codes[tied]
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (list(zip(*found)) or [(), ()])], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            for *k, code, size, parities in zip(*(batch.column(c).to_pylist() for c in ("group", "low", "high", "code", "n_shingles", "sketch"))):
+                if k != key:
+                    if len(held) > 1:
+                        found.append(pairs())
+                    key, held = k, {}
+                held[code] = size, parities
+            yield batch_of(found)
+        if len(held) > 1:
+            yield batch_of([pairs()])
+
+    blocks = sharing.groupBy("group").agg(F.ceil(F.count("*") / SKETCH_ROWS).cast("int").alias("blocks"))
+    dealt = sharing.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    sketches = live.select("code", "n_shingles", "text").mapInArrow(describe, "code long, n_shingles long, sketch binary")
+    placed = dealt.join(sketches, "code").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "code", "n_shingles", "sketch")
+    keys = ["group", "low", "high"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
 
 
 def product_links(left: list[np.ndarray], right: list[np.ndarray] | None, bounds: SizeBounds) -> tuple[np.ndarray, np.ndarray]:
@@ -346,8 +447,10 @@ def _grouped(docs: DataFrame, n: int, similarity: Fraction) -> DataFrame:
     kept = Kept(chosen.join(likely.select("first.doc_id", "first.text_code", "code", "n_shingles"), ["doc_id", "text_code"]).select(
         "code", "n_shingles", "doc_id", "text_code", "text").dropDuplicates(["doc_id", "text_code"]).drop("doc_id", "text_code"), "live")
     live = kept.df
-    found = components(_candidates(live, n, bounds)).select(F.col("node").alias("code"), F.col("root").alias("group"))
+    sharing = Kept(_sharing(live, n, bounds), "sharing")
+    found = components(_candidates(sharing.df, live, n, bounds)).select(F.col("node").alias("code"), F.col("root").alias("group"))
     groups = found.union(found.select("group").distinct().select(F.col("group").alias("code"), "group"))
+    sharing.release()
     linked = components(_links(live, groups, n, bounds)).select(F.col("node").alias("code"), "root")
     kept.release()
     smallest = first.select("code", F.col("first.doc_id").alias("doc_id")).join(linked, "code", "left").select("code", "doc_id", F.coalesce("root", "code").alias("root"))

@@ -68,6 +68,51 @@ def test_short_texts_end_to_end(spark, monkeypatch):
     assert seen == [None]
 
 
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
+def test_sketches_part_no_similar_sets(t):
+    """Sets at the bound or above it stay together, of any size and also folded; unrelated ones are told apart."""
+    bounds, r = jaccard.SizeBounds(t), np.random.default_rng(11)
+    for size in (1, 9, 64, 65, 500, 1024, 1030, 6000, 20_000):
+        base = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+        room = bounds.differences(len(base))
+        close = [base, base[room // 2 :], np.concatenate([base, r.integers(0, 1 << 63, room, dtype=np.uint64)])]
+        far = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+        for a in close:
+            shared = len(np.intersect1d(base, a))
+            assert shared * t.denominator >= t.numerator * (len(base) + len(a) - shared)
+            apart = jaccard.alike([jaccard.sketch(x) for x in (far, base, a)], np.array([len(far), len(base), len(a)]), bounds)
+            assert apart[1] == apart[2] and (apart[1] == 1 or size < 9 or size > 6000 or t < Fraction(4, 5))
+            assert jaccard.alike([jaccard.sketch(x) for x in (base, a)], np.array([len(base), len(a)]), bounds)[1] == 0
+    sketches = jaccard.sketch(np.arange(1, 5000, dtype=np.uint64))
+    assert (jaccard.fold(sketches, 4) == jaccard.fold(jaccard.fold(sketches, 16), 4)).all()
+
+
+def test_shared_passages_make_no_candidates(spark, monkeypatch):
+    """Texts that share passages and little else meet in parts, but form no candidate groups; near copies among them do."""
+    passages = [" ".join(f"p{k}_{i}" for i in range(70)) for k in range(6)]
+    texts = [" ".join([*rng.sample(passages, 2), *(f"x{d}_{i}" for i in range(90))]) for d in range(500)]
+    copies = [t.replace(f"x{d}_10 ", f"y{d} ") for d, t in enumerate(texts[:20])]
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    seen, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda live, groups, *a: seen.append(groups.groupBy("group").count().agg(F.max("count")).first()[0]) or links(live, groups, *a))
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(docs).collect()}
+    assert found == {i: i if i < 500 else i - 500 for i in range(520)} and seen == [2]
+
+
+@pytest.mark.parametrize("rows", [2, 5])
+def test_groups_of_sketches_in_blocks(spark, monkeypatch, rows):
+    """A group of near copies that spans several blocks, some of one row, and batches of a few rows, stays one group."""
+    monkeypatch.setattr(jaccard, "SKETCH_ROWS", rows)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(0, 40, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {r.component_id for r in jaccard.jaccard_groups(docs).collect()} == {0}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("edges_of_a_hub", [4, 1000])
 def test_components_with_hubs(spark, monkeypatch, edges_of_a_hub):
     monkeypatch.setattr(graph, "HUB_EDGES", edges_of_a_hub)
