@@ -7,7 +7,8 @@ scope is reported with it, and so is an endpoint in the scope of such an identif
 
 Positions come from splitting a text at the same pattern that extracts the matches: a match starts after the pieces
 and matches before it.  Positions are code points, ends exclusive.  Null text counts as empty and has no spans.
-Repeated texts are linked once, by their digest.  Rows need no id, and other columns stay as they are.
+Repeated texts are linked once, by their digest; parts of texts with an identifier are stored, so that no text is searched
+twice.  Rows need no id, and other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from stridelake.llm.store import kept_table
+
 #: Base kinds in the order that breaks ties, as fixed values: Java patterns, and the least length of a match.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -60,9 +63,8 @@ def _base(df: DataFrame, text: Column) -> DataFrame:
     return _found(_found(df, text, "access", ACCESS, "access"), text, "hex", HEX, "hex")
 
 
-def _links(rich: DataFrame) -> DataFrame:
+def _links(parts: DataFrame) -> DataFrame:
     """``__key, __links`` of texts, from their parts."""
-    parts = rich.select("__key", "__assign", "__access", "__hex", "__identifier", "__token", "__endpoint").dropDuplicates(["__key"])
     base = F.concat("__assign", "__access", "__hex")
     weak = F.filter("__token", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
     bucket = lambda position: F.floor(position / SCOPE)
@@ -91,10 +93,14 @@ def with_spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hinted = docs.withColumn("__hint", text.rlike(IDENTIFIER_HINT))
     plain = _base(hinted.where("not __hint"), text).withColumn("__links", F.array().cast(_SPANS))
-    rich = _base(hinted.where("__hint"), text).withColumn("__key", F.sha2(text, 256))
-    for name, pattern in (("identifier", IDENTIFIER), ("token", TOKEN), ("endpoint", ENDPOINT)):
-        rich = _found(rich, text, name, pattern, {"identifier": "link_id", "token": "link_secret", "endpoint": "link_endpoint"}[name])
-    joined = rich.join(_links(rich), "__key", "left").withColumn("__links", F.coalesce("__links", F.array().cast(_SPANS)))
+    rich = hinted.where("__hint").withColumn("__key", F.sha2(text, 256))
+    # Parts are used several times; stored, they are searched for once.
+    parts = _base(rich.select("__key", text.alias("__text")), F.col("__text"))
+    for name, pattern, kind in (("identifier", IDENTIFIER, "link_id"), ("token", TOKEN, "link_secret"), ("endpoint", ENDPOINT, "link_endpoint")):
+        parts = _found(parts, F.col("__text"), name, pattern, kind)
+    parts = kept_table(parts.drop("__text").dropDuplicates(["__key"]), "parts")
+    spans = parts.select("__key", "__assign", "__access", "__hex").join(_links(parts), "__key", "left")
+    joined = rich.join(spans, "__key").withColumn("__links", F.coalesce("__links", F.array().cast(_SPANS)))
     names = [*docs.columns, "__assign", "__access", "__hex", "__links"]
     return plain.select(*names).unionByName(joined.select(*names))
 
