@@ -47,16 +47,19 @@ def slice_edges(df: DataFrame, stream: Stream, carry: Sequence[str] = ()) -> Dat
 
 
 def number_rows(
-    df: DataFrame, stream: Stream, seq: str = "seq", length: str = "n", attach: DataFrame | None = None
+    df: DataFrame, stream: Stream, seq: str = "seq", length: str = "n", attach: DataFrame | None = None,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Add the row's 0-based place in its recording and the recording's length.
 
     ``attach`` is a table with one row per recording; its columns reach the
     samples through the slice summary, so a long recording is not shuffled on
-    its keys alone.
+    its keys alone.  ``edges`` is a slice summary that is at hand already: the slice,
+    ``_base`` (rows before it) and ``_length`` (rows of its recording).
     """
     sliced = stream.sliced(df)
-    edges = slice_edges(sliced, stream).select(*stream.slice_keys, "_base", "_length")
+    if edges is None:
+        edges = slice_edges(sliced, stream).select(*stream.slice_keys, "_base", "_length")
     extra = []
     if attach is not None:
         extra = [c for c in attach.columns if c not in stream.keys]

@@ -154,62 +154,86 @@ def resample_nearest(df: DataFrame, stream: Stream, hz: float | None = None, ste
     )
 
 
-def _step_counts(df: DataFrame, stream: Stream) -> DataFrame:
-    """How often each time step occurs; those that are not positive, and the first row's, count as null."""
-    rows = with_neighbours(df.select(*stream.columns), stream, [stream.time])
-    step = F.col(stream.time) - F.col(f"prev_{stream.time}")
-    return rows.select(*stream.keys, F.when(step > 0, step).alias("dt")).groupBy(*stream.keys, "dt").agg(
-        F.count(F.lit(1)).alias("times")
+def _slice_steps(df: DataFrame, stream: Stream) -> DataFrame:
+    """How often each time step occurs in a slice; steps that are not positive, and the first row's, count as null.
+
+    One row per slice and step, with the times between which those rows lie.
+    """
+    placed = F.lit(True)
+    for c in (*stream.keys, stream.time):
+        placed &= F.col(c).isNotNull()
+    rows = stream.sliced(df.select(*stream.columns).filter(placed))
+    step = F.col(stream.time) - F.lag(stream.time).over(stream.in_slice())
+    return rows.select(*stream.slice_keys, stream.time, F.when(step > 0, step).alias("_dt")).groupBy(
+        *stream.slice_keys, "_dt"
+    ).agg(F.count(F.lit(1)).alias("_times"), F.min(stream.time).alias("_first"), F.max(stream.time).alias("_last"))
+
+
+def _slice_places(steps: DataFrame, stream: Stream) -> DataFrame:
+    """One row per slice: rows before it, length of the recording, and the step that leads into it (null if not positive)."""
+    slices = steps.groupBy(*stream.slice_keys).agg(
+        F.sum("_times").alias("_rows"), F.min("_first").alias("_first"), F.max("_last").alias("_last")
+    )
+    order = stream.across_slices()
+    step = F.col("_first") - F.lag("_last").over(order)
+    return slices.select(
+        *stream.slice_keys,
+        F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")).alias("_base"),
+        F.sum("_rows").over(Window.partitionBy(*stream.keys)).alias("_length"),
+        F.when(step > 0, step).alias("_into"),
     )
 
 
+def _step_counts(steps: DataFrame, places: DataFrame, stream: Stream) -> DataFrame:
+    """``keys, dt, times`` of whole recordings; every recording has a row, of step 0 and no times if it has no step."""
+    inside = steps.filter("_dt is not null").select(*stream.keys, F.col("_dt").alias("dt"), F.col("_times").alias("times"))
+    into = places.select(
+        *stream.keys, F.coalesce("_into", F.lit(0).cast("bigint")).alias("dt"), F.col("_into").isNotNull().cast("bigint").alias("times")
+    )
+    return inside.unionByName(into).groupBy(*stream.keys, "dt").agg(F.sum("times").alias("times"))
+
+
 def interval_counts(df: DataFrame, stream: Stream) -> DataFrame:
     """How often each positive time step occurs in a recording."""
-    return _step_counts(df, stream).filter("dt is not null")
+    steps = _slice_steps(df, stream)
+    return _step_counts(steps, _slice_places(steps, stream), stream).filter("dt > 0")
 
 
 def infer_rate(df: DataFrame, stream: Stream, units_per_second: int = 1_000_000, bucket: int = 4096) -> DataFrame:
     """``keys, median_dt, rate_hz``: one over the exact median of the positive steps, else 0.
 
     Equal steps are counted first; a bucket then holds at most ``bucket``
-    different steps, so the ranks need no sort of a whole recording.
+    different steps, so the ranks need no sort of a whole recording.  The samples are
+    read and shuffled once; rows without identity or time count for nothing.
     """
-    all_counts = _step_counts(df, stream)
-    counts = all_counts.filter("dt is not null")
-    steps = Stream(stream.keys, "dt", (), bucket)
-    per_bucket = steps.sliced(counts).groupBy(*steps.slice_keys).agg(F.sum("times").alias("_times"))
-    earlier = steps.across_slices().rowsBetween(Window.unboundedPreceding, -1)
+    steps = _slice_steps(df, stream)
+    return _rates(_step_counts(steps, _slice_places(steps, stream), stream), stream, units_per_second, bucket)
+
+
+def _rates(counts: DataFrame, stream: Stream, units_per_second: int, bucket: int) -> DataFrame:
+    """:func:`infer_rate` from the counts of steps."""
+    ordered = Stream(stream.keys, "dt", (), bucket)
+    # Both uses ask for the same rows, so that they share one exchange.
+    counts = ordered.sliced(counts).filter(F.col(SLICE).isNotNull())
+    per_bucket = counts.groupBy(*ordered.slice_keys).agg(F.sum("times").alias("_times"))
+    earlier = ordered.across_slices().rowsBetween(Window.unboundedPreceding, -1)
     base = per_bucket.select(
-        *steps.slice_keys,
+        *ordered.slice_keys,
         F.coalesce(F.sum("_times").over(earlier), F.lit(0).cast("bigint")).alias("_base"),
         F.sum("_times").over(Window.partitionBy(*stream.keys)).alias("_total"),
     )
-    upto = steps.in_slice().rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        steps.sliced(counts)
-        .withColumn("_upto", F.sum("times").over(upto))
-        .join(base, steps.slice_keys)
-        .withColumns({"_hi": F.col("_base") + F.col("_upto"), "_lo": F.col("_base") + F.col("_upto") - F.col("times")})
-    )
-    left = _div(F.col("_total") - 1, 2)
-    right = _div(F.col("_total"), 2)
+    upto = ordered.in_slice().rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_upto", F.sum("times").over(upto)).join(base, ordered.slice_keys)
+    high = F.col("_base") + F.col("_upto")
 
     def covers(rank: Column) -> Column:
-        return (F.col("_lo") <= rank) & (rank < F.col("_hi"))
+        return (high - F.col("times") <= rank) & (rank < high)
 
-    middle = ranked.filter(covers(left) | covers(right)).groupBy(*stream.keys).agg(
-        F.avg("dt").alias("median_dt")
-    )
-    # A rank that both middles share is one row, two different rows are averaged.
-    # Every recording has a first row, so the counts name all of them.
-    every = all_counts.select(*stream.keys).distinct()
-    return every.join(middle, list(stream.keys), "left").select(
-        *stream.keys,
-        "median_dt",
-        F.when(F.col("median_dt") > 0, F.lit(float(units_per_second)) / F.col("median_dt"))
-        .otherwise(F.lit(0.0))
-        .alias("rate_hz"),
-    )
+    # A rank that both middles share is one row, two different rows are averaged; step 0 covers no rank.
+    middle = covers(_div(F.col("_total") - 1, 2)) | covers(_div(F.col("_total"), 2))
+    median = ranked.groupBy(*stream.keys).agg(F.avg(F.when((F.col("times") > 0) & middle, F.col("dt"))).alias("median_dt"))
+    rate = F.when(F.col("median_dt") > 0, F.lit(float(units_per_second)) / F.col("median_dt")).otherwise(F.lit(0.0))
+    return median.select(*stream.keys, "median_dt", rate.alias("rate_hz"))
 
 
 def downsample_if_needed(
@@ -219,16 +243,20 @@ def downsample_if_needed(
     """Block means for recordings faster than the target, all others as they are.
 
     ``keys, block, n_rows, time, channels``; the ratio is taken to a thousandth,
-    per recording when the rate is inferred.
+    per recording when the rate is inferred.  Rates and row numbers then come from one
+    summary of the slices, so the samples are read twice: for it, and for their means.
     """
     columns = [stream.time, *[c for c in channels if c != stream.time]]
     rows = df.select(*dict.fromkeys([*stream.columns, *columns]))
     if hz_source is None:
-        ratio = infer_rate(df, stream, units_per_second).select(
+        steps = _slice_steps(df, stream)
+        places = _slice_places(steps, stream)
+        rates = _rates(_step_counts(steps, places, stream), stream, units_per_second, 4096)
+        ratio = rates.select(
             *stream.keys, F.round(F.col("rate_hz") / hz_target * 1000).cast("bigint").alias("_p"),
             (F.col("rate_hz") > hz_target).alias("_faster"),
         )
-        rows = number_rows(rows, stream, attach=ratio)
+        rows = number_rows(rows, stream, attach=ratio, edges=places.drop("_into"))
     else:
         rows = number_rows(rows, stream).withColumns(
             {"_p": F.lit(round(hz_source / hz_target * 1000)).cast("bigint"), "_faster": F.lit(hz_source > hz_target)}

@@ -105,6 +105,17 @@ def test_rate_is_one_over_the_median_positive_step(spark):
         assert math.isclose(got[s], 1 / statistics.median(steps) if steps else 0.0)
 
 
+def test_rows_without_identity_or_time_have_no_step(spark):
+    schema = "s int, t bigint, i int, v double"
+    rows = [(0, 0, 0, 0.0), (0, None, 1, 1.0), (0, 4, 2, 2.0), (0, 24, 3, 3.0), (None, 5, 4, 4.0), (None, 6, 5, 5.0), (1, None, 6, 6.0)]
+    df = spark.createDataFrame(rows, schema)
+    assert [(r.s, r.median_dt) for r in R.infer_rate(df, S).collect()] == [(0, 12.0)]
+    assert sorted((r.s, r.dt, r.times) for r in R.interval_counts(df, S).collect()) == [(0, 4, 1), (0, 20, 1)]
+    out = R.downsample_if_needed(df, S, ["v"], hz_target=1.0, units_per_second=1).collect()
+    assert sorted((r.s, r.block, r.v) for r in out) == [(0, 0, 0.0), (0, 1, 2.0), (0, 2, 3.0)]
+    assert R.infer_rate(df.limit(0), S).collect() == []
+
+
 def test_slow_recordings_are_left_as_they_are(spark):
     df = recordings(spark, [[0, 100, 200, 300], [0, 10, 20, 30, 40, 50, 60, 70]])
     out = R.downsample_if_needed(df, S, ["v"], hz_target=20.0, units_per_second=1000).collect()

@@ -54,6 +54,14 @@ def test_number_of_shuffles(no_broadcast, folder, name):
     assert len(re.findall(r"Exchange (?:hash|range|Single)", plan)) <= SHUFFLES[name]
 
 
+@pytest.mark.parametrize("name, scans", [("r4_infer_rate", 1), ("r7_downsample_if_needed", 2)])
+def test_rates_and_numbers_share_a_summary(no_broadcast, folder, name, scans):
+    out = entry.queries()[name](no_broadcast, folder)
+    out.collect()
+    final = plan_of(out).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == scans
+
+
 def test_scans_read_the_needed_columns_only(spark, folder):
     plan = plan_of(entry.queries()["r0_number_rows"](spark, folder))
     for columns in re.findall(r"ReadSchema: struct<([^>]*)", plan):
