@@ -143,17 +143,22 @@ def stream_windows(
     )
 
 
+#: Rows of all windows that share one state.
+BLOCK_ROWS = 16_384
+
+
 def stream_windows_numbered(
     df: DataFrame, key: str, seq: str, channels: Sequence[str], size: int, hop: int, out: str = "data",
     time: str | None = None, delay: str = "0 seconds", forget_after_ms: int = 0,
 ) -> DataFrame:
     """Full windows of recordings whose rows are numbered 0, 1, ... by their source.
 
-    The number says which windows a row belongs to, so the state is kept per window:
-    a long recording is spread, a task holds ``size`` rows of a window, and rows may
-    come in any order; of rows with one number the first to come counts.  A window that loses a row never fills; with an event
-    ``time`` and its watermark ``delay``, its state goes once the watermark is
-    ``forget_after_ms`` past its last row.
+    The number says which windows a row belongs to, so the state is kept per block of
+    neighbouring windows, ``BLOCK_ROWS`` rows of them or one: a long recording is spread, a
+    task holds a block, and rows may come in any order; of rows with one number the first
+    to come counts.  A state holds the rows of unfinished windows.  A window that loses a row
+    never fills; with an event ``time`` and its watermark ``delay``, its rows go once the
+    watermark is ``forget_after_ms`` past its last row.
     """
     if size <= 0 or hop <= 0:
         raise ValueError("size and hop must be positive")
@@ -166,48 +171,68 @@ def stream_windows_numbered(
         ]
     )
     width = len(channels)
+    per_block = max(1, BLOCK_ROWS // size)
     timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
 
     def collect(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
+        # A place counts the rows of the block's windows one after the other: window * size + step.
+        places, cells = np.zeros(0, "int64"), np.zeros((0, width))
+        # By window: its last row's time, and up to which watermark it stays.
+        last_ms, until = np.zeros(per_block, "int64"), np.zeros(per_block, "int64")
+        touched = np.zeros(per_block, bool)
         if state.exists:
-            steps, cells, last_ms = state.get
-            steps, cells = list(steps), list(cells)
-            seen = set(steps)
-        else:
-            steps, cells, last_ms, seen = [], [], 0, set()
-        for frame in frames:
-            last_ms = max(last_ms, int(frame["_ms"].max()))
-            for step, row in zip(frame["_step"].tolist(), frame[list(channels)].to_numpy("float64").tolist()):
-                if step not in seen:  # the first row of a number counts
-                    seen.add(step)
-                    steps.append(step)
-                    cells += row
-        if len(steps) < size:
-            state.update((steps, cells, last_ms))
+            held, values, *times = state.get
+            places, cells = np.array(held, "int64"), np.array(values, "float64").reshape(-1, width)
             if time:
-                state.setTimeoutTimestamp(max(last_ms + forget_after_ms, state.getCurrentWatermarkMs()) + 1)
-            return
-        if state.exists:
+                opened = np.unique(places // size)
+                last_ms[opened], until[opened] = times
+        base = int(keys[1]) * per_block
+        for frame in () if state.hasTimedOut else frames:
+            number = frame["_seq"].to_numpy("int64")
+            first = np.maximum(-((size - 1 - number) // hop), base)
+            count = np.minimum(number // hop, base + per_block - 1) - first + 1
+            at = np.repeat(np.arange(len(number)), count)
+            window = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            if time:
+                np.maximum.at(last_ms, window - base, frame["_ms"].to_numpy("int64")[at])
+                touched[window - base] = True
+            both = np.concatenate([places, (window - base) * size + number[at] - window * hop])
+            places, kept = np.unique(both, return_index=True)  # the first row of a number counts
+            cells = np.concatenate([cells, frame[list(channels)].to_numpy("float64")[at]])[kept]
+        of_window = places // size
+        full = np.bincount(of_window, minlength=per_block) == size
+        gone = np.zeros(per_block, bool)
+        if time:
+            watermark = state.getCurrentWatermarkMs()
+            until[touched] = np.maximum(last_ms[touched] + forget_after_ms, watermark) + 1
+            gone = ~touched & (until < watermark)
+        rest = ~(full | gone)[of_window]
+        if rest.any():
+            opened = np.unique(of_window[rest]) if time else np.zeros(0, "int64")
+            state.update((places[rest].tolist(), cells[rest].ravel().tolist(), last_ms[opened].tolist(), until[opened].tolist()))
+            if time:
+                state.setTimeoutTimestamp(int(until[opened].min()))
+        elif state.exists:
             state.remove()
-        rows = np.array(cells).reshape(-1, width)[np.argsort(steps)]
-        yield pd.DataFrame([(*keys, rows.tolist())], columns=schema.names)
+        if full.any():
+            rows = cells[full[of_window]].reshape(-1, size, width).tolist()
+            numbers = (np.flatnonzero(full) + base).tolist()
+            yield pd.DataFrame([(keys[0], *w) for w in zip(numbers, rows)], columns=schema.names)
 
     number = F.col(seq).cast("bigint")
     last = F.floor(number / hop)
     first = F.greatest(F.lit(0).cast("bigint"), F.ceil((number - (size - 1)) / hop))
-    at_ms = F.unix_millis(time) if time else F.lit(0).cast("bigint")
+    at_ms = [F.coalesce(F.unix_millis(time), F.lit(0).cast("bigint")).alias("_ms")] if time else []
     timed = df.withWatermark(time, delay) if time else df
     placed = timed.select(
-        key, number.alias("_seq"), first.alias("_first"), last.alias("_last"), at_ms.alias("_ms"), *channels,
+        key, number.alias("_seq"), first.alias("_first"), last.alias("_last"), *at_ms, *channels,
         *([F.col(time)] if time and time not in channels else []),
-    ).filter("_first <= _last").withColumn("window_no", F.explode(F.sequence("_first", "_last")))
-    return placed.withColumn("_step", (F.col("_seq") - F.col("window_no") * hop).cast("int")).groupBy(
-        key, "window_no"
+    ).filter("_first <= _last")
+    blocks = F.sequence(F.floor(F.col("_first") / per_block), F.floor(F.col("_last") / per_block))
+    return placed.withColumn("_block", F.explode(blocks)).drop("_first", "_last").groupBy(
+        key, "_block"
     ).applyInPandasWithState(
-        collect, schema, "steps array<int>, cells array<double>, last_ms bigint", "append", timeout
+        collect, schema, "places array<bigint>, cells array<double>, last_ms array<bigint>, until array<bigint>", "append", timeout
     )
 
 

@@ -131,3 +131,29 @@ def test_repeated_rows_fill_a_numbered_window_once(spark, tmp_path):
         home.mkdir()
         out = S.stream_windows_numbered(feed(spark, home, batches), "s", "i", ["x"], 3, 3)
         assert [(r.window_no, r.data) for r in drain(spark, out, home).collect()] == [(0, [[0.0], [1.0], [2.0]])]
+
+
+@pytest.mark.parametrize("size,hop", [(4, 4), (5, 2), (2, 5), (7, 1)])
+def test_windows_of_a_block_share_a_state(spark, tmp_path, monkeypatch, size, hop):
+    """Odd numbers come first, some of them again with the even ones: a state is kept per block, not per window."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 10 * size)
+    rows = [(s, i, s * 1000 + i / 2) for s in (1, 2) for i in range(400)]
+    early, late = [r for r in rows if r[1] % 2], [r for r in rows if r[1] % 2 == 0]
+    df = feed(spark, tmp_path, [early, [(s, i, -1.0) for s, i, _ in early[:50]] + late[::-1]])
+    query = S.run_to_files(S.stream_windows_numbered(df, "s", "i", ["x"], size, hop), f"{tmp_path}/rows", f"{tmp_path}/progress")
+    query.awaitTermination()
+    starts = range(0, 400 - size + 1, hop)
+    want = {(s, k): [[s * 1000 + (a + j) / 2] for j in range(size)] for s in (1, 2) for k, a in enumerate(starts)}
+    found = spark.read.parquet(f"{tmp_path}/rows").collect()
+    assert {(r.s, r.window_no): r.data for r in found} == want and len(found) == len(want)
+    states = query.recentProgress[0]["stateOperators"][0]["numRowsTotal"]
+    assert 0 < states <= 2 * (-(-(399 // hop + 1) // 10))
+
+
+def test_windows_of_a_block_are_forgotten_one_by_one(spark, tmp_path):
+    """Windows 0 and 1 share a state; window 0 is forgotten while window 1 still gets rows."""
+    schema = "s int, i bigint, x double, at bigint"
+    batches = [[(1, 0, 0.0, 1), (1, 3, 3.0, 1)], [(1, 4, 4.0, 200)], [(1, 4, 9.0, 201)], [(1, 1, 1.0, 210), (1, 2, 2.0, 210), (1, 5, 5.0, 210)]]
+    df = feed(spark, tmp_path, batches, schema).withColumn("ts", F.timestamp_seconds("at"))
+    out = S.stream_windows_numbered(df, "s", "i", ["x"], 3, 3, time="ts", forget_after_ms=150_000)
+    assert [(r.window_no, r.data) for r in drain(spark, out, tmp_path).collect()] == [(1, [[3.0], [4.0], [5.0]])]
