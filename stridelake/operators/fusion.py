@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Sequence
+from itertools import accumulate, islice
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -178,43 +180,57 @@ def _scanned(placed, headers, keys, order, t, label, width, size, channels=(), n
     def scan(batches):
         state = None
 
-        def finish(table: pa.Table) -> pa.RecordBatch:
+        def finish(table: pa.Table, opens: np.ndarray) -> pa.RecordBatch:
+            """Whole slices, one after the other; what can be told of all rows at once is told before."""
             nonlocal state
-            head = table.slice(0, 1).to_pylist()[0]
-            sensor = table.column("_sensor").to_numpy()
-            sides = [table.filter(pa.array(sensor == i)) for i in (0, 1)]
-            times, labels = ([s.column(c).to_pylist() for s in sides] for c in (t, label))
-            own, rest = ([head[f"_{what}{i}"] for i in (0, 1)] for what in ("own", "rest"))
-            if head["_lead"]:
-                state = (head["tag"], head["skip0"], head["skip1"])
-                if state[1] is None:
-                    state = (state[0], *(taken_before(x, state[0]) for x in times))
-            entered = state
-            ticks, state = scan_slice(times, labels, own, rest, width, state)
+            sensor, places, labels = table.column("_sensor").to_numpy(), table.column(t).fill_null(0).to_numpy(), table.column(label).to_pylist()
+            times = places.tolist()
+            # Counts of label changes and of steps back in time; only differences between rows of one sensor are used.
+            changes = [0, *accumulate(map(ne, labels, islice(labels, 1, None)))]
+            falls = [0, *np.cumsum(places[1:] < places[:-1]).tolist()]
+            seconds = (opens + np.add.reduceat((sensor <= 0).astype(np.int64), opens)).tolist()
+            at, ends = opens.tolist(), [*opens[1:].tolist(), len(sensor)]
+            heads = table.select([*extra, "tag", "skip0", "skip1"]).take(pa.array(opens)).to_pylist()
+            entered, left, ticks = [], [], []
+            for i, (head, start, second, end) in enumerate(zip(heads, at, seconds, ends)):
+                bounds = ((start + 1, second), (second, end))
+                if head["_lead"]:
+                    state = (head["tag"], head["skip0"], head["skip1"])
+                    if state[1] is None:
+                        state = (state[0], *(taken_before(times[a:b], state[0]) for a, b in bounds))
+                entered.append(state)
+                own, rest = (head["_own0"], head["_own1"]), (head["_rest0"], head["_rest1"])
+                found, state = scan_slice(times, labels, changes, falls, bounds, own, rest, width, state)
+                left.append(state)
+                ticks += [(start, *tick) for tick in found]
             if not emit:
-                values = [pa.array([dict(zip(("tag", "skip0", "skip1"), s))], state_type) for s in (entered, state)]
-                columns = [table.column(c).slice(0, 1).combine_chunks() for c in (*keys, "_k")]
+                values = [pa.array([dict(zip(("tag", "skip0", "skip1"), s)) for s in states], state_type) for states in (entered, left)]
+                columns = [table.column(c).combine_chunks().take(pa.array(opens)) for c in (*keys, "_k")]
                 return pa.RecordBatch.from_arrays([*columns, *values], names=[*keys, "_k", "_in", "_out"])
-            at = pa.array([0] * len(ticks), pa.int64())
-            identity_columns = [table.column(c).combine_chunks().take(at) for c in keys]
-            tags, fresh, spans = [x[0] for x in ticks], [x[1] for x in ticks], np.array([x[2:] for x in ticks], np.int64).reshape(-1, 4)
-            first_rows = sides[0].column(row or t).combine_chunks().take(pa.array(spans[:, 0])).cast(pa.int64())
-            found = [sides[0].column(label).combine_chunks().take(pa.array(spans[:, 0]))]
-            means = [pa.array(span_means(side.column(c), spans[:, 2 * i], spans[:, 2 * i + 1]), pa.float64(), from_pandas=True) for i, side in enumerate(sides) for c in channels]
+            header = pa.array([x[0] for x in ticks], pa.int64())
+            identity_columns = [table.column(c).combine_chunks().take(header) for c in keys]
+            tags, fresh, spans = [x[1] for x in ticks], [x[2] for x in ticks], np.array([x[3:] for x in ticks], np.int64).reshape(-1, 4)
+            first_rows, found = (table.column(c).combine_chunks().take(pa.array(spans[:, 0])) for c in (row or t, label))
+            means = [pa.array(span_means(table.column(c), spans[:, 2 * i], spans[:, 2 * i + 1]), pa.float64(), from_pandas=True) for i in (0, 1) for c in channels]
             return pa.RecordBatch.from_arrays(
-                [*identity_columns, pa.array(tags, pa.int64()), *found, pa.array(fresh, pa.bool_()), first_rows, *means],
+                [*identity_columns, pa.array(tags, pa.int64()), found, pa.array(fresh, pa.bool_()), first_rows.cast(pa.int64()), *means],
                 names=[*keys, "tick_t", label, "fresh", "first_row", *channel_names])
 
-        held = None
+        held, held_opens, held_rows = [], [], 0
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            opens = np.flatnonzero(rows.column("_sensor").to_numpy() == -1)
-            for a, b in zip(opens, opens[1:]):
-                yield finish(rows.slice(a, b - a))
-            held = rows.slice(opens[-1])
-        if held is not None and len(held):
-            yield finish(held)
+            opens = np.flatnonzero(batch.column("_sensor").to_numpy() == -1)
+            if len(opens) and held_rows + opens[-1]:
+                # The last slice may go on in the next batch.
+                rows = pa.Table.from_batches([*held, batch.slice(0, int(opens[-1]))])
+                yield finish(rows, np.array([*held_opens, *(opens[:-1] + held_rows)], np.int64))
+                held, held_opens, held_rows = [], [0], 0
+                batch = batch.slice(int(opens[-1]))
+            elif len(opens):
+                held_opens = [0]
+            held.append(batch)
+            held_rows += batch.num_rows
+        if held_rows:
+            yield finish(pa.Table.from_batches(held), np.array(held_opens, np.int64))
 
     block = F.floor(F.col("_k") / size)
     dealt = both.repartition(*keys, block).sortWithinPartitions(*keys, "_k", "_sensor", *order)
@@ -226,39 +242,42 @@ def taken_before(times: list[int], tag: int) -> int:
     return next((i for i, x in enumerate(times) if x >= tag), len(times))
 
 
-def scan_slice(times, labels, own, rest, width, state):
+def scan_slice(times, labels, changes, falls, bounds, own, rest, width, state):
     """Good ticks of a slice as ``(tag, fresh, from0, to0, from1, to1)``, and the state in which it is left.
 
-    ``times`` and ``labels`` of both sensors: ``own`` rows of the slice and what follows within reach; ``rest`` rows follow
-    in all.  The slice is done when its own rows are spent, and the scan when one sensor has no rows left.
+    ``times`` and ``labels`` are columns, ``changes`` and ``falls`` count their label changes and steps back; ``bounds`` say
+    where the rows of both sensors are: ``own`` rows of the slice and what follows within reach; ``rest`` rows follow in
+    all.  The slice is done when its own rows are spent, and the scan when one sensor has no rows left.
     """
-    tag, *at = state
-    total = [own[i] + rest[i] for i in (0, 1)]
-    rising = [all(a <= b for a, b in zip(x, x[1:])) for x in times]
-    alike = [np.cumsum([False] + [a != b for a, b in zip(x, x[1:])]).tolist() if x else [] for x in labels]
+    tag, *skips = state
+    (a0, b0), (a1, b1) = bounds
+    own0, own1 = a0 + own[0], a1 + own[1]
+    total0, total1 = own0 + rest[0], own1 + rest[1]
+    rising0, rising1 = (a >= b or falls[a] == falls[b - 1] for a, b in bounds)
+    at0, at1 = a0 + skips[0], a1 + skips[1]
     ticks = []
-    while (at[0] < own[0] or at[1] < own[1]) and at[0] < total[0] and at[1] < total[1]:
+    while (at0 < own0 or at1 < own1) and at0 < total0 and at1 < total1:
         fresh = tag is None
         if fresh:
-            tag = min(times[i][at[i]] for i in (0, 1) if at[i] < len(times[i]))
-        to = [rows_end(times[i], at[i], tag, width, rising[i]) for i in (0, 1)]
-        good = all(to[i] > at[i] and alike[i][at[i]] == alike[i][to[i] - 1] for i in (0, 1))
-        if good and labels[0][at[0]] is not None and labels[0][at[0]] == labels[1][at[1]]:
-            ticks.append((tag, fresh, at[0], to[0], at[1], to[1]))
+            tag = min(times[at] for at, b in ((at0, b0), (at1, b1)) if at < b)
+        to0, to1 = rows_end(times, at0, b0, tag, width, rising0), rows_end(times, at1, b1, tag, width, rising1)
+        good = to0 > at0 and to1 > at1 and changes[at0] == changes[to0 - 1] and changes[at1] == changes[to1 - 1]
+        if good and labels[at0] is not None and labels[at0] == labels[at1]:
+            ticks.append((tag, fresh, at0, to0, at1, to1))
             tag += width
         else:
             tag = None
-        at = to
-    return ticks, (tag, max(at[0] - own[0], 0), max(at[1] - own[1], 0))
+        at0, at1 = to0, to1
+    return ticks, (tag, max(at0 - own0, 0), max(at1 - own1, 0))
 
 
-def rows_end(times: list[int], at: int, tag: int, width: int, rising: bool) -> int:
-    """One past the rows from ``at`` on that are less than ``width`` from ``tag``."""
-    if at >= len(times) or times[at] <= tag - width:
+def rows_end(times: list[int], at: int, end: int, tag: int, width: int, rising: bool) -> int:
+    """One past the rows from ``at`` on, before ``end``, that are less than ``width`` from ``tag``."""
+    if at >= end or times[at] <= tag - width:
         return at
     if rising:
-        return bisect_left(times, tag + width, at)
-    while at < len(times) and -width < times[at] - tag < width:
+        return bisect_left(times, tag + width, at, end)
+    while at < end and -width < times[at] - tag < width:
         at += 1
     return at
 

@@ -123,3 +123,28 @@ def test_running_values_cross_slices(spark, slice_width):
         own = [v for k, t, v in rows if k == r.k and t <= r.t]
         rest = [v for k, t, v in rows if k == r.k and t > r.t]
         assert (r.most, r.least, r.after) == (max(own), min(own), min(rest, default=None))
+
+
+def test_slices_of_a_batch_are_scanned_together(spark, monkeypatch):
+    """A result per batch, not per slice, whose overhead is that of many rows; a slice may need many batches."""
+    rows = [[(k, t, "a", float(t)) for k in range(40) for t in range(s, 200, 3)] for s in (0, 1)]
+    first, second = (spark.createDataFrame(r, "k long, t long, label string, x double") for r in rows)
+    want = scanned([[r[1:] for r in s if r[0] == 0] for s in rows])
+    made, map_in_arrow = [], type(first).mapInArrow
+
+    def counted(df, scan, schema):
+        table = df.toArrow().combine_chunks()
+        for size in (7, 10_000):
+            batches = table.to_batches(max_chunksize=size)
+            results = list(scan(iter(batches)))
+            made.append((size, len(results), len(batches), sum(r.num_rows for r in results)))
+        return map_in_arrow(df, scan, schema)
+
+    monkeypatch.setattr(type(first), "mapInArrow", counted)
+    ticks = fusion.fuse_sequential(first, second, Stream(("k",), "t", (), 10), ["x"], "label", WIDTH)
+    got = {}
+    for r in ticks.orderBy("k", "tick_t").collect():
+        got.setdefault(r.k, []).append((r.tick_t, r.fresh, r.acc_x, r.gyro_x))
+    assert got == {k: want for k in range(40)}
+    assert made and all(results <= batches + 1 for _, results, batches, _ in made)
+    assert all(small[3] == large[3] for small, large in zip(made[::2], made[1::2]))
