@@ -143,8 +143,12 @@ def stream_windows(
     )
 
 
-#: Rows of all windows that share one state.
+#: Rows of the windows of a recording that stay together.
 BLOCK_ROWS = 16_384
+#: States that blocks of windows are dealt to; a call and a state cost more than the rows of a short recording.
+GROUPS = 4_096
+#: Windows that come out of a state at a time.
+WINDOWS_AT_ONCE = 4_096
 
 
 def stream_windows_numbered(
@@ -153,11 +157,11 @@ def stream_windows_numbered(
 ) -> DataFrame:
     """Full windows of recordings whose rows are numbered 0, 1, ... by their source.
 
-    The number says which windows a row belongs to, so the state is kept per block of
-    neighbouring windows, ``BLOCK_ROWS`` rows of them or one: a long recording is spread, a
-    task holds a block, and rows may come in any order; of rows with one number the first
-    to come counts.  A state holds the rows of unfinished windows.  A window that loses a row
-    never fills; with an event ``time`` and its watermark ``delay``, its rows go once the
+    The number says which windows a row belongs to, so a recording is cut into blocks of
+    neighbouring windows, ``BLOCK_ROWS`` rows of them or one, and those are dealt to ``GROUPS``
+    states by hash: a long recording is spread, short ones share a state, and a task holds one
+    state's rows of a trigger.  Rows may come in any order; of rows with one number the first to
+    come counts.  A state holds the rows of unfinished windows.  A window that loses a row never fills; with an event ``time`` and its watermark ``delay``, its rows go once the
     watermark is ``forget_after_ms`` past its last row.
     """
     if size <= 0 or hop <= 0:
@@ -175,49 +179,57 @@ def stream_windows_numbered(
     timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
 
     def collect(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # A place counts the rows of the block's windows one after the other: window * size + step.
-        places, cells = np.zeros(0, "int64"), np.zeros((0, width))
-        # By window: its last row's time, and up to which watermark it stays.
-        last_ms, until = np.zeros(per_block, "int64"), np.zeros(per_block, "int64")
-        touched = np.zeros(per_block, bool)
+        # Windows by recording and number.  A place counts the rows of the windows one after the other: window * size + step.
+        index, places, cells = {}, np.zeros(0, "int64"), np.zeros((0, width))
+        last_ms, until = np.zeros(0, "int64"), np.zeros(0, "int64")  # a window's last row's time, and up to which watermark it stays
         if state.exists:
-            held, values, *times = state.get
-            places, cells = np.array(held, "int64"), np.array(values, "float64").reshape(-1, width)
-            if time:
-                opened = np.unique(places // size)
-                last_ms[opened], until[opened] = times
-        base = int(keys[1]) * per_block
+            owners, numbers, counts, steps, values, last_ms, until = state.get
+            index = {pair: i for i, pair in enumerate(zip(owners, numbers))}
+            places = np.repeat(np.arange(len(index)), counts) * size + np.array(steps, "int64")
+            cells = np.array(values, "float64").reshape(-1, width)
+            last_ms, until = np.array(last_ms, "int64"), np.array(until, "int64")
+        touched = np.zeros(len(index), bool)
         for frame in () if state.hasTimedOut else frames:
-            number = frame["_seq"].to_numpy("int64")
+            number, base = frame["_seq"].to_numpy("int64"), frame["_block"].to_numpy("int64") * per_block
             first = np.maximum(-((size - 1 - number) // hop), base)
             count = np.minimum(number // hop, base + per_block - 1) - first + 1
             at = np.repeat(np.arange(len(number)), count)
             window = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            owner_at, owners = pd.factorize(frame[key], use_na_sentinel=False)
+            window_at, windows = pd.factorize(window)
+            owners, windows = [None] if keys[0] < 0 else owners.tolist(), windows.tolist()
+            pairs, pair_at = np.unique(owner_at[at] * len(windows) + window_at, return_inverse=True)
+            found = [(owners[p // len(windows)], windows[p % len(windows)]) for p in pairs.tolist()]
+            slot = np.array([index.setdefault(pair, len(index)) for pair in found], "int64")[pair_at]
+            added = len(index) - len(touched)
+            last_ms, until, touched = (np.pad(x, (0, added)) for x in (last_ms, until, touched))
+            touched[slot] = True
             if time:
-                np.maximum.at(last_ms, window - base, frame["_ms"].to_numpy("int64")[at])
-                touched[window - base] = True
-            both = np.concatenate([places, (window - base) * size + number[at] - window * hop])
+                np.maximum.at(last_ms, slot, frame["_ms"].to_numpy("int64")[at])
+            both = np.concatenate([places, slot * size + number[at] - window * hop])
             places, kept = np.unique(both, return_index=True)  # the first row of a number counts
             cells = np.concatenate([cells, frame[list(channels)].to_numpy("float64")[at]])[kept]
         of_window = places // size
-        full = np.bincount(of_window, minlength=per_block) == size
-        gone = np.zeros(per_block, bool)
+        counts = np.bincount(of_window, minlength=len(index))
+        full, gone = counts == size, np.zeros(len(index), bool)
         if time:
             watermark = state.getCurrentWatermarkMs()
             until[touched] = np.maximum(last_ms[touched] + forget_after_ms, watermark) + 1
             gone = ~touched & (until < watermark)
-        rest = ~(full | gone)[of_window]
-        if rest.any():
-            opened = np.unique(of_window[rest]) if time else np.zeros(0, "int64")
-            state.update((places[rest].tolist(), cells[rest].ravel().tolist(), last_ms[opened].tolist(), until[opened].tolist()))
+        named, opened = list(index), np.flatnonzero(~(full | gone))
+        if len(opened):
+            rest = ~(full | gone)[of_window]
+            owners, numbers = zip(*[named[i] for i in opened.tolist()])
+            steps, values = (places[rest] % size).tolist(), cells[rest].ravel().tolist()
+            state.update((list(owners), list(numbers), counts[opened].tolist(), steps, values, last_ms[opened].tolist(), until[opened].tolist()))
             if time:
                 state.setTimeoutTimestamp(int(until[opened].min()))
         elif state.exists:
             state.remove()
-        if full.any():
-            rows = cells[full[of_window]].reshape(-1, size, width).tolist()
-            numbers = (np.flatnonzero(full) + base).tolist()
-            yield pd.DataFrame([(keys[0], *w) for w in zip(numbers, rows)], columns=schema.names)
+        done, rows = np.flatnonzero(full), cells[full[of_window]].reshape(-1, size, width)
+        for i in range(0, len(done), WINDOWS_AT_ONCE):
+            made = zip(done[i : i + WINDOWS_AT_ONCE].tolist(), rows[i : i + WINDOWS_AT_ONCE].tolist())
+            yield pd.DataFrame([(*named[w], data) for w, data in made], columns=schema.names)
 
     number = F.col(seq).cast("bigint")
     last = F.floor(number / hop)
@@ -229,11 +241,16 @@ def stream_windows_numbered(
         *([F.col(time)] if time and time not in channels else []),
     ).filter("_first <= _last")
     blocks = F.sequence(F.floor(F.col("_first") / per_block), F.floor(F.col("_last") / per_block))
-    return placed.withColumn("_block", F.explode(blocks)).drop("_first", "_last").groupBy(
-        key, "_block"
-    ).applyInPandasWithState(
-        collect, schema, "places array<bigint>, cells array<double>, last_ms array<bigint>, until array<bigint>", "append", timeout
+    blocked = placed.withColumn("_block", F.explode(blocks)).drop("_first", "_last")
+    # Rows without a recording stay apart, below zero: a column of numbers and nulls would lose digits in a task.
+    dealt = F.pmod(F.xxhash64(key, "_block"), F.lit(GROUPS))
+    state_schema = (
+        f"owners array<{df.schema[key].dataType.simpleString()}>, windows array<bigint>, counts array<bigint>, steps array<bigint>, "
+        "cells array<double>, last_ms array<bigint>, until array<bigint>"
     )
+    return blocked.withColumn("_group", F.when(F.col(key).isNull(), -1 - dealt).otherwise(dealt)).groupBy(
+        "_group"
+    ).applyInPandasWithState(collect, schema, state_schema, "append", timeout)
 
 
 def end_of_feed(rows: DataFrame, time: str, after: str) -> DataFrame:

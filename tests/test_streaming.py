@@ -157,3 +157,22 @@ def test_windows_of_a_block_are_forgotten_one_by_one(spark, tmp_path):
     df = feed(spark, tmp_path, batches, schema).withColumn("ts", F.timestamp_seconds("at"))
     out = S.stream_windows_numbered(df, "s", "i", ["x"], 3, 3, time="ts", forget_after_ms=150_000)
     assert [(r.window_no, r.data) for r in drain(spark, out, tmp_path).collect()] == [(1, [[3.0], [4.0], [5.0]])]
+
+
+def test_recordings_without_a_name_and_large_keys_share_no_state(spark, tmp_path):
+    """Keys beyond 2^53 keep their digits beside rows without a key, which are one recording."""
+    big = (1 << 60) + 1
+    rows = [(s, i, float(i)) for s in (big, big + 1, None, 5) for i in range(6)]
+    df = feed(spark, tmp_path, [rows[:3] + rows[7:], rows[3:7]], "s bigint, i bigint, x double")
+    out = drain(spark, S.stream_windows_numbered(df, "s", "i", ["x"], 3, 3), tmp_path).collect()
+    want = {(s, k, (3.0 * k, 3.0 * k + 1, 3.0 * k + 2)) for s in (big, big + 1, None, 5) for k in (0, 1)}
+    assert {(r.s, r.window_no, tuple(x for x, in r.data)) for r in out} == want and len(out) == 8
+
+
+def test_short_recordings_share_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "GROUPS", 8)
+    rows = [(s, i, float(s)) for s in range(100) for i in range(5)]
+    query = S.run_to_files(S.stream_windows_numbered(feed(spark, tmp_path, [rows]), "s", "i", ["x"], 4, 2), f"{tmp_path}/rows", f"{tmp_path}/progress")
+    query.awaitTermination()
+    assert sorted((r.s, r.window_no, r.data) for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == [(s, 0, [[float(s)]] * 4) for s in range(100)]
+    assert 0 < query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 8
