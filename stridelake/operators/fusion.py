@@ -10,7 +10,7 @@ tag, and the rows already taken from what follows the slice.  A pause of ``PAUSE
 after it, so recordings are cut there first and the parts are independent.  Slices of one part are scanned at once from
 an assumed state, that of a part without void ticks; blocks of slices that did not enter with the state in which the
 slice before was left are scanned again, and blocks double, so there are no more rounds than doublings.  A task holds
-one slice and the rows just after it.
+the slices of a batch of rows, or one slice and the rows just after it.
 """
 
 from __future__ import annotations
